@@ -74,10 +74,10 @@ class PerWorker:
     """
 
     def __init__(self, spark: SparkSession, make, *args):
-        self.shared = spark.sparkContext.broadcast({"make": make, "args": args})
+        self.make, self.shared = make, spark.sparkContext.broadcast({"args": args})
 
     def get(self):
         held = self.shared.value
         if "made" not in held:
-            held["made"] = held["make"](*held["args"])
+            held["made"] = self.make(*held["args"])
         return held["made"]
