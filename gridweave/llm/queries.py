@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe, html_extract, jaccard, language_id, media, sharding
+from gridweave.llm import bpe, html_extract, jaccard, language_id, line_dedup, media, sharding
 from gridweave.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(read(spark, sf_dir, "documents"))
 
 
+def op8_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_html_main_text, op6_bpe_merge_replay, op7_audio_features, op9_jaccard_join, op10_karmarkar_karp_shards)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_html_main_text, op6_bpe_merge_replay, op7_audio_features, op8_line_chunk_dedup, op9_jaccard_join, op10_karmarkar_karp_shards)}
 ORACLES: dict[str, str] = {}
