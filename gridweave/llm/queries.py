@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe, html_extract, jaccard, language_id, line_dedup, media, sharding
+from gridweave.llm import bpe, html_extract, jaccard, language_id, line_dedup, media, secrets, sharding, warc
 from gridweave.llm.common import read
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisits_of_pages(spark, sf_dir)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -16,6 +20,10 @@ def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
@@ -36,5 +44,5 @@ def op10_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_html_main_text, op6_bpe_merge_replay, op7_audio_features, op8_line_chunk_dedup, op9_jaccard_join, op10_karmarkar_karp_shards)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_language_id, op4_html_main_text, op5_secret_scan, op6_bpe_merge_replay, op7_audio_features, op8_line_chunk_dedup, op9_jaccard_join, op10_karmarkar_karp_shards)}
+ORACLES: dict[str, str] = {"op1_warc_revisits": warc.ORACLE}
