@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe, html_extract, jaccard, language_id, line_dedup, media, secrets, sharding, warc
+from gridweave.llm import bpe, decontaminate, html_extract, jaccard, language_id, line_dedup, media, secrets, sharding, warc
 from gridweave.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
@@ -44,5 +48,5 @@ def op10_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_language_id, op4_html_main_text, op5_secret_scan, op6_bpe_merge_replay, op7_audio_features, op8_line_chunk_dedup, op9_jaccard_join, op10_karmarkar_karp_shards)}
-ORACLES: dict[str, str] = {"op1_warc_revisits": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_language_id, op3_template_decontamination, op4_html_main_text, op5_secret_scan, op6_bpe_merge_replay, op7_audio_features, op8_line_chunk_dedup, op9_jaccard_join, op10_karmarkar_karp_shards)}
+ORACLES: dict[str, str] = {"op1_warc_revisits": warc.ORACLE, "op3_template_decontamination": decontaminate.ORACLE}
