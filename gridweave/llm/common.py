@@ -17,18 +17,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
     """The cluster names its shared folder in spark.checkpoint.dir; only where
     that is unset (tests, local mode) is one chosen here."""
     sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir("/tmp/checkpoints")
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
+    return named or "/tmp/checkpoints"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and cut its lineage."""
-    use_checkpoints(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

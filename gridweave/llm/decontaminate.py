@@ -70,8 +70,12 @@ def template(text: Column) -> Column:
     return let(words(text), lambda t: F.transform(t, lambda w, i: template_word(w, F.get(t, i - 1))))
 
 
+def windows(text: Column) -> Column:
+    """Hash of the window at each place of a text's template; empty if it is too short."""
+    return let(template(text), _windows)
+
+
 def _windows(t: Column) -> Column:
-    """Hash of the window at each place of a template; empty if it is too short."""
     last = F.size(t) - WIDTH
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(t, i + k) for k in range(WIDTH))))).otherwise(F.array().cast("array<bigint>"))
 
@@ -80,7 +84,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     """item_id, at, hash and n_windows (different ones of the item); windows with
     fewer than PLAIN_LEAST plain words are left out."""
     plain = lambda w: ~w.isin(*SLOTS, "")
-    cut = items.where("text is not null").select("item_id", template(F.col("text")).alias("t")).select("item_id", "t", F.posexplode(_windows(F.col("t"))).alias("at", "hash"))
+    cut = items.where("text is not null").select("item_id", template(F.col("text")).alias("t"), F.posexplode(windows(F.col("text"))).alias("at", "hash"))
     cut = cut.where(F.size(F.filter(F.slice("t", F.col("at") + 1, F.lit(WIDTH)), plain)) >= PLAIN_LEAST).drop("t").distinct()
     return cut.join(cut.groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows")), "item_id")
 
@@ -94,7 +98,7 @@ def pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     filled otherwise than in the item) of each document that holds an item."""
     own = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     bench = benchmark_windows(items)
-    there = own.select("doc_id", F.posexplode(_windows(template(F.col("text")))).alias("place", "hash"))
+    there = own.select("doc_id", F.posexplode(windows(F.col("text"))).alias("place", "hash"))
     hits = checkpoint(there.join(broadcast_if_small(bench, BROADCAST_WINDOWS), "hash").select("doc_id", "item_id", "n_windows", "hash", "at", (F.col("place") - F.col("at")).alias("diagonal")))
     one = ["doc_id", "item_id", "n_windows"]
     hopeful = hits.groupBy(*one).agg(F.countDistinct("hash").alias("n")).where(_enough("n")).drop("n")
