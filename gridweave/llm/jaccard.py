@@ -44,30 +44,47 @@ FREQUENT = 500_000
 LOCAL_LEAST, LOCAL_SHINGLES = 4, 4_000_000
 #: Documents of a region that one task joins.
 REGION = 1500
-CACHE_WORDS = 1_000_000
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)
 
 
 class Shingler:
-    """Sets of 64-bit shingle hashes, sorted."""
+    """Sets of 64-bit shingle hashes, sorted.
+
+    A word's hash is a polynomial in its bytes, taken from running sums over
+    the whole text; powers are odd, so they can be divided out.
+    """
+
+    BASE = 0xD1342543DE82EF95
 
     def __init__(self, width: int):
-        self.width, self.known = width, {}
+        self.width = width
+        self.letters = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.powers = self.inverses = np.ones(1, np.uint64)
+        self._reach(1 << 14)
+
+    def _reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            size = 1 << (n - 1).bit_length()
+            factors = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
+            self.powers, self.inverses = factors(self.BASE), factors(pow(self.BASE, -1, 1 << 64))
+
+    def words(self, text: str | None) -> np.ndarray:
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)  # bytes: only A-Z
+        self._reach(len(raw))
+        edge = np.diff(self.space[raw], prepend=True, append=True)
+        edges = np.flatnonzero(edge)
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.letters[raw] * self.powers[: len(raw)], dtype=np.uint64)])
+        h = (sums[ends] - sums[starts]) * self.inverses[starts]
+        h ^= h >> np.uint64(32)
+        return h * np.uint64(MIX[-1])
 
     def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
-
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII white space
-        if not words:
+        h = self.words(text)
+        if not len(h):
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        try:
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in words if w not in known)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         width = min(self.width, len(h))
         n = len(h) - width + 1
         out = np.full(n, width, np.uint64)
@@ -145,10 +162,28 @@ def leading_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, same string, n long, keys array<long>")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can link by their sizes and leading shingles.
+
+    Of two sets, one's leading shingles end first; what they share beyond that
+    place is in that set's rest.
+    """
+    side = lambda x: sets.where("id is not null").select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("keys").alias(f"keys_{x}"))
+    rest = lambda x: F.col(f"n_{x}") - F.size(f"keys_{x}")
+    most = F.size(F.array_intersect("keys_a", "keys_b")) + F.greatest(rest("a"), rest("b"))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    left = side("a").join(broadcast_if_small(pairs), "a")
+    right = side("b").join(broadcast_if_small(pairs.select("b").distinct()), "b", "left_semi")
+    return left.join(right, "b").where(sizes & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b").distinct()
+
+
+def compare(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link; texts has id and text."""
     make = PerWorker(pairs.sparkSession, Shingler, width)
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    pairs = checkpoint(possible(pairs, sets, percent))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(broadcast_if_small(pairs), "a")
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(broadcast_if_small(pairs.select("b").distinct()), "b", "left_semi")
+    joined = left.join(right, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         shingler, pivots = make.get(), {}
@@ -156,18 +191,19 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             hit = []
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                y = y.as_py()
                 other = pivots.get(b[k])
-                if other is None or other[0] != y.as_py():
+                if other is None or other[0] != y:
                     if len(pivots) > 64:
                         pivots.clear()
-                    other = pivots[b[k]] = (y.as_py(), shingler(y.as_py()))
+                    other = pivots[b[k]] = (y, shingler(y))
                 own = shingler(x.as_py())
                 shared = len(np.intersect1d(own, other[1], assume_unique=True))
                 if links(shared, len(own), len(other[1]), percent):
                     hit.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in hit], pa.int64()), pa.array([b[k] for k in hit], pa.int64())], ["a", "b"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def join_region(sets: list[np.ndarray], percent: int, part: np.ndarray | None = None, label: list | None = None) -> list[tuple[int, int]]:
@@ -223,7 +259,7 @@ def join_regions(members: DataFrame, texts: DataFrame, width: int, percent: int)
     own = F.when(single, 0).otherwise(F.pmod(F.xxhash64("id"), blocks).cast("int"))
     cut = members.withColumn("own", own).withColumn("other", F.explode(F.when(single, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))))
     cut = cut.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "component", "id").distinct()
-    rows = cut.join(texts, "id").select("region", "low", "high", "own", "component", "id", "text").repartition("region", "low", "high").sortWithinPartitions("region", "low", "high", "id")
+    rows = texts.join(broadcast_if_small(checkpoint(cut)), "id").select("region", "low", "high", "own", "component", "id", "text").repartition("region", "low", "high").sortWithinPartitions("region", "low", "high", "id")
 
     def run(batches):
         shingler = make.get()
@@ -253,9 +289,9 @@ def join_regions(members: DataFrame, texts: DataFrame, width: int, percent: int)
 def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, same (hash of the text), n_shingles, component_id for every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("same"), "text")
-    ids = rows.select("id", "same")
+    ids = checkpoint(rows.select("id", "same"))
     copies = ids.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    later = ids.join(copies, "same").where("id != first").select("id", "same").distinct()
+    later = checkpoint(ids.join(copies, "same").where("id != first").select("id", "same").distinct())
     once = rows.join(broadcast_if_small(later), ["id", "same"], "left_anti")
     sets = checkpoint(leading_shingles(once, width, percent))
     keys = sets.where("id is not null").select("id", F.explode("keys").alias("key"))
@@ -266,16 +302,16 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     pairs = checkpoint(near.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("n")))
     nearest = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    found = checkpoint(compare(nearest, texts, width, percent))
+    found = checkpoint(compare(nearest, sets, texts, width, percent))
     known = checkpoint(components(found))
     apart = _apart(pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b"), known)
-    further = checkpoint(compare(apart, texts, width, percent))
+    further = checkpoint(compare(apart, sets, texts, width, percent))
     if not further.isEmpty():
         found = found.union(further)
         known = checkpoint(components(found))
 
     # what a shingle's other documents have in common is not compared yet
-    labelled = near.where("id != pivot").join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    labelled = near.where("id != pivot").join(broadcast_if_small(known), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_ = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("y")).where("low != high")
     # shingles with the same documents are one region
     regions = open_.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
@@ -294,6 +330,7 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs whose ends are not known to be in one component."""
+    known = broadcast_if_small(known)
     a = known.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
     b = known.select(F.col("id").alias("b"), F.col("component").alias("of_b"))
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
