@@ -251,39 +251,85 @@ def join_region(sets: list[np.ndarray], percent: int, part: np.ndarray | None =
     return found
 
 
-def join_regions(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) within regions; members has region, id, component, size (of the region)."""
-    make = PerWorker(members.sparkSession, Shingler, width)
+REGION_KEY = ["region", "low", "high"]
+
+
+def _cut(members: DataFrame) -> DataFrame:
+    """members (region, id, component, size of the region) dealt to tasks: a
+    region as a whole, or a large one as all pairs of its blocks."""
     blocks = F.ceil(F.col("size") / (REGION // 2)).cast("int")
     single = F.col("size") <= REGION
     own = F.when(single, 0).otherwise(F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    cut = members.withColumn("own", own).withColumn("other", F.explode(F.when(single, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))))
-    cut = cut.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "component", "id").distinct()
-    rows = texts.join(broadcast_if_small(checkpoint(cut)), "id").select("region", "low", "high", "own", "component", "id", "text").repartition("region", "low", "high").sortWithinPartitions("region", "low", "high", "id")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.when(single, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))))
+    return dealt.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "component", "id").distinct()
 
-    def run(batches):
-        shingler = make.get()
-        now, held = None, []
 
-        def done():
-            if len(held) < 2:
-                return
-            part = np.array([h[0] for h in held])
-            hit = join_region([h[3] for h in held], percent, part if part.min() != part.max() else None, [h[1] for h in held])
-            if hit:
-                yield pa.RecordBatch.from_arrays([pa.array([held[i][2] for i, _ in hit], pa.int64()), pa.array([held[j][2] for _, j in hit], pa.int64())], ["a", "b"])
+def _each_region(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(held rows) for each region in turn; rows begin with region, low, high."""
 
+    def run(batches):
+        now, held = None, []
         for b in batches:
-            region, low, high, own, comp, ids = (b.column(k).to_pylist() for k in range(6))
-            for k, text in enumerate(b.column(6)):
-                key = region[k], low[k], high[k]
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
+            columns = [b.column(k) for k in range(3, b.num_columns)]
+            for k, key in enumerate(keys):
                 if key != now:
-                    yield from done()
+                    if len(held) > 1:
+                        yield from work(now, held)
                     now, held = key, []
-                held.append((own[k], comp[k], ids[k], shingler(text.as_py())))
-        yield from done()
+                held.append([c[k].as_py() for c in columns])
+        if len(held) > 1:
+            yield from work(now, held)
+
+    return rows.repartition(*REGION_KEY).sortWithinPartitions(*REGION_KEY, "id").mapInArrow(run, schema)
+
+
+def hopeful(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the dealt members that can link, by sizes and leading shingles,
+    with a member of another component."""
+
+    def work(key, held):
+        n = np.array([h[3] for h in held])
+        part, comp = np.array([h[0] for h in held]), np.unique([h[1] for h in held], return_inverse=True)[1]
+        keys = [np.array(h[4], np.int64) for h in held]
+        flat = np.unique(np.concatenate(keys), return_inverse=True)[1]
+        lengths = np.array([len(k) for k in keys])
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        mark, rest, hit = np.zeros(flat.max() + 1, bool), n - lengths, np.zeros(len(held), bool)
+        for k in range(len(held)):
+            own = flat[starts[k] : starts[k] + lengths[k]]
+            mark[own] = True
+            most = np.add.reduceat(mark[flat], starts, dtype=np.int64) + np.maximum(rest, rest[k])
+            mark[own] = False
+            ok = (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])) & (most * (100 + percent) >= percent * (n + n[k]))
+            if part.min() != part.max():
+                ok &= part != part[k]
+            hit |= ok
+            hit[k] |= ok.any()
+        if hit.any():
+            chosen = [held[k] for k in np.flatnonzero(hit)]
+            columns = [[x] * len(chosen) for x in key] + [[h[c] for h in chosen] for c in range(3)]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], [*REGION_KEY, "own", "component", "id"])
+
+    known = sets.where("id is not null and n > 0").select("id", "n", "keys")
+    rows = known.join(broadcast_if_small(members), "id").select(*REGION_KEY, "own", "component", "id", "n", "keys")
+    return _each_region(rows, work, "region long, low int, high int, own int, component long, id long")
+
+
+def join_regions(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) within regions of dealt members."""
+    make = PerWorker(members.sparkSession, Shingler, width)
+
+    def work(key, held):
+        part = np.array([h[0] for h in held])
+        shingler = make.get()
+        hit = join_region([shingler(h[3]) for h in held], percent, part if part.min() != part.max() else None, [h[1] for h in held])
+        if hit:
+            yield pa.RecordBatch.from_arrays([pa.array([held[i][2] for i, _ in hit], pa.int64()), pa.array([held[j][2] for _, j in hit], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    rows = texts.join(broadcast_if_small(members), "id").select(*REGION_KEY, "own", "component", "id", "text")
+    return _each_region(rows, work, "a long, b long")
 
 
 def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -317,6 +363,7 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     regions = open_.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     members = checkpoint(labelled.join(regions, "key").select(F.col("key").alias("region"), "id", "component", "size"))
     if not members.isEmpty():
+        members = checkpoint(hopeful(checkpoint(_cut(members)), sets, percent))
         last = checkpoint(join_regions(members, texts, width, percent))
         if not last.isEmpty():
             known = checkpoint(components(found.union(last)))
