@@ -36,6 +36,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows that go to a Python worker at once: texts may be long, and a batch
+    is held by Spark and by the worker at the same time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `rows` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
@@ -78,6 +86,7 @@ class PerWorker:
     """
 
     def __init__(self, spark: SparkSession, make, *args):
+        bound_batches(spark)
         self.make, self.shared = make, spark.sparkContext.broadcast({"args": args})
 
     def get(self):

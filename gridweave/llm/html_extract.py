@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import PerWorker
+from gridweave.llm.common import PerWorker, bound_batches
 
 #: Labelled pages learned from, at most about so many.
 SAMPLE_PAGES = 2000
@@ -173,6 +173,7 @@ def counts(page: str | None) -> dict[tuple[str, bool], int]:
 def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
     """Weight of a word (key "") and of each tag.  Counts of tag names come to
     the driver; names outside a fixed list are counted together."""
+    bound_batches(pages.sparkSession)
     n = pages.count()
     if not n:
         return {}

@@ -41,7 +41,7 @@ from gridweave.llm.components import components
 #: Frequent shingles whose counts go out with the order, at most.
 FREQUENT = 500_000
 #: A worker reports shingles that it met so often among so many shingles.
-LOCAL_LEAST, LOCAL_SHINGLES = 4, 4_000_000
+LOCAL_LEAST, LOCAL_SHINGLES = 4, 2_000_000
 #: Documents of a region that one task joins.
 REGION = 1500
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import PerWorker, slices, tokenizer_path
+from gridweave.llm.common import PerWorker, bound_batches, slices, tokenizer_path
 
 #: Labelled rows learned from, for each language, at most about so many.
 SAMPLE_ROWS = 400
@@ -118,6 +118,7 @@ def learn(docs: DataFrame, pieces: list[str], sample_rows: int = SAMPLE_ROWS) ->
     Learns from rows with text and lang whose id allows it; of each language,
     about `sample_rows` rows, chosen by a hash of the id.
     """
+    bound_batches(docs.sparkSession)
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & may_learn(F.col("doc_id")))
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not sizes:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import broadcast_if_small, checkpoint
+from gridweave.llm.common import bound_batches, broadcast_if_small, checkpoint
 
 MIN_LINES, MAX_LINES, MIN_WORDS = 2, 12, 10
 BREAK = re.compile(r"\n\s*|[.!?]\s+")
@@ -144,6 +144,7 @@ def cut(text: str, places: list[int]) -> str:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks cut from text, and n_chars (if there is such a column) set anew."""
+    bound_batches(docs.sparkSession)
     places = removals(docs)
     marked = docs.withColumn("__id", F.col("doc_id").cast("long"))
     joined = marked.join(broadcast_if_small(places.select(F.col("id").alias("__id"), F.col("places").alias("__places"))), "__id", "left").drop("__id")
