@@ -12,7 +12,8 @@ each.  For each such shingle, the smallest id that has it is its pivot.
 2. Documents in reach of further pivots are replicated to their regions, unless
    what is linked already puts both into one component.
 3. The documents of a shingle that are then still in several components form
-   regions of their own, which are joined recursively in one task: a pivot's
+   a region, if their leading shingles leave a link open.  Regions that share a
+   document are merged and joined recursively in one task: a pivot's
    distances to all others give links, and by the triangle inequality a pair
    can link only if its distances to the pivot differ by the threshold at
    most.  Regions that are too large for a task are cut into blocks, and each
@@ -40,8 +41,10 @@ from gridweave.llm.components import components
 
 #: Frequent shingles whose counts go out with the order, at most.
 FREQUENT = 500_000
-#: A worker reports shingles that it met so often among so many shingles.
-LOCAL_LEAST, LOCAL_SHINGLES = 4, 2_000_000
+#: Count from which a shingle is frequent, and the one that stands for a count not taken.
+OFTEN, UNCOUNTED = 3, 20
+#: Shingles that a worker counts before it reports.
+LOCAL_SHINGLES = 1_000_000
 #: Documents of a region that one task joins.
 REGION = 1500
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)
@@ -99,21 +102,28 @@ def links(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, pe
     return 100 * shared >= percent * (a + b - shared)
 
 
-def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the most frequent shingles, at most FREQUENT."""
+def share_counted(percent: int) -> float:
+    """Share of all shingles, those of the lowest hashes, whose counts are taken:
+    twice what leads a set, so that there is a choice."""
+    return min(1.0, 2 * (1 - percent / 100) + 0.01)
+
+
+def frequent_shingles(texts: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the most frequent of the counted shingles, at most FREQUENT."""
     make = PerWorker(texts.sparkSession, Shingler, width)
+    limit = np.uint64(min(int(share_counted(percent) * 2.0**64), (1 << 64) - 1))
 
     def count(batches):
         shingler, held, size = make.get(), [], 0
 
         def report():
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= LOCAL_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep])], ["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                held.append(shingler(text))
+                members = shingler(text)
+                held.append(members[: np.searchsorted(members, limit)].copy())
                 size += len(held[-1])
                 if size > LOCAL_SHINGLES:
                     yield report()
@@ -121,30 +131,33 @@ def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndar
         if held:
             yield report()
 
-    rows = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    counts = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     hashes, n = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], n[order]
 
 
 class Order:
-    """Leading shingles of a set in the global order."""
+    """Leading shingles of a set in the global order: by count (UNCOUNTED where
+    it was not taken), then by hash."""
 
     def __init__(self, width: int, percent: int, hashes: np.ndarray, counts: np.ndarray):
         self.shingler, self.percent, self.hashes, self.counts = Shingler(width), percent, hashes, counts
+        self.limit = np.uint64(min(int(share_counted(percent) * 2.0**64), (1 << 64) - 1))
 
     def leading(self, members: np.ndarray) -> np.ndarray:
         keep = len(members) - -(-self.percent * len(members) // 100) + 1
-        if not len(self.hashes):
-            return members[:keep]
-        at = np.minimum(np.searchsorted(self.hashes, members), len(self.hashes) - 1)
-        often = np.where(self.hashes[at] == members, self.counts[at], 0)
+        often = np.where(members < self.limit, 0, UNCOUNTED)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, members), len(self.hashes) - 1)
+            often = np.where(self.hashes[at] == members, self.counts[at], often)
         return members[np.argsort(often, kind="stable")[:keep]]
 
 
 def leading_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """id, same, n (set size) and keys (leading shingles) of each row of docs (id, same, text)."""
-    make = PerWorker(docs.sparkSession, Order, width, percent, *frequent_shingles(docs, width))
+    make = PerWorker(docs.sparkSession, Order, width, percent, *frequent_shingles(docs, width, percent))
 
     def run(batches):
         order = make.get()
@@ -317,6 +330,17 @@ def hopeful(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _each_region(rows, work, "region long, low int, high int, own int, component long, id long")
 
 
+def _merged(members: DataFrame) -> DataFrame:
+    """Dealt members of the regions that come of merging those that share a
+    document: it is sent to one region then, not to one for each shingle."""
+    ids = members.select("region", "id", "component").distinct()
+    first = ids.groupBy("region").agg(F.min("id").alias("first"))
+    edges = ids.join(first, "region").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    merged = ids.select("id", F.col("component").alias("of")).distinct().join(components(edges).withColumnRenamed("component", "region"), "id")
+    sizes = merged.groupBy("region").agg(F.count("*").alias("size"))
+    return checkpoint(_cut(merged.withColumnRenamed("of", "component").join(sizes, "region")))
+
+
 def join_regions(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) within regions of dealt members."""
     make = PerWorker(members.sparkSession, Shingler, width)
@@ -363,8 +387,7 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     regions = open_.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     members = checkpoint(labelled.join(regions, "key").select(F.col("key").alias("region"), "id", "component", "size"))
     if not members.isEmpty():
-        members = checkpoint(hopeful(checkpoint(_cut(members)), sets, percent))
-        last = checkpoint(join_regions(members, texts, width, percent))
+        last = checkpoint(join_regions(_merged(checkpoint(hopeful(checkpoint(_cut(members)), sets, percent))), texts, width, percent))
         if not last.isEmpty():
             known = checkpoint(components(found.union(last)))
 
