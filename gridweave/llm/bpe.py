@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -24,6 +26,13 @@ from pyspark.sql import DataFrame
 
 from gridweave.llm.common import PerWorker, slices, tokenizer_path
 
+#: Places of a rank from which they are merged as arrays.
+MANY = 12
+#: Characters whose words are merged together.
+CORPUS_CHARS = 6_000_000
+# Letters, numbers and white space under code point 0250.
+LATIN = {r"\s": "\t-\r \x85\xa0", r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"\p{N}": "0-9²³¹¼½¾"}
+BEYOND_LATIN = re.compile("[^\x00-ɏ]").search
 #: Pre-tokens a worker remembers before it starts afresh.
 CACHE_WORDS = 500_000
 
@@ -48,78 +57,128 @@ class MergeReplay:
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
 
+        keys = np.array(sorted(self.pairs), np.int64)
+        self.keys, self.merged = keys, np.array([self.pairs[k] for k in keys.tolist()], np.int64)
+
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        ends: list[int] = []
-        for w in words:
-            ids += map(self.byte.__getitem__, w)
-            ends.append(len(ids))
-        n = len(ids)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        start = 0
-        for end in ends:
-            if end > start:
-                before[start] = after[end - 1] = -1
-            start = end
-        self._replay(ids, before, after)
-        flat = np.array(ids, np.int64)
-        out, start = [], 0
-        for end in ends:
-            word = flat[start:end]
-            out.append(word[word >= 0].astype("<u4").tobytes())
-            start = end
-        return out
-
-    def _replay(self, ids: list[int], before: list[int], after: list[int]) -> None:
+        whole = [self.ranks.get(w) for w in words]
+        rest = [w for w, rank in zip(words, whole) if rank is None]
+        parts = iter(self._corpus(rest))
+        return [next(parts) if rank is None else rank.to_bytes(4, "little") for rank in whole]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, -1 for those that do not merge."""
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.merged[at], -1)
+
+    def _corpus(self, words: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(w) for w in words], np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        n, ends = len(raw), np.cumsum(sizes)
+        # shared memory: single places are read as lists, many at once as arrays
+        ids, before, after = (array("q", bytes(8 * n)) for _ in range(3))
+        view = [np.frombuffer(x, np.int64) for x in (ids, before, after)] if n else [np.zeros(0, np.int64)] * 3
+        view[0][:] = np.array(self.byte, np.int64)[raw]
+        view[1][:], view[2][:] = np.arange(-1, n - 1), np.arange(1, n + 1)
+        full = sizes > 0
+        view[1][(ends - sizes)[full]] = view[2][ends[full] - 1] = -1
+        word = np.repeat(np.arange(len(words)), sizes)
+        self._replay(ids, before, after, *view, word)
+        alive = view[0] >= 0
+        kept = np.concatenate([[0], np.cumsum(alive)])
+        flat, cuts = view[0][alive].astype("<u4").tobytes(), (4 * kept[np.concatenate([[0], ends])]).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _replay(self, ids, before, after, v_ids, v_before, v_after, word) -> None:
+        """Ranks in order from the index; of one word, the leftmost place first.
+
+        A place whose pair has changed since it was entered is passed over.  If
+        a merge gives rise to a pair of lower rank, that rank comes next.
+        """
         get = self.pairs.get
-        index: dict[int, list[int]] = {}
-        for i, a in enumerate(ids):
-            j = after[i]
-            if j >= 0 and (rank := get(a << 32 | ids[j])) is not None:
-                index.setdefault(rank, []).append(i)
+        place = np.flatnonzero(v_after >= 0)
+        rank = self._ranks(v_ids[place], v_ids[v_after[place]])
+        place, rank = place[rank >= 0], rank[rank >= 0]
+        order = np.argsort(rank, kind="stable")
+        place, rank = place[order], rank[order]
+        cuts = np.flatnonzero(np.diff(rank, prepend=-1, append=-1))
+        index = {int(rank[a]): [place[a:b]] for a, b in zip(cuts[:-1], cuts[1:])} if len(rank) else {}
         due = list(index)
         heapify(due)
+
+        def enter(new: int, where) -> None:
+            if new in index:
+                index[new].append(where)
+            else:
+                index[new] = [where]
+                heappush(due, new)
+
         while due:
-            rank = heappop(due)
-            places = index.pop(rank, None)
-            if places is None:
+            r = heappop(due)
+            entries = index.pop(r, None)
+            if entries is None:
+                continue
+            if sum(1 if isinstance(e, int) else len(e) for e in entries) >= MANY:
+                self._merge_many(r, np.unique(np.concatenate([[e] if isinstance(e, int) else e for e in entries])), v_ids, v_before, v_after, word, enter)
                 continue
-            heapify(places)
+            places = sorted({p for e in entries for p in ([e] if isinstance(e, int) else e.tolist())})
             while places:
-                i = heappop(places)
+                i = places.pop(0)
                 a, j = ids[i], after[i]
-                if a < 0 or j < 0 or get(a << 32 | ids[j]) != rank:
+                if a < 0 or j < 0 or get(a << 32 | ids[j]) != r:
                     continue
-                k = after[j]
-                ids[i], ids[j], after[i] = rank, -1, k
-                lower = False
+                k, h = after[j], before[i]
+                ids[i], ids[j], after[i] = r, -1, k
+                least = r
                 if k >= 0:
                     before[k] = i
-                    lower |= self._found(get(rank << 32 | ids[k]), i, rank, index, due, places)
-                h = before[i]
-                if h >= 0:
-                    lower |= self._found(get(ids[h] << 32 | rank), h, rank, index, due, places)
-                if lower and places:
-                    index[rank] = places
-                    heappush(due, rank)
+                    if (new := get(r << 32 | ids[k])) is not None:
+                        enter(new, i)
+                        least = min(least, new + (new == r))
+                if h >= 0 and (new := get(ids[h] << 32 | r)) is not None:
+                    enter(new, h)
+                    least = min(least, new + (new == r))
+                if least < r and places:  # the lower rank comes before what is left of this one
+                    for p in places:
+                        enter(r, p)
                     break
 
-    @staticmethod
-    def _found(new: int | None, at: int, rank: int, index: dict, due: list, places: list) -> bool:
-        """Enter a new pair into the index; whether it comes before `rank`."""
-        if new is None:
-            return False
-        if new == rank:
-            heappush(places, at)
-            return False
-        if new in index:
-            index[new].append(at)
-        else:
-            index[new] = [at]
-            heappush(due, new)
-        return new < rank
+    def _merge_many(self, r: int, places: np.ndarray, ids, before, after, word, enter) -> None:
+        """The leftmost valid place of each word; a word's further places wait."""
+        places = places[(ids[places] >= 0) & (after[places] >= 0)]
+        places = places[self._ranks(ids[places], ids[after[places]]) == r]
+        if not len(places):
+            return
+        first = np.diff(word[places], prepend=-1) != 0
+        if not first.all():
+            enter(r, places[~first])
+        i = places[first]
+        j = after[i]
+        k, h = after[j], before[i]
+        ids[i], ids[j], after[i] = r, -1, k
+        right, left = k >= 0, h >= 0
+        before[k[right]] = i[right]
+        where = np.concatenate([i[right], h[left]])
+        new = np.concatenate([self._ranks(ids[i[right]], ids[k[right]]), self._ranks(ids[h[left]], ids[i[left]])])
+        where, new = where[new >= 0], new[new >= 0]
+        order = np.argsort(new, kind="stable")
+        where, new = where[order], new[order]
+        cuts = np.flatnonzero(np.diff(new, prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            enter(int(new[a]), where[a:b] if b - a > 1 else int(where[a]))
+
+
+def _latin(pattern: str):
+    """The split for texts of code points under 0250, by the faster library;
+    None if the pattern has classes that are not listed."""
+    space, letters, numbers = LATIN.values()
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]")
+    for name, members in ((r"\p{L}", letters), (r"\p{N}", numbers), (r"\s", space)):
+        pattern = pattern.replace(name, f"[{members}]")
+    pattern = pattern.replace(r"\S", f"[^{space}]")
+    return None if r"\p" in pattern else re.compile(pattern).findall
 
 
 class Tokenizer:
@@ -128,6 +187,7 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
+        self.fast = _latin(pattern)
         # \s of the ranks' library is White_Space, without the separators 1C to 1F
         self.split = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.replay = MergeReplay(ranks)
@@ -135,8 +195,8 @@ class Tokenizer:
 
     def encode(self, texts: list) -> list[bytes]:
         out: list[bytes] = []
-        for start, end in slices(texts):
-            found = [self.split(t) if t else [] for t in texts[start:end]]
+        for start, end in slices(texts, CORPUS_CHARS):
+            found = [(self.fast(t) if self.fast and not BEYOND_LATIN(t) else self.split(t)) if t else [] for t in texts[start:end]]
             if len(self.known) > CACHE_WORDS:
                 self.known = {}
             new = list({w for ws in found for w in ws if w not in self.known})
