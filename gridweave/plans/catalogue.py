@@ -477,12 +477,13 @@ def lookback_windows(spark, d):
     return trend.lookback_windows(filled).select("pixel", "year", "month", total("past").alias("past_sum"), total("future").alias("future_sum"))
 
 
-@query(f"""WITH p AS (SELECT pixel, {COORDS_SQL} FROM pix), a AS (SELECT * FROM p WHERE pixel % 10 = 0)
+@query(f"""WITH p AS (SELECT pixel, value, {COORDS_SQL} FROM pix), a AS (SELECT * FROM p WHERE value > 25)
   SELECT a.pixel AS id_a, p.pixel AS id_b FROM a JOIN p ON abs(a.lat - p.lat) < 2 AND abs(a.lon - p.lon) < 4
   WHERE 2 * 6371.0088 * asin(sqrt(pow(sin(radians(p.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - a.lon) / 2), 2))) <= 100""")
 def buffer_join(spark, d):
-    points = grid.with_coords(pixels(spark, d), AFFINE).select(F.col("pixel").alias("id"), "lon", "lat")
-    return trend.within_km(points.where("id % 10 = 0"), points, 100)
+    """Cells within 100 km of a masked one."""
+    points = grid.with_coords(pixels(spark, d), AFFINE).select(F.col("pixel").alias("id"), "lon", "lat", "value")
+    return trend.within_km(grid.masked(points, ABOVE), points, 100)
 
 
 @query("""SELECT event_id, pixel, epoch_us(ts) - lag(epoch_us(ts)) OVER o AS since_last, epoch_us(ts) - first_value(epoch_us(ts)) OVER o AS since_start
