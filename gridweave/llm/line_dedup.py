@@ -65,16 +65,19 @@ def chunks_of(text: str) -> tuple[list[int], list[tuple[int, int, int, int]]]:
     for h in hashes:
         rolled.append((h * ROLL[0] + before * ROLL[1]) & M64)
         before = h
-    out = []
+    out, spans = [], set()  # a span that both choices make is one occurrence
     for choice, bit in enumerate(BITS):
         first = n = 0
         for i, r in enumerate(rolled):
             n += words[i]
             size = i + 1 - first
             if size >= MIN_LINES and n >= MIN_WORDS and (r >> bit & 1 or size >= MAX_LINES):
-                out.append((digest(packed[8 * first : 8 * i + 8]), choice, first, i + 1))
+                if (first, i + 1) not in spans:
+                    spans.add((first, i + 1))
+                    out.append((digest(packed[8 * first : 8 * i + 8]), choice, first, i + 1))
                 first, n = i + 1, 0
-        if len(ends) - first >= MIN_LINES and n >= MIN_WORDS:
+        if len(ends) - first >= MIN_LINES and n >= MIN_WORDS and (first, len(ends)) not in spans:
+            spans.add((first, len(ends)))
             out.append((digest(packed[8 * first :]), choice, first, len(ends)))
     return ends, out
 

@@ -205,6 +205,17 @@ def test_line_dedup(spark, docs):
     assert passage in pair[0] and len(pair[1]) < len(passage) / 2 and pair[2] == "All of this is alone."
 
 
+def test_line_dedup_loses_no_line(spark, docs):
+    """Whatever is cut stays somewhere: no line leaves the corpus, and unique texts are as they were."""
+    lines = lambda t: {t[a:b].strip() for a, b in zip([0, *line_dedup.lines_of(t)], line_dedup.lines_of(t))} if t else set()
+    rows = docs.select("doc_id", "text").toPandas()
+    after = line_dedup.dedup(docs).toPandas()
+    assert set().union(*map(lines, rows.text)) - {""} == set().union(*map(lines, after.text)) - {""}
+    alone = ["The quick brown fox jumps over the lazy dog today.\nAnother line with quite some words follows right here.", "One two three four five six. Seven eight nine ten eleven.", "a b c d e f g h i j k.\n" * 2]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, alone)).collect()}
+    assert got == dict(enumerate(alone))
+
+
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
 def test_jaccard(spark, width, percent):
     rng = random.Random(9)
