@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import bound_batches, broadcast_if_small, checkpoint
 
 MIN_LINES, MAX_LINES, MIN_WORDS = 2, 12, 10
+#: Chunks (a hash and two numbers each) and places in lists that may be broadcast.
+BROADCAST_CHUNKS, BROADCAST_PLACES = 500_000, 3_000_000
 BREAK = re.compile(r"\n\s*|[.!?]\s+")
 #: Bits of the rolling hash that end a chunk, one for each choice of boundaries.
 BITS = (40, 52)
@@ -122,14 +124,21 @@ def chunk_texts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "chunk long, id long, place long, stays boolean, bytes string")
 
 
+def _broadcast_lists(listed: DataFrame) -> DataFrame:
+    """listed (id, places, ...) with a broadcast hint, if all its lists together are short enough."""
+    n = listed.agg(F.sum(F.size("places") + 1)).first()[0] or 0
+    return F.broadcast(listed) if n <= BROADCAST_PLACES else listed
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """id and places (of the chunks to remove) of each document that has any."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     rows = checkpoint(chunk_rows(texts))
-    repeated = rows.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")).where("n > 1").select("chunk", "first")
-    hits = rows.join(repeated, "chunk").select("id", "place", ((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place"))).alias("stays"))
+    # written, so that the join below has two plain sides and Spark can split a chunk that many documents have
+    repeated = checkpoint(rows.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")).where("n > 1").select("chunk", "first"))
+    hits = rows.join(broadcast_if_small(repeated, BROADCAST_CHUNKS), "chunk").select("id", "place", ((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place"))).alias("stays"))
     listed = checkpoint(hits.groupBy("id").agg(F.collect_list(F.struct("place", "stays")).alias("l")).select("id", F.col("l.place").alias("places"), F.col("l.stays").alias("stays")))
-    found = checkpoint(chunk_texts(texts.join(broadcast_if_small(listed), "id").select("id", "text", "places", "stays")))
+    found = checkpoint(chunk_texts(texts.join(_broadcast_lists(listed), "id").select("id", "text", "places", "stays")))
     kept = found.where("stays").select("chunk", "bytes").distinct()
     equal = found.where("not stays").join(kept, ["chunk", "bytes"], "left_semi")  # the comparison of bytes
     return checkpoint(equal.groupBy("id").agg(F.collect_set("place").alias("places")))
@@ -150,7 +159,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     places = removals(docs)
     marked = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    joined = marked.join(broadcast_if_small(places.select(F.col("id").alias("__id"), F.col("places").alias("__places"))), "__id", "left").drop("__id")
+    joined = marked.join(_broadcast_lists(places).withColumnsRenamed({"id": "__id", "places": "__places"}), "__id", "left").drop("__id")
     at = joined.columns.index("text")
     n_at = joined.columns.index("n_chars") if "n_chars" in joined.columns else -1
 
