@@ -139,7 +139,7 @@ def removals(docs: DataFrame) -> DataFrame:
     hits = rows.join(broadcast_if_small(repeated, BROADCAST_CHUNKS), "chunk").select("id", "place", ((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place"))).alias("stays"))
     listed = checkpoint(hits.groupBy("id").agg(F.collect_list(F.struct("place", "stays")).alias("l")).select("id", F.col("l.place").alias("places"), F.col("l.stays").alias("stays")))
     found = checkpoint(chunk_texts(texts.join(_broadcast_lists(listed), "id").select("id", "text", "places", "stays")))
-    kept = found.where("stays").select("chunk", "bytes").distinct()
+    kept = found.where("stays").select("chunk", "bytes")  # one each, or a few where ids repeat; not aggregated, so a hot chunk can be split
     equal = found.where("not stays").join(kept, ["chunk", "bytes"], "left_semi")  # the comparison of bytes
     return checkpoint(equal.groupBy("id").agg(F.collect_set("place").alias("places")))
 
