@@ -360,13 +360,14 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, same (hash of the text), n_shingles, component_id for every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("same"), "text")
     ids = checkpoint(rows.select("id", "same"))
-    copies = ids.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    # written, here and below, so that a join has two plain sides and Spark can split a hot key
+    copies = checkpoint(ids.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1"))
     later = checkpoint(ids.join(copies, "same").where("id != first").select("id", "same").distinct())
     once = rows.join(broadcast_if_small(later), ["id", "same"], "left_anti")
     sets = checkpoint(leading_shingles(once, width, percent))
     keys = sets.where("id is not null").select("id", F.explode("keys").alias("key"))
 
-    pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pivots = checkpoint(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
     near = checkpoint(keys.join(pivots, "key"))
     texts = checkpoint(rows.where("id is not null").select("id", "text", "same").join(broadcast_if_small(near.select("id").distinct()), "id", "left_semi").join(broadcast_if_small(later), ["id", "same"], "left_anti").drop("same"))
 
@@ -392,7 +393,7 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
             known = checkpoint(components(found.union(last)))
 
     n = sets.groupBy("same").agg(F.min("id").alias("first"), F.max("n").alias("n_shingles"))
-    labels = n.join(known.withColumnRenamed("id", "first"), "first", "left").select("same", "n_shingles", F.coalesce("component", "first").alias("component"))
+    labels = checkpoint(n.join(known.withColumnRenamed("id", "first"), "first", "left").select("same", "n_shingles", F.coalesce("component", "first").alias("component")))
     return ids.join(labels, "same").select(
         F.col("id").alias("doc_id"), "same", "n_shingles", F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.col("component")).alias("component_id")
     )
