@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tidy() -> None:
+    """Give back what a Python worker's earlier work has freed: workers live on
+    from stage to stage, and their allocators keep freed memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class PerWorker:
     """An object that each Python worker makes once and keeps between tasks.
 
@@ -92,5 +104,6 @@ class PerWorker:
     def get(self):
         held = self.shared.value
         if "made" not in held:
+            tidy()
             held["made"] = self.make(*held["args"])
         return held["made"]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import bound_batches, broadcast_if_small, checkpoint
+from gridweave.llm.common import bound_batches, broadcast_if_small, checkpoint, tidy
 
 MIN_LINES, MAX_LINES, MIN_WORDS = 2, 12, 10
 #: Chunks (a hash and two numbers each) and places in lists that may be broadcast.
@@ -92,6 +92,7 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
     """chunk (hash), id and place of every chunk of texts (id, text)."""
 
     def run(batches):
+        tidy()
         for b in batches:
             ids, chunk, place = [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -108,6 +109,7 @@ def chunk_texts(texts: DataFrame) -> DataFrame:
     """chunk, id, place, stays and bytes of the listed chunks of texts (id, text, places, stays)."""
 
     def run(batches):
+        tidy()
         for b in batches:
             rows = []
             for doc_id, text, places, stays in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
@@ -164,6 +166,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     n_at = joined.columns.index("n_chars") if "n_chars" in joined.columns else -1
 
     def run(batches):
+        tidy()
         for b in batches:
             names, columns = b.schema.names, list(b.columns)
             lists = columns[-1].to_pylist()
