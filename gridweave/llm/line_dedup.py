@@ -2,15 +2,18 @@
 
 A text is a sequence of lines; a line that holds several sentences is cut after
 each of them, since a passage may begin in the middle of a line.  Every line is
-hashed (without white space at its ends), a rolling hash over the last two line
-hashes says where chunks end, and so equal passages are cut alike wherever
-they stand.  Two independent choices of boundaries are made, so that what one
-loses at the edges of a passage the other may keep.  A chunk has at least
-MIN_LINES lines and MIN_WORDS words, and at most MAX_LINES lines.
+hashed (without white space at its ends).  Chunks begin at every line: a chunk
+is the shortest run of lines from its first line that has MIN_LINES lines and
+MIN_WORDS words; the shortest such run up to a line is a chunk as well, where
+no first line makes it.  So chunks overlap, what is a chunk depends on its own
+lines only, and the chunks within a shared run of lines cover all of it:
+nothing is left to grow at its edges but parts of lines.
 
 Of a chunk that occurs more than once in all documents, the occurrence with
-the smallest id and place stays; every other one is removed, if its bytes
-(line by line) are those of the one that stays.
+the smallest id and place is the first; the lines of every other one are
+removed, if its bytes (line by line) are those of the first.  The first
+occurrence of a line in the corpus is in no chunk that stood before, so no line
+leaves the corpus.
 
 Defined results: null and empty texts stay as they are.  A text of which
 nothing is left becomes empty; its row stays.  Rows without an id are left
@@ -25,18 +28,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import bound_batches, broadcast_if_small, checkpoint, tidy
+from gridweave.llm.common import bound_batches, broadcast_if_small, checkpoint, slices, tidy
 
-MIN_LINES, MAX_LINES, MIN_WORDS = 2, 12, 10
+MIN_LINES, MIN_WORDS = 2, 10
 #: Chunks (a hash and two numbers each) and places in lists that may be broadcast.
 BROADCAST_CHUNKS, BROADCAST_PLACES = 500_000, 3_000_000
 BREAK = re.compile(r"\n\s*|[.!?]\s+")
-#: Bits of the rolling hash that end a chunk, one for each choice of boundaries.
-BITS = (40, 52)
-ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Base of the polynomial hash of a chunk's line hashes.
+ROLL = 0x9E3779B97F4A7C15
 M64 = (1 << 64) - 1
 
 
@@ -48,82 +51,117 @@ def lines_of(text: str) -> list[int]:
     return ends
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Chunks:
+    """The lines of some texts, and the chunks of each text in their order.
+
+    Lines are numbered through all the texts; text t has those from bounds[t] to
+    bounds[t + 1].  For each chunk: owner (number of the text), first and end
+    line, hash, and place: twice the first line's number in the text, or, of
+    chunks that only their last line makes, twice the last line's number and 1.
+    """
+
+    def __init__(self, texts: list[str]):
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        self.pieces: list[str] = []
+        bounds = [0]
+        for text in texts:
+            start = 0
+            for end in lines_of(text):
+                self.pieces.append(text[start:end])
+                start = end
+            bounds.append(len(self.pieces))
+        self.lines = [p.strip() for p in self.pieces]
+        self.bounds, n = np.array(bounds), len(self.lines)
+        hashes = np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in self.lines), np.uint64, n)
+        words = np.fromiter((x.count(" ") + 1 if x else 0 for x in self.lines), np.int64, n)
+
+        of_line = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
+        start, stop, line = self.bounds[of_line], self.bounds[of_line + 1], np.arange(n)
+        total = np.concatenate([[0], np.cumsum(words)])
+        end = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS), line + MIN_LINES)
+        first = np.minimum(np.searchsorted(total, total[1:] - MIN_WORDS, "right") - 1, line + 1 - MIN_LINES)
+        ahead = np.flatnonzero(end <= stop)
+        back = np.flatnonzero(first >= start)
+        back = back[end[first[back]] != back + 1]
+        self.first, self.end = np.concatenate([ahead, first[back]]), np.concatenate([end[ahead], back + 1])
+        self.place = np.concatenate([2 * (ahead - start[ahead]), 2 * (back - start[back]) + 1])
+        order = np.argsort(np.concatenate([2 * ahead, 2 * back + 1]), kind="stable")
+        self.first, self.end, self.place = self.first[order], self.end[order], self.place[order]
+        self.owner = of_line[self.first]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(ROLL, n), dtype=np.uint64)])
+        self.hash = (sums[self.end] - sums[self.first]) * _powers(pow(ROLL, -1, M64 + 1), n)[self.first]
+
+    def listed(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the chunks at the places that `lists` has for each text, and where in its values each is."""
+        owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        width = 2 * len(self.lines) + 2
+        wanted = owner * width + lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        own = self.owner * width + self.place  # ascending
+        at = np.searchsorted(own, wanted)
+        there = np.flatnonzero(at < len(own))
+        there = there[own[at[there]] == wanted[there]]
+        return at[there], there
+
+    def without(self, chunks: np.ndarray) -> list[str]:
+        """The texts without the lines of these chunks."""
+        edge = np.zeros(len(self.lines) + 1, np.int64)
+        np.add.at(edge, self.first[chunks], 1)
+        np.add.at(edge, self.end[chunks], -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        out = []
+        for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
+            some = gone[a:b]
+            kept = "".join(p for p, g in zip(self.pieces[a:b], some.tolist()) if not g)
+            out.append(kept.rstrip() if some.any() else kept)
+        return out
+
+
 def chunks_of(text: str) -> tuple[list[int], list[tuple[int, int, int, int]]]:
-    """Ends of the lines, and (hash, choice, first line, end line) of each chunk."""
-    import xxhash
-
-    ends = lines_of(text)
-    hashes, words, start = [], [], 0
-    digest = xxhash.xxh3_64_intdigest
-    for end in ends:
-        line = text[start:end].strip()
-        hashes.append(digest(line.encode("utf-8", "surrogatepass")))
-        words.append(line.count(" ") + 1 if line else 0)
-        start = end
-    if len(ends) < MIN_LINES:
-        return ends, []
-    packed = np.array(hashes, "<u8").tobytes()
-    rolled, before = [], 0
-    for h in hashes:
-        rolled.append((h * ROLL[0] + before * ROLL[1]) & M64)
-        before = h
-    out, spans = [], set()  # a span that both choices make is one occurrence
-    for choice, bit in enumerate(BITS):
-        first = n = 0
-        for i, r in enumerate(rolled):
-            n += words[i]
-            size = i + 1 - first
-            if size >= MIN_LINES and n >= MIN_WORDS and (r >> bit & 1 or size >= MAX_LINES):
-                if (first, i + 1) not in spans:
-                    spans.add((first, i + 1))
-                    out.append((digest(packed[8 * first : 8 * i + 8]), choice, first, i + 1))
-                first, n = i + 1, 0
-        if len(ends) - first >= MIN_LINES and n >= MIN_WORDS and (first, len(ends)) not in spans:
-            spans.add((first, len(ends)))
-            out.append((digest(packed[8 * first :]), choice, first, len(ends)))
-    return ends, out
-
-
-def _place(choice: int, first: int) -> int:
-    return first * len(BITS) + choice
+    """Ends of the lines, and (hash, choice, first line, end line) of each chunk; its place is 2 * first + choice."""
+    c = Chunks([text])
+    return lines_of(text), list(zip(c.hash.tolist(), (c.place - 2 * c.first).tolist(), c.first.tolist(), c.end.tolist()))
 
 
 def chunk_rows(texts: DataFrame) -> DataFrame:
-    """chunk (hash), id and place of every chunk of texts (id, text)."""
+    """chunk (hash), id, version and place of every chunk of texts (id, version, text)."""
 
     def run(batches):
         tidy()
         for b in batches:
-            ids, chunk, place = [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for h, choice, first, _ in chunks_of(text.as_py())[1]:
-                    ids.append(doc_id)
-                    chunk.append(h)
-                    place.append(_place(choice, first))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(chunk, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(place, pa.int64())], ["chunk", "id", "place"])
+            values = b.column(2).to_pylist()
+            for start, end in slices(values):
+                c = Chunks(values[start:end])
+                owner = pa.array(c.owner + start)
+                yield pa.RecordBatch.from_arrays([pa.array(c.hash.view(np.int64)), b.column(0).take(owner), b.column(1).take(owner), pa.array(c.place)], ["chunk", "id", "version", "place"])
 
-    return texts.mapInArrow(run, "chunk long, id long, place long")
+    return texts.mapInArrow(run, "chunk long, id long, version long, place long")
 
 
 def chunk_texts(texts: DataFrame) -> DataFrame:
-    """chunk, id, place, stays and bytes of the listed chunks of texts (id, text, places, stays)."""
+    """chunk, id, version, place, stays and bytes of the listed chunks of texts (id, version, text, places, stays)."""
 
     def run(batches):
         tidy()
         for b in batches:
-            rows = []
-            for doc_id, text, places, stays in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                text, wanted = text.as_py(), dict(zip(places, stays))
-                ends, found = chunks_of(text)
-                for h, choice, first, end in found:
-                    place = _place(choice, first)
-                    if place in wanted:
-                        lines = [text[ends[k - 1] if k else 0 : ends[k]].strip() for k in range(first, end)]
-                        rows.append((h, doc_id, place, wanted[place], "\n".join(lines)))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(columns[0], np.uint64).view(np.int64)), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_()), pa.array(columns[4], pa.string())], ["chunk", "id", "place", "stays", "bytes"])
+            values = b.column(2).to_pylist()
+            for start, end in slices(values):
+                part = b.slice(start, end - start)
+                c = Chunks(values[start:end])
+                found, at = c.listed(part.column(3))
+                owner = pa.array(c.owner[found])
+                whole = ["\n".join(c.lines[f:e]) for f, e in zip(c.first[found].tolist(), c.end[found].tolist())]
+                columns = [pa.array(c.hash[found].view(np.int64)), part.column(0).take(owner), part.column(1).take(owner), pa.array(c.place[found]), part.column(4).flatten().take(pa.array(at)), pa.array(whole, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "id", "version", "place", "stays", "bytes"])
 
-    return texts.mapInArrow(run, "chunk long, id long, place long, stays boolean, bytes string")
+    return texts.mapInArrow(run, "chunk long, id long, version long, place long, stays boolean, bytes string")
 
 
 def _broadcast_lists(listed: DataFrame) -> DataFrame:
@@ -132,36 +170,38 @@ def _broadcast_lists(listed: DataFrame) -> DataFrame:
     return F.broadcast(listed) if n <= BROADCAST_PLACES else listed
 
 
+def _version() -> Column:
+    """Tells the texts of rows with one id apart."""
+    return F.xxhash64("text")
+
+
 def removals(docs: DataFrame) -> DataFrame:
-    """id and places (of the chunks to remove) of each document that has any."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    """id, version and places (of the chunks to remove) of each document that has any."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), _version().alias("version"), "text").where("id is not null and text is not null")
     rows = checkpoint(chunk_rows(texts))
     # written, so that the join below has two plain sides and Spark can split a chunk that many documents have
     repeated = checkpoint(rows.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")).where("n > 1").select("chunk", "first"))
-    hits = rows.join(broadcast_if_small(repeated, BROADCAST_CHUNKS), "chunk").select("id", "place", ((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place"))).alias("stays"))
-    listed = checkpoint(hits.groupBy("id").agg(F.collect_list(F.struct("place", "stays")).alias("l")).select("id", F.col("l.place").alias("places"), F.col("l.stays").alias("stays")))
-    found = checkpoint(chunk_texts(texts.join(_broadcast_lists(listed), "id").select("id", "text", "places", "stays")))
+    one = ["id", "version"]
+    hits = rows.join(broadcast_if_small(repeated, BROADCAST_CHUNKS), "chunk").select(*one, "place", ((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place"))).alias("stays"))
+    listed = checkpoint(hits.groupBy(*one).agg(F.collect_list(F.struct("place", "stays")).alias("l")).select(*one, F.col("l.place").alias("places"), F.col("l.stays").alias("stays")))
+    found = checkpoint(chunk_texts(texts.join(_broadcast_lists(listed), one).select(*one, "text", "places", "stays")))
     kept = found.where("stays").select("chunk", "bytes")  # one each, or a few where ids repeat; not aggregated, so a hot chunk can be split
     equal = found.where("not stays").join(kept, ["chunk", "bytes"], "left_semi")  # the comparison of bytes
-    return checkpoint(equal.groupBy("id").agg(F.collect_set("place").alias("places")))
+    return checkpoint(equal.groupBy(*one).agg(F.collect_set("place").alias("places")))
 
 
 def cut(text: str, places: list[int]) -> str:
     """The text without the lines of these chunks."""
-    ends, found = chunks_of(text)
-    gone, wanted = set(), set(places)
-    for _, choice, first, end in found:
-        if _place(choice, first) in wanted:
-            gone.update(range(first, end))
-    return "".join(text[ends[k - 1] if k else 0 : ends[k]] for k in range(len(ends)) if k not in gone).rstrip() if gone else text
+    c = Chunks([text])
+    return c.without(c.listed(pa.array([places], pa.list_(pa.int64())))[0])[0]
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks cut from text, and n_chars (if there is such a column) set anew."""
     bound_batches(docs.sparkSession)
     places = removals(docs)
-    marked = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    joined = marked.join(_broadcast_lists(places).withColumnsRenamed({"id": "__id", "places": "__places"}), "__id", "left").drop("__id")
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__version": _version()})
+    joined = marked.join(_broadcast_lists(places).withColumnsRenamed({"id": "__id", "version": "__version", "places": "__places"}), ["__id", "__version"], "left").drop("__id", "__version")
     at = joined.columns.index("text")
     n_at = joined.columns.index("n_chars") if "n_chars" in joined.columns else -1
 
@@ -169,12 +209,16 @@ def dedup(docs: DataFrame) -> DataFrame:
         tidy()
         for b in batches:
             names, columns = b.schema.names, list(b.columns)
-            lists = columns[-1].to_pylist()
-            if any(lists):
+            changed = np.flatnonzero(columns[-1].is_valid().to_numpy(zero_copy_only=False)).tolist()
+            if changed:
                 texts = columns[at].to_pylist()
-                changed = [k for k, p in enumerate(lists) if p]
-                for k in changed:
-                    texts[k] = cut(texts[k], lists[k])
+                lists = columns[-1].take(pa.array(changed))
+                some = [texts[k] for k in changed]
+                for start, end in slices(some):
+                    c = Chunks(some[start:end])
+                    some[start:end] = c.without(c.listed(lists.slice(start, end - start))[0])
+                for k, text in zip(changed, some):
+                    texts[k] = text
                 columns[at] = pa.array(texts, columns[at].type)
                 if n_at >= 0:
                     n = columns[n_at].to_pylist()

@@ -216,6 +216,38 @@ def test_line_dedup_loses_no_line(spark, docs):
     assert got == dict(enumerate(alone))
 
 
+def test_line_dedup_finds_shared_passages_in_unique_documents(spark):
+    """A passage of 50 to 125 words in otherwise unique documents goes, all but the parts of lines at its edges."""
+    rng = random.Random(11)
+    unique = itertools.count()
+    sentence = lambda n: " ".join(f"u{next(unique)}" for _ in range(n)) + rng.choice([". ", "! ", ".\n"])
+    own = lambda: "".join(sentence(rng.randint(1, 16)) for _ in range(rng.randint(2, 20)))
+    texts, inner = [], []
+    for _ in range(150):
+        while True:
+            words = "".join(sentence(rng.choice([2, 4, 9, 13])) for _ in range(40)).split(" ")[3:][: rng.randint(50, 125)]
+            passage = " ".join(words).rstrip(".!")
+            ends = line_dedup.lines_of(passage)
+            if len(ends) >= 4:  # two whole lines or more between the parts of lines at the edges
+                break
+        whole = passage[ends[0] : ends[-2]].strip()
+        inner.append(whole if len(whole.split(" ")) >= line_dedup.MIN_WORDS else None)
+        texts += [own() + "x " + passage + " " + own(), own() + "y " + passage + " " + own()]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, texts)).collect()}
+    for k, whole in enumerate(inner):
+        assert got[2 * k] == texts[2 * k]
+        if whole:
+            before, after = texts[2 * k + 1].split(whole)
+            assert got[2 * k + 1] == (before + after.lstrip()).rstrip()
+
+
+def test_line_dedup_keeps_texts_of_one_id_apart(spark):
+    passage = " ".join(f"Sentence number {k} of the passage has these words." for k in range(6))
+    other = " ".join(f"Line {k} is of one document alone and stays whole." for k in range(6))
+    got = line_dedup.dedup(docs_of(spark, [passage, passage, other], [1, 2, 2])).collect()
+    assert sorted(r["text"] for r in got) == ["", other, passage]
+
+
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
 def test_jaccard(spark, width, percent):
     rng = random.Random(9)
