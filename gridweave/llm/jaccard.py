@@ -13,7 +13,7 @@ each.  For each such shingle, the smallest id that has it is its pivot.
    what is linked already puts both into one component.
 3. The documents of a shingle that are then still in several components form
    a region, if their leading shingles leave a link open.  Regions that share a
-   document are merged and joined recursively in one task: a pivot's
+   document are merged and joined in one task, pivot after pivot: a pivot's
    distances to all others give links, and by the triangle inequality a pair
    can link only if its distances to the pivot differ by the threshold at
    most.  Regions that are too large for a task are cut into blocks, and each
