@@ -20,8 +20,9 @@ each.  For each such shingle, the smallest id that has it is its pivot.
    pair of blocks is joined.
 
 Every pair that can link is compared, or is known to be connected, so that the
-components are exact.  The order of shingles comes from counts over all
-documents; it bears on speed alone.
+components are exact.  The order of shingles comes from counts of a
+share of the shingles (by hash) in all documents, the FREQUENT most frequent of
+them; it is approximate by count, the same everywhere, and bears on speed alone.
 
 Defined results: null or blank text has no shingles and links with nothing.
 Fewer words than a shingle make one shingle of the whole text.  Equal texts are
