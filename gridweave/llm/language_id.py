@@ -29,7 +29,7 @@ from gridweave.llm.common import PerWorker, bound_batches, slices, tokenizer_pat
 SAMPLE_ROWS = 400
 #: Languages are those of the labelled sample; rarer ones beyond so many are not learned.
 MAX_LANGS = 256
-MAX_PIECE, MAX_WORD, ROUNDS = 8, 40, 3
+MAX_WORD, ROUNDS = 40, 3
 #: Words whose scores a worker remembers before it starts afresh.
 CACHE_WORDS = 400_000
 #: Probability of a letter that no piece has, and what is added to each expected count.
@@ -44,7 +44,7 @@ def load_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    keep = {p.lower() for p in every if 0 < len(p) <= MAX_PIECE and p.removeprefix(START).isalpha()}
+    keep = {p.lower() for p in every if p.removeprefix(START).isalpha()}
     return sorted(keep | {START})
 
 
@@ -68,19 +68,23 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
     return groups
 
 
+def _longest(index: dict[str, int]) -> int:
+    return max(map(len, index), default=0)
+
+
 def log_forward(words: list[str], index: dict[str, int], probs: np.ndarray) -> np.ndarray:
     """words x languages: log of the summed probability of all segmentations.
 
     probs: pieces x languages, then one row of zeros for "no such piece".
     """
-    out = np.empty((len(words), probs.shape[1]))
+    out, longest = np.empty((len(words), probs.shape[1])), _longest(index)
     marked = [START + w for w in words]
     for n, members in _by_length(marked).items():
         group = [marked[k] for k in members]
         alpha = [np.ones((len(group), probs.shape[1]))]
         for j in range(1, n + 1):
             total = alpha[j - 1] * UNKNOWN
-            for i in range(max(0, j - MAX_PIECE), j):
+            for i in range(max(0, j - longest), j):
                 total += alpha[i] * probs[_ids(group, i, j, index)]
             alpha.append(total)
         out[members] = np.log(np.maximum(alpha[n], 1e-300))
@@ -89,17 +93,17 @@ def log_forward(words: list[str], index: dict[str, int], probs: np.ndarray) -> n
 
 def expected_counts(words: list[str], weights: np.ndarray, index: dict[str, int], prob: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words."""
-    counts = np.zeros(len(prob))
+    counts, longest = np.zeros(len(prob)), _longest(index)
     marked = [START + w for w in words]
     for n, members in _by_length(marked).items():
         group, weight = [marked[k] for k in members], weights[members]
-        spans = {(i, j): _ids(group, i, j, index) for j in range(1, n + 1) for i in range(max(0, j - MAX_PIECE), j)}
+        spans = {(i, j): _ids(group, i, j, index) for j in range(1, n + 1) for i in range(max(0, j - longest), j)}
         alpha, beta = np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group)))
         alpha[0] = beta[n] = 1
         for j in range(1, n + 1):
-            alpha[j] = alpha[j - 1] * UNKNOWN + sum(alpha[i] * prob[spans[i, j]] for i in range(max(0, j - MAX_PIECE), j))
+            alpha[j] = alpha[j - 1] * UNKNOWN + sum(alpha[i] * prob[spans[i, j]] for i in range(max(0, j - longest), j))
         for i in range(n - 1, -1, -1):
-            beta[i] = beta[i + 1] * UNKNOWN + sum(beta[j] * prob[spans[i, j]] for j in range(i + 1, min(n, i + MAX_PIECE) + 1))
+            beta[i] = beta[i + 1] * UNKNOWN + sum(beta[j] * prob[spans[i, j]] for j in range(i + 1, min(n, i + longest) + 1))
         scale = weight / np.maximum(alpha[n], 1e-300)
         for (i, j), ids in spans.items():
             np.add.at(counts, ids, scale * alpha[i] * prob[ids] * beta[j])

@@ -69,6 +69,15 @@ def test_forward_sums_all_segmentations():
         assert np.exp(language_id.log_forward([word], index, probs)[0, 0]) == pytest.approx(total, rel=1e-5)
 
 
+def test_forward_takes_the_longest_pieces():
+    import public_tokenizers
+
+    assert "▁something" in language_id.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    index, probs = {"▁": 0, "▁something": 1}, np.array([[0.5], [0.25], [0.0]])
+    assert np.exp(language_id.log_forward(["something"], index, probs)[0, 0]) == pytest.approx(0.25)
+    assert language_id.expected_counts(["something"], np.array([2.0]), index, probs[:, 0])[1] == pytest.approx(2)
+
+
 def test_decontamination(spark):
     item = "we know that a girl Anna drives slowly for 12 km and later with Anna there go 30 miles more so what is the whole way of the trip"
     other = item.replace("Anna", "Bert").replace("12", "17").replace("30", "8")
