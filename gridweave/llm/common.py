@@ -22,26 +22,52 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster names its shared folder in spark.checkpoint.dir; only where
-    that is unset (tests, local mode) is one chosen here."""
+    """The cluster names its shared folder in spark.checkpoint.dir; only in
+    local mode is one chosen here where that is unset.  Elsewhere that raises:
+    a folder of each machine's own would lose data without a word."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named or "/tmp/checkpoints")
     return named or "/tmp/checkpoints"
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder, which cuts its lineage and
     outlives lost executors; compressed, and columns can be read by themselves."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, when no result that was
+    made from them is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until none is a column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bound_batches(spark: SparkSession, rows: int = 500) -> None:
     """Rows that go to a Python worker at once: texts may be long, and a batch
-    is held by Spark and by the worker at the same time."""
+    is held by Spark and by the worker at the same time.  The setting is the
+    session's and stays lowered, as results are only computed when they are read."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))

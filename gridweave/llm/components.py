@@ -19,16 +19,19 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps: each node's larger (then
     smaller) neighbours are tied to the smallest one known.  Neighbours are
     reduced to a minimum by partial aggregates, never gathered, so one node
-    may have any number.  Null ids and self loops are ignored.
+    may have any number; the minima are written before they are joined, so that
+    both sides are plain tables and Spark can split a hub's rows.  Null ids and
+    self loops are ignored; no edges give no rows.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpoint(e)
     before = _signature(e)
     while True:
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpoint(large)
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = checkpoint(small.where("u != v").distinct())
         now = _signature(e)

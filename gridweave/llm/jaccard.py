@@ -1,33 +1,43 @@
 """Exact Jaccard join of documents as sets of word shingles.
 
-Jaccard distance is a metric.  In the space of shingle sets almost all
-distances are close to 1, so pivots that are drawn at random would put all
-documents into the boundary of all regions.  Pivots are therefore found where
-documents can be close at all: in a global order of shingles (rare ones first),
-two documents that link share one of the first n - ceil(t * n) + 1 shingles of
-each.  For each such shingle, the smallest id that has it is its pivot.
-
-1. Every document joins the Voronoi region of its nearest pivot: the one with
-   which it shares the most of these shingles.  It is compared with that pivot.
-2. Documents in reach of further pivots are replicated to their regions, unless
-   what is linked already puts both into one component.
-3. The documents of a shingle that are then still in several components form
-   a region, if their leading shingles leave a link open.  Regions that share a
-   document are merged and joined in one task, pivot after pivot: a pivot's
-   distances to all others give links, and by the triangle inequality a pair
-   can link only if its distances to the pivot differ by the threshold at
-   most.  Regions that are too large for a task are cut into blocks, and each
-   pair of blocks is joined.
-
-Every pair that can link is compared, or is known to be connected, so that the
-components are exact.  The order of shingles comes from counts of a
-share of the shingles (by hash) in all documents, the FREQUENT most frequent of
-them; it is approximate by count, the same everywhere, and bears on speed alone.
+Jaccard distance is a metric.  Regions are Voronoi cells of pivots: a document
+belongs to the pivot nearest to it.  With a threshold r, a document at distance
+m from its own pivot is replicated to the region of every other pivot at m + 2 r
+or nearer; what is 1 - 2 r or farther from all pivots is in one more region, the
+outside.  By the triangle inequality two documents that link then meet in a
+region.  Regions are joined recursively, with pivots of their own, until a
+region is small, does not shrink or is one component.
+
+In the space of shingle sets almost all distances are 1, and pivots for a whole
+corpus would put nearly everything outside, level after level.  So an aid cuts
+the corpus first, by a filter on rare shingles (prefix filtering), which is not
+part of the metric method: in a global order of shingles, two documents that
+link share one of the first n - ceil(t * n) + 1 shingles of each.
+
+1. Aid.  The smallest id that has a leading shingle is that shingle's
+   document.  Every document is compared with the one with which it shares the
+   most, then with those that may still add to its component.
+2. Aid.  The documents of a shingle that are then in several components stay if
+   their sizes and leading shingles leave a link open.  Shingles that share such
+   a document make one family.
+3. Families are joined by Voronoi regions: a large one in rounds of the whole
+   cluster, each dealing it over many tasks, and what is small in one task by
+   recursion.  A large region that does not shrink is cut into blocks by hash:
+   its largest component needs no comparison within itself, so its blocks meet
+   only those of the other components' documents, which also meet each other.
+
+Shingles are hashed (64 bits each, from hashes of whole words), but a link is
+decided by the words themselves.  Every pair that can link is compared, or is
+known to be connected, so the components are exact.  The order of shingles
+comes from counts of a share of the shingles (by hash) in all documents, the
+FREQUENT most frequent of them; it is approximate by count, the same
+everywhere, and bears on speed alone.
 
 Defined results: null or blank text has no shingles and links with nothing.
 Fewer words than a shingle make one shingle of the whole text.  Equal texts are
 joined once.  Rows with a null id have a null component; rows with one id are
-one node.  Very long texts are read whole; further columns are ignored.
+one node.  Ids must be whole numbers.  Very long texts are read whole; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import PerWorker, broadcast_if_small, checkpoint, slices
+from gridweave.llm.common import PerWorker, broadcast_if_small, checkpoint, slices, unused
 from gridweave.llm.components import components
 
 #: Frequent shingles whose counts go out with the order, at most.
@@ -46,44 +56,39 @@ FREQUENT = 500_000
 OFTEN, UNCOUNTED = 3, 20
 #: Shingles that a worker counts before it reports.
 LOCAL_SHINGLES = 1_000_000
-#: Documents of a region that one task joins.
-REGION = 1500
+#: Documents of a region that one task joins, and of one that is compared pair by pair there.
+REGION, LEAF = 1500, 24
+#: Pivots of a region, about; rounds of the cluster; and the share of its size to which a region must shrink.
+PIVOTS, ROUNDS, SHRINK = 16, 6, 0.75
+#: Words whose hashes a worker remembers.
+CACHE_WORDS = 500_000
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)
 
 
-class Shingler:
-    """Sets of 64-bit shingle hashes, sorted.
+def words_of(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, with A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-    A word's hash is a polynomial in its bytes, taken from running sums over
-    the whole text; powers are odd, so they can be divided out.
-    """
 
-    BASE = 0xD1342543DE82EF95
+class Shingler:
+    """Sets of 64-bit shingle hashes, sorted; a shingle's is mixed from its
+    words', which are hashes of their bytes."""
 
     def __init__(self, width: int):
-        self.width = width
-        self.letters = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-        self.space = np.zeros(256, bool)
-        self.space[[32, *range(9, 14)]] = True
-        self.powers = self.inverses = np.ones(1, np.uint64)
-        self._reach(1 << 14)
-
-    def _reach(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = 1 << (n - 1).bit_length()
-            factors = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
-            self.powers, self.inverses = factors(self.BASE), factors(pow(self.BASE, -1, 1 << 64))
+        import xxhash
+
+        self.width, self.digest, self.known = width, xxhash.xxh3_64_intdigest, {}
 
     def words(self, text: str | None) -> np.ndarray:
-        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)  # bytes: only A-Z
-        self._reach(len(raw))
-        edge = np.diff(self.space[raw], prepend=True, append=True)
-        edges = np.flatnonzero(edge)
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.letters[raw] * self.powers[: len(raw)], dtype=np.uint64)])
-        h = (sums[ends] - sums[starts]) * self.inverses[starts]
-        h ^= h >> np.uint64(32)
-        return h * np.uint64(MIX[-1])
+        found = words_of(text)
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        known = self.known
+        try:
+            return np.array([known[w] for w in found], np.uint64)
+        except KeyError:
+            known.update((w, self.digest(w)) for w in set(found) if w not in known)
+        return np.array([known[w] for w in found], np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
         h = self.words(text)
@@ -98,6 +103,23 @@ class Shingler:
         return np.unique(out)
 
 
+def really_link(a: str | None, b: str | None, width: int, percent: int) -> bool:
+    """Whether two texts link, by their words and not by hashes of them."""
+    number: dict[bytes, int] = {}
+    sides = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in (a, b)]
+    if min(map(len, sides)) == 0:
+        return False
+    if min(map(len, sides)) < width:  # one of the sets is a single, shorter shingle
+        return len(sides[0]) == len(sides[1]) and bool((sides[0] == sides[1]).all())
+    sets = [x[: len(x) - width + 1] for x in sides]
+    for k in range(1, width):  # numbers of the shingles of k + 1 words, from those of k
+        pairs = np.concatenate([x * len(number) + y[k : k + len(x)] for x, y in zip(sets, sides)])
+        flat = np.unique(pairs, return_inverse=True)[1]
+        sets = [flat[: len(sets[0])], flat[len(sets[0]) :]]
+    own, other = map(np.unique, sets)
+    return bool(links(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other), percent))
+
+
 def links(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int):
     """Whether sets of sizes a and b with so many shared members link."""
     return 100 * shared >= percent * (a + b - shared)
@@ -213,56 +235,120 @@ def compare(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, per
                     other = pivots[b[k]] = (y, shingler(y))
                 own = shingler(x.as_py())
                 shared = len(np.intersect1d(own, other[1], assume_unique=True))
-                if links(shared, len(own), len(other[1]), percent):
+                if links(shared, len(own), len(other[1]), percent) and really_link(x.as_py(), y, width, percent):
                     hit.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in hit], pa.int64()), pa.array([b[k] for k in hit], pa.int64())], ["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
 
 
-def join_region(sets: list[np.ndarray], percent: int, part: np.ndarray | None = None, label: list | None = None) -> list[tuple[int, int]]:
-    """Links that connect all that is connected within a region.
+def counted(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pivot: int) -> np.ndarray:
+    """How many members each set shares with that of `pivot`; sets stand one after the other in flat."""
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    mark[flat[starts[pivot] : starts[pivot] + sizes[pivot]]] = True
+    return np.add.reduceat(mark[flat], starts, dtype=np.int64)
 
-    part: for two blocks, the block of each member; pairs within a block are
+
+class Region:
+    """Joins a region's sets in memory; gives links that connect all that is
+    connected within it.
+
+    part: of two blocks, the block of each member; pairs within a block are
     then left to that block's own region.  label: components known before.
+    check: decides on a pair whose hashes say that it links.
     """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, int)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if n else np.zeros(0, int)
-    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
-    comp = np.unique(np.array(label), return_inverse=True)[1] if label is not None else np.arange(n)
-    reach = 1 - percent / 100 + 1e-9
-    open_ = sizes > 0
-    distances: list[np.ndarray] = []
-    found = []
-    while open_.any():
-        # a pivot from the smallest component: what stays to the end is then one component, which needs no comparison
-        ids, count = np.unique(comp[open_], return_counts=True)
-        if len(ids) == 1:
-            break
-        pivot = int(np.flatnonzero(open_ & (comp == ids[count.argmin()]))[0])
-        open_[pivot] = False
-        window = open_ & (comp != comp[pivot])
-        if part is not None:
-            window &= part != part[pivot]
-        for d in distances[-8:]:  # triangle inequality; unknown distances are NaN and exclude nothing
-            window &= ~(np.abs(d - d[pivot]) > reach)
-        others = np.flatnonzero(window)
-        if not len(others):
-            continue
-        own = flat[starts[pivot] : starts[pivot] + sizes[pivot]]
-        mark[own] = True
-        shared = np.array([np.count_nonzero(mark[flat[starts[k] : starts[k] + sizes[k]]]) for k in others])
-        mark[own] = False
-        distance = np.full(n, np.nan)
-        distance[pivot], distance[others] = 0, 1 - shared / (sizes[others] + sizes[pivot] - shared)
-        distances.append(distance)
-        for k in others[links(shared, sizes[others], sizes[pivot], percent)]:
-            found.append((pivot, int(k)))
-            if comp[k] != comp[pivot]:
-                comp[comp == comp[k]] = comp[pivot]
-    return found
+
+    def __init__(self, sets: list[np.ndarray], percent: int, part: np.ndarray | None = None, label: list | None = None, check=None):
+        self.sizes, self.percent, self.reach = np.array([len(s) for s in sets], np.int64), percent, 1 - percent / 100 + 1e-9
+        self.flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, int)
+        self.comp = np.unique(np.array(label), return_inverse=True)[1] if label is not None else np.arange(len(sets))
+        self.part, self.check, self.found, self.compared = part, check or (lambda i, j: True), [], 0
+        members = np.flatnonzero(self.sizes > 0)
+        if len(members) > 1:
+            starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+            self.join(members, self.flat, starts[members], ())
+
+    def settled(self, members: np.ndarray) -> bool:
+        return bool((self.comp[members] == self.comp[members[0]]).all())
+
+    def distances(self, members, flat, starts, at: int) -> np.ndarray:
+        """Distances of the members to the one at place `at`; those that link with it are joined."""
+        sizes, pivot = self.sizes[members], int(members[at])
+        shared = counted(flat, starts, sizes, at)
+        self.compared += len(members)
+        hit = links(shared, sizes, sizes[at], self.percent) & (self.comp[members] != self.comp[pivot])
+        if self.part is not None:
+            hit &= self.part[members] != self.part[pivot]
+        for k in members[hit].tolist():
+            if self.comp[k] != self.comp[pivot] and self.check(pivot, k):
+                self.found.append((pivot, k))
+                self.comp[self.comp == self.comp[k]] = self.comp[pivot]
+        return 1 - shared / (sizes + sizes[at] - shared)
+
+    def join(self, members: np.ndarray, flat: np.ndarray, starts: np.ndarray, known: tuple) -> None:
+        """known: distances of the members to earlier pivots."""
+        if len(members) < 2 or self.settled(members):
+            return
+        if len(flat) > self.sizes[members].sum():  # take along no more than the members' own
+            lengths = self.sizes[members]
+            ends = np.cumsum(lengths)
+            flat = flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
+            flat, starts = np.unique(flat, return_inverse=True)[1], ends - lengths
+        if len(members) <= LEAF:
+            self.pairs(members, flat, starts, known)
+            return
+        table, chosen, at = [], [], 0
+        nearest = np.full(len(members), 2.0)
+        for _ in range(min(PIVOTS, len(members) // 2)):
+            d = self.distances(members, flat, starts, at)
+            table.append(d)
+            chosen.append(at)
+            nearest = np.minimum(nearest, d)
+            nearest[chosen] = -1
+            at = int(nearest.argmax())  # the next pivot is the member farthest from those before
+        if self.settled(members):
+            return
+        d = np.array(table)
+        least = d.min(axis=0)
+        cells = [np.flatnonzero((row <= least + 2 * self.reach) & (row < 1)) for row in d]
+        cells.append(np.flatnonzero(least >= 1 - 2 * self.reach))
+        for cell in cells:
+            if len(cell) < 2:
+                continue
+            own = (known + tuple(table))[-8:]
+            if len(cell) > SHRINK * len(members):
+                self.pairs(members[cell], flat, starts, tuple(x[cell] for x in own), cell)
+            else:
+                lengths = self.sizes[members[cell]]
+                ends = np.cumsum(lengths)
+                part = flat[np.repeat(starts[cell] - ends + lengths, lengths) + np.arange(ends[-1])]
+                self.join(members[cell], part, ends - lengths, tuple(x[cell] for x in own))
+
+    def pairs(self, members, flat, starts, known: tuple, cell=None) -> None:
+        """One pivot after the other, its distances narrowing the windows of those after it."""
+        if cell is not None:
+            lengths = self.sizes[members]
+            ends = np.cumsum(lengths)
+            flat, starts = flat[np.repeat(starts[cell] - ends + lengths, lengths) + np.arange(ends[-1])], ends - lengths
+        open_, known = np.ones(len(members), bool), list(known)
+        while open_.any():
+            # a pivot from the smallest component: what stays to the end is then one component, which needs no comparison
+            ids, count = np.unique(self.comp[members[open_]], return_counts=True)
+            if len(ids) == 1:
+                return
+            at = int(np.flatnonzero(open_ & (self.comp[members] == ids[count.argmin()]))[0])
+            open_[at] = False
+            window = open_ & (self.comp[members] != self.comp[members[at]])
+            if self.part is not None:
+                window &= self.part[members] != self.part[members[at]]
+            for d in known[-8:]:
+                window &= np.abs(d - d[at]) <= self.reach
+            if window.any():
+                known.append(self.distances(members, flat, starts, at))
+
+
+def join_region(sets: list[np.ndarray], percent: int, part: np.ndarray | None = None, label: list | None = None, check=None) -> list[tuple[int, int]]:
+    return Region(sets, percent, part, label, check).found
 
 
 REGION_KEY = ["region", "low", "high"]
@@ -270,11 +356,20 @@ REGION_KEY = ["region", "low", "high"]
 
 def _cut(members: DataFrame) -> DataFrame:
     """members (region, id, component, size of the region) dealt to tasks: a
-    region as a whole, or a large one as all pairs of its blocks."""
-    blocks = F.ceil(F.col("size") / (REGION // 2)).cast("int")
-    single = F.col("size") <= REGION
-    own = F.when(single, 0).otherwise(F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.when(single, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))))
+    region as a whole, or a large one as pairs of its blocks.  Blocks of its
+    largest component meet only blocks of the others."""
+    half = REGION // 2
+    parts = members.groupBy("region", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"))
+    main = checkpoint(main)
+    at = members.join(broadcast_if_small(main), "region")
+    others = F.ceil((F.col("size") - F.col("n_main")) / half).cast("int")
+    mains = F.ceil(F.col("n_main") / half).cast("int")
+    single, is_main = F.col("size") <= REGION, F.col("component") == F.col("main")
+    own = F.when(single, 0).when(is_main, others + F.pmod(F.xxhash64("id"), mains).cast("int")).otherwise(F.pmod(F.xxhash64("id"), F.greatest(others, F.lit(1))).cast("int"))
+    last = F.when(is_main, others - 1).otherwise(others + mains - 1)
+    other = F.when(single, F.array(F.lit(0))).when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    dealt = at.withColumn("own", own).withColumn("other", F.explode(other))
     return dealt.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "component", "id").distinct()
 
 
@@ -331,15 +426,95 @@ def hopeful(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _each_region(rows, work, "region long, low int, high int, own int, component long, id long")
 
 
-def _merged(members: DataFrame) -> DataFrame:
-    """Dealt members of the regions that come of merging those that share a
-    document: it is sent to one region then, not to one for each shingle."""
+def families(members: DataFrame) -> DataFrame:
+    """region, id, component and size of the regions that come of merging those
+    that share a document: it is sent to one then, not to one for each shingle."""
     ids = members.select("region", "id", "component").distinct()
-    first = ids.groupBy("region").agg(F.min("id").alias("first"))
+    first = checkpoint(ids.groupBy("region").agg(F.min("id").alias("first")))
     edges = ids.join(first, "region").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    merged = ids.select("id", F.col("component").alias("of")).distinct().join(components(edges).withColumnRenamed("component", "region"), "id")
-    sizes = merged.groupBy("region").agg(F.count("*").alias("size"))
-    return checkpoint(_cut(merged.withColumnRenamed("of", "component").join(sizes, "region")))
+    merged = ids.select("id", F.col("component").alias("of")).distinct().join(checkpoint(components(edges).withColumnRenamed("component", "region")), "id")
+    return _sized(checkpoint(merged.select("region", "id", F.col("of").alias("component"))))
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """members (region, id, component) of regions with several components, and each region's size."""
+    sizes = checkpoint(members.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("region", "size"))
+    return checkpoint(members.join(broadcast_if_small(sizes), "region").select("region", "id", "component", "size"))
+
+
+def to_pivots(members: DataFrame, texts: DataFrame, width: int, percent: int, level: int) -> DataFrame:
+    """Voronoi regions of large regions (region, id, component, size): a row for
+    each document with the pivots whose regions it enters (cells; -1 is the
+    outside) and those that it links with (hits).
+
+    Pivots are drawn by a hash of the id, and one is the least by that hash; a
+    region's documents are dealt over tasks, and each task gets the pivots.
+    """
+    make, reach = PerWorker(members.sparkSession, Shingler, width), 1 - percent / 100 + 1e-9
+    draw = F.xxhash64(F.lit(level), "id")
+    parts = F.ceil(F.col("size") / (REGION // 2)).cast("int")
+    rows = checkpoint(texts.join(broadcast_if_small(members), "id").select("region", "id", "size", "text", draw.alias("draw")))
+    least = checkpoint(rows.groupBy("region").agg(F.min("draw").alias("least")))
+    drawn = rows.join(broadcast_if_small(least), "region").where((F.pmod("draw", F.greatest(F.floor(F.col("size") / PIVOTS), F.lit(1))) == 0) | (F.col("draw") == F.col("least")))
+    pivots = drawn.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("region", "part", F.lit(0).alias("kind"), "id", "text")
+    dealt = pivots.union(rows.select("region", F.pmod(F.xxhash64("id"), parts).cast("int"), F.lit(1), "id", "text"))
+
+    def run(batches):
+        shingler, now = make.get(), None
+        for b in batches:
+            out = []
+            for region, part, kind, id_, text in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if (region, part) != now:
+                    now, held, table = (region, part), [], None
+                if kind == 0:
+                    held.append((id_, text, shingler(text)))
+                    continue
+                if table is None:
+                    every = np.unique(np.concatenate([h[2] for h in held]))
+                    table = np.array([np.isin(every, h[2], assume_unique=True) for h in held]).T
+                    sizes = np.array([len(h[2]) for h in held])
+                own = shingler(text)
+                at = np.minimum(np.searchsorted(every, own), len(every) - 1)
+                shared = table[at[every[at] == own]].sum(axis=0)
+                d = 1 - shared / (sizes + len(own) - shared)
+                cells = [held[k][0] for k in np.flatnonzero((d <= d.min() + 2 * reach) & (d < 1))]
+                if d.min() >= 1 - 2 * reach:
+                    cells.append(-1)
+                hits = [held[k][0] for k in np.flatnonzero(links(shared, sizes, len(own), percent)) if held[k][0] != id_ and really_link(text, held[k][1], width, percent)]
+                out.append((region, id_, cells, hits))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["region", "id", "cells", "hits"])
+
+    ordered = dealt.repartition("region", "part").sortWithinPartitions("region", "part", "kind", "id")
+    return checkpoint(ordered.mapInArrow(run, "region long, id long, cells array<long>, hits array<long>"))
+
+
+def join_families(members: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b), those of `found` included, after joining families (region, id, component, size)."""
+    ready = None
+    for level in range(ROUNDS):
+        small = members.where(F.col("size") <= REGION)
+        ready = small if ready is None else ready.union(small)
+        large = members.where(F.col("size") > REGION)
+        if large.isEmpty():
+            break
+        near = to_pivots(large, texts, width, percent, level)
+        found = checkpoint(found.union(near.select(F.col("id").alias("a"), F.explode("hits").alias("b"))))
+        known = checkpoint(components(found))
+        cells = near.select("region", "id", F.explode("cells").alias("cell")).join(broadcast_if_small(known), "id", "left")
+        cells = cells.select(F.xxhash64("region", "cell").alias("region"), "id", F.coalesce("component", "id").alias("component"), F.col("region").alias("of"))
+        cells = checkpoint(cells)
+        parents = checkpoint(large.groupBy("region").agg(F.max("size").alias("before")).withColumnRenamed("region", "of"))
+        before = checkpoint(cells.select("region", "of").distinct().join(broadcast_if_small(parents), "of").select("region", "before"))
+        members = checkpoint(_sized(cells.drop("of")).join(broadcast_if_small(before), "region"))
+        stuck = (F.col("size") > REGION) & (F.col("size") > SHRINK * F.col("before"))
+        ready = ready.union(members.where(stuck).drop("before"))
+        members = members.where(~stuck).drop("before")
+    else:
+        ready = ready.union(members)
+    last = checkpoint(join_regions(checkpoint(_cut(checkpoint(ready))), texts, width, percent))
+    return found.union(last)
 
 
 def join_regions(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -349,7 +524,8 @@ def join_regions(members: DataFrame, texts: DataFrame, width: int, percent: int)
     def work(key, held):
         part = np.array([h[0] for h in held])
         shingler = make.get()
-        hit = join_region([shingler(h[3]) for h in held], percent, part if part.min() != part.max() else None, [h[1] for h in held])
+        check = lambda i, j: really_link(held[i][3], held[j][3], width, percent)
+        hit = join_region([shingler(h[3]) for h in held], percent, part if part.min() != part.max() else None, [h[1] for h in held], check)
         if hit:
             yield pa.RecordBatch.from_arrays([pa.array([held[i][2] for i, _ in hit], pa.int64()), pa.array([held[j][2] for _, j in hit], pa.int64())], ["a", "b"])
 
@@ -363,7 +539,7 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     ids = checkpoint(rows.select("id", "same"))
     # written, here and below, so that a join has two plain sides and Spark can split a hot key
     copies = checkpoint(ids.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1"))
-    later = checkpoint(ids.join(copies, "same").where("id != first").select("id", "same").distinct())
+    later = checkpoint(ids.join(copies, "same").where("id != first").select("id", "same"))  # not made distinct here: then the join could not be split
     once = rows.join(broadcast_if_small(later), ["id", "same"], "left_anti")
     sets = checkpoint(leading_shingles(once, width, percent))
     keys = sets.where("id is not null").select("id", F.explode("keys").alias("key"))
@@ -389,9 +565,8 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     regions = open_.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     members = checkpoint(labelled.join(regions, "key").select(F.col("key").alias("region"), "id", "component", "size"))
     if not members.isEmpty():
-        last = checkpoint(join_regions(_merged(checkpoint(hopeful(checkpoint(_cut(members)), sets, percent))), texts, width, percent))
-        if not last.isEmpty():
-            known = checkpoint(components(found.union(last)))
+        kept = families(checkpoint(hopeful(checkpoint(_cut(members)), sets, percent)))
+        known = checkpoint(components(join_families(kept, found, texts, width, percent)))
 
     n = sets.groupBy("same").agg(F.min("id").alias("first"), F.max("n").alias("n_shingles"))
     labels = checkpoint(n.join(known.withColumnRenamed("id", "first"), "first", "left").select("same", "n_shingles", F.coalesce("component", "first").alias("component")))
@@ -416,11 +591,14 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component: that of its smallest id.  Rows without an id,
     and rows without shingles, all stay; of equal rows one stays."""
-    labels = components_of(docs, width, percent)
-    gone = labels.where("doc_id != component_id").select("doc_id", "same").distinct()
+    labels = checkpoint(components_of(docs, width, percent))
+    gone = labels.where("doc_id != component_id").select("doc_id", "same")
     again = labels.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id", "same").count().where("count > 1")
-    marked = docs.withColumn("__same", F.coalesce(F.sha2("text", 256), F.lit("")))
-    left = marked.join(broadcast_if_small(gone.withColumnRenamed("same", "__same")), ["doc_id", "__same"], "left_anti")
+    of, same = unused(docs, "of", "same")
+    # both are the types of labels, whatever those of docs
+    marked = docs.withColumns({of: F.col("doc_id").cast("long"), same: F.coalesce(F.sha2("text", 256), F.lit(""))})
+    left = marked.join(broadcast_if_small(gone.select(F.col("doc_id").alias(of), F.col("same").alias(same))), [of, same], "left_anti")
     if not again.isEmpty():
-        left = left.dropDuplicates(["doc_id", "__same"])
+        once = F.coalesce(F.col(of).isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        left = left.where(~once).unionByName(left.where(once).dropDuplicates([of, same]))
     return left.select(*docs.columns)

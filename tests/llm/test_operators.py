@@ -257,6 +257,24 @@ def test_line_dedup_keeps_texts_of_one_id_apart(spark):
     assert sorted(r["text"] for r in got) == ["", other, passage]
 
 
+def brute_components(texts, width, percent):
+    """Sizes of the shingle sets, and components by comparing all pairs."""
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and sets[i] and sets[j]:
+                both = len(sets[i] & sets[j])
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+    return [len(s) for s in sets], root
+
+
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
 def test_jaccard(spark, width, percent):
     rng = random.Random(9)
@@ -269,42 +287,85 @@ def test_jaccard(spark, width, percent):
                 copy[rng.randrange(len(copy))] = f"n{rng.randint(0, 10**6)}"
             texts.append(" ".join(copy))
     texts += ["", None, "one", "ONE", "one two"]
-
-    def shingles(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
-
-    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] and 100 * both >= percent * len(sets[i] | sets[j]) and root[i] != root[j]:
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
+    sizes, root = brute_components(texts, width, percent)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs_of(spark, texts), width, percent).collect()}
-    assert got == {i: (len(sets[i]), root[i]) for i in range(len(texts))}
+    assert got == {i: (sizes[i], root[i]) for i in range(len(texts))}
     kept = sorted(r["doc_id"] for r in jaccard.keep_one(docs_of(spark, texts), width, percent).collect())
     assert kept == [i for i, r in enumerate(root) if i == r]
 
 
-def test_region_in_blocks_and_as_a_whole_connect_alike():
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_jaccard_of_a_table(spark, docs, width, percent):
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    _, root = brute_components([r["text"] for r in rows], width, percent)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, width, percent).collect()}
+    assert got == {r["doc_id"]: rows[k]["doc_id"] for r, k in zip(rows, root)}
+
+
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_jaccard_of_a_large_family(spark, monkeypatch, bound):
+    """Many near copies, more than a task takes, in several components that chains of edits connect or not;
+    with joins that broadcast and that shuffle."""
+    import gridweave.llm.common as common
+
+    monkeypatch.setattr(jaccard, "REGION", 40)
+    monkeypatch.setattr(jaccard, "PIVOTS", 6)
+    monkeypatch.setattr(common.broadcast_if_small, "__defaults__", (bound,))
+    rounds, of_pivots = [], jaccard.to_pivots
+    monkeypatch.setattr(jaccard, "to_pivots", lambda *a: rounds.append(a[-1]) or of_pivots(*a))
+    rng, texts = random.Random(3), []
+    base = [f"w{k}" for k in range(70)]
+    for _ in range(330):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 6, 9])):
+            copy[rng.randrange(len(copy))] = f"n{rng.randint(0, 60)}"
+        texts.append(" ".join(copy))
+    sizes, root = brute_components(texts, 3, 80)
+    assert 5 < len(set(root)) < len(texts) - 50
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs_of(spark, texts), 3, 80).collect()}
+    assert got == {i: (sizes[i], root[i]) for i in range(len(texts))} and rounds
+
+
+def test_jaccard_does_not_mix_up_words(spark):
+    """Words on which polynomial hashes modulo a power of two collide."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs_of(spark, [one, two, one.upper()])).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+    assert jaccard.really_link("a b c d", "A  b\nc d", 3, 90) and not jaccard.really_link("a b", "a c", 3, 90) and not jaccard.really_link("", "", 3, 90)
+
+
+def test_regions_connect_as_all_pairs_do():
     rng = np.random.default_rng(4)
-    base = np.arange(60, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([rng.choice(base, 57, replace=False), rng.integers(100, 10**6, 2).astype(np.uint64)])) for _ in range(40)]
 
-    def labels(found):
-        root = list(range(40))
+    def labels(found, n):
+        root = list(range(n))
         for i, j in found:
-            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
         return root
 
-    brute = [(i, j) for i in range(40) for j in range(i) if jaccard.links(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 90)]
-    part = np.arange(40) % 2
-    cut = jaccard.join_region(sets, 90, part)
-    for b in (0, 1):
-        own = np.flatnonzero(part == b)
-        cut += [(int(own[i]), int(own[j])) for i, j in jaccard.join_region([sets[k] for k in own], 90)]
-    assert labels(jaccard.join_region(sets, 90)) == labels(cut) == labels(brute)
+    for trial in range(6):
+        sets = []
+        for family in range(rng.integers(1, 30)):
+            base = rng.choice(3000, rng.integers(5, 80), replace=False)
+            for _ in range(rng.integers(1, 40)):
+                cut = rng.choice(base, max(1, len(base) - rng.integers(0, 5)), replace=False)
+                sets.append(np.unique(np.concatenate([cut, rng.integers(0, 3000, rng.integers(0, 4))])).astype(np.uint64))
+        n = len(sets)
+        for percent in (90, 80):
+            brute = [(i, j) for i in range(n) for j in range(i) if jaccard.links(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), percent)]
+            region = jaccard.Region(sets, percent)
+            assert labels(region.found, n) == labels(brute, n)
+            assert set(map(frozenset, region.found)) <= set(map(frozenset, brute))
+            part = np.arange(n) % 2
+            cut = jaccard.join_region(sets, percent, part)
+            for b in (0, 1):
+                own = np.flatnonzero(part == b)
+                cut += [(int(own[i]), int(own[j])) for i, j in jaccard.join_region([sets[k] for k in own], percent)]
+            assert labels(cut, n) == labels(brute, n)
 
 
 def test_components(spark):
