@@ -73,6 +73,11 @@ def bound_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, str(rows))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by number: functions over Arrow batches take no dots in names."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `rows` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

@@ -2,24 +2,28 @@
 
 A text is a sequence of lines; a line that holds several sentences is cut after
 each of them, since a passage may begin in the middle of a line.  Every line is
-hashed (without white space at its ends).  Chunks begin at every line: a chunk
-is the shortest run of lines from its first line that has MIN_LINES lines and
-MIN_WORDS words; the shortest such run up to a line is a chunk as well, where
-no first line makes it.  So chunks overlap, what is a chunk depends on its own
-lines only, and the chunks within a shared run of lines cover all of it:
-nothing is left to grow at its edges but parts of lines.
+hashed (without white space at its ends), and a rolling hash over ROLLED line
+hashes goes along the lines.  A boundary stands before each line whose rolling
+hash is no greater than that of a neighbour, so of two lines in a row one has a
+boundary, and where boundaries stand depends on the lines close by alone:
+inserted lines do not shift those further on.  From every boundary a chunk runs
+to the nearest boundary (or the text's end) that gives it MIN_LINES lines and
+MIN_WORDS words; chunks may overlap.
 
 Of a chunk that occurs more than once in all documents, the occurrence with
-the smallest id and place is the first; the lines of every other one are
-removed, if its bytes (line by line) are those of the first.  The first
-occurrence of a line in the corpus is in no chunk that stood before, so no line
-leaves the corpus.
+the smallest id and place is the first and stays whole.  The lines of every
+other one are removed, but for lines that it shares with a first occurrence in
+its own text.  So whatever is removed stands whole, line by line, in a text that
+keeps it.  Chunks are found by hashes; then their bytes are compared, line by
+line without the white space at the lines' ends.
 
 Defined results: null and empty texts stay as they are.  A text of which
-nothing is left becomes empty; its row stays.  Rows without an id are left
-alone and not counted.  Rows with one id are one document: of equal rows, all
-stay.  Very long texts are read whole.  Further columns are kept as they are,
-but for n_chars, which is set anew where a text has changed.
+nothing is left becomes empty; `dedup` keeps its row and `drop_emptied` does
+not.  Rows without an id are documents too, after all that have one, equal
+texts among them being one.  Rows with one id are one document if their texts
+are equal: of equal rows all stay.  Ids must be whole numbers.  Very long texts
+are read whole.  Further columns are kept as they are, whatever their names, but
+for n_chars, which is set anew where a text has changed.
 """
 
 from __future__ import annotations
@@ -32,15 +36,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import bound_batches, broadcast_if_small, checkpoint, slices, tidy
+from gridweave.llm.common import bound_batches, broadcast_if_small, checkpoint, numbered, slices, tidy, unused
 
 MIN_LINES, MIN_WORDS = 2, 10
-#: Chunks (a hash and two numbers each) and places in lists that may be broadcast.
-BROADCAST_CHUNKS, BROADCAST_PLACES = 500_000, 3_000_000
+#: Lines that the rolling hash covers.
+ROLLED = 2
 BREAK = re.compile(r"\n\s*|[.!?]\s+")
 #: Base of the polynomial hash of a chunk's line hashes.
 ROLL = 0x9E3779B97F4A7C15
 M64 = (1 << 64) - 1
+MIX = 0xFF51AFD7ED558CCD
 
 
 def lines_of(text: str) -> list[int]:
@@ -62,8 +67,7 @@ class Chunks:
 
     Lines are numbered through all the texts; text t has those from bounds[t] to
     bounds[t + 1].  For each chunk: owner (number of the text), first and end
-    line, hash, and place: twice the first line's number in the text, or, of
-    chunks that only their last line makes, twice the last line's number and 1.
+    line, hash, and place: the first line's number in the text.
     """
 
     def __init__(self, texts: list[str]):
@@ -85,24 +89,28 @@ class Chunks:
 
         of_line = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
         start, stop, line = self.bounds[of_line], self.bounds[of_line + 1], np.arange(n)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(ROLL, n), dtype=np.uint64)])
+        back = _powers(pow(ROLL, -1, M64 + 1), n)
+        rolled = (sums[np.minimum(line + ROLLED, stop)] - sums[:-1]) * back
+        rolled ^= rolled >> np.uint64(32)
+        rolled *= np.uint64(MIX)
+        low = np.ones(n, bool)  # the first and last line of a text are boundaries
+        inner = np.flatnonzero((line > start) & (line + 1 < stop))
+        low[inner] = (rolled[inner] <= rolled[inner - 1]) | (rolled[inner] <= rolled[inner + 1])
+        edges = np.unique(np.concatenate([np.flatnonzero(low), self.bounds]))
         total = np.concatenate([[0], np.cumsum(words)])
-        end = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS), line + MIN_LINES)
-        first = np.minimum(np.searchsorted(total, total[1:] - MIN_WORDS, "right") - 1, line + 1 - MIN_LINES)
-        ahead = np.flatnonzero(end <= stop)
-        back = np.flatnonzero(first >= start)
-        back = back[end[first[back]] != back + 1]
-        self.first, self.end = np.concatenate([ahead, first[back]]), np.concatenate([end[ahead], back + 1])
-        self.place = np.concatenate([2 * (ahead - start[ahead]), 2 * (back - start[back]) + 1])
-        order = np.argsort(np.concatenate([2 * ahead, 2 * back + 1]), kind="stable")
-        self.first, self.end, self.place = self.first[order], self.end[order], self.place[order]
+        first = np.flatnonzero(low)
+        least = np.maximum(np.searchsorted(total, total[first] + MIN_WORDS), first + MIN_LINES)
+        self.first = first[least <= stop[first]]
+        self.end = edges[np.searchsorted(edges, least[least <= stop[first]])]
+        self.place = self.first - start[self.first]
         self.owner = of_line[self.first]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(ROLL, n), dtype=np.uint64)])
-        self.hash = (sums[self.end] - sums[self.first]) * _powers(pow(ROLL, -1, M64 + 1), n)[self.first]
+        self.hash = (sums[self.end] - sums[self.first]) * back[self.first]
 
     def listed(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the chunks at the places that `lists` has for each text, and where in its values each is."""
         owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-        width = 2 * len(self.lines) + 2
+        width = len(self.lines) + 1
         wanted = owner * width + lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         own = self.owner * width + self.place  # ascending
         at = np.searchsorted(own, wanted)
@@ -110,28 +118,41 @@ class Chunks:
         there = there[own[at[there]] == wanted[there]]
         return at[there], there
 
-    def without(self, chunks: np.ndarray) -> list[str]:
-        """The texts without the lines of these chunks."""
+    def _covered(self, chunks: np.ndarray) -> np.ndarray:
         edge = np.zeros(len(self.lines) + 1, np.int64)
         np.add.at(edge, self.first[chunks], 1)
         np.add.at(edge, self.end[chunks], -1)
-        gone = np.cumsum(edge)[:-1] > 0
+        return np.cumsum(edge)[:-1] > 0
+
+    def without(self, chunks: np.ndarray, kept: np.ndarray) -> list[str]:
+        """The texts without the lines of these chunks, but for those of the kept chunks."""
+        gone = self._covered(chunks) & ~self._covered(kept)
         out = []
         for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
             some = gone[a:b]
-            kept = "".join(p for p, g in zip(self.pieces[a:b], some.tolist()) if not g)
-            out.append(kept.rstrip() if some.any() else kept)
+            left = "".join(p for p, g in zip(self.pieces[a:b], some.tolist()) if not g)
+            out.append(left.rstrip() if some.any() else left)
         return out
 
 
-def chunks_of(text: str) -> tuple[list[int], list[tuple[int, int, int, int]]]:
-    """Ends of the lines, and (hash, choice, first line, end line) of each chunk; its place is 2 * first + choice."""
+def chunks_of(text: str) -> list[tuple[int, int, int]]:
+    """(hash, first line, end line) of each chunk."""
     c = Chunks([text])
-    return lines_of(text), list(zip(c.hash.tolist(), (c.place - 2 * c.first).tolist(), c.first.tolist(), c.end.tolist()))
+    return list(zip(c.hash.tolist(), c.first.tolist(), c.end.tolist()))
+
+
+KEY = ["id", "version"]
+#: Stands for no id; texts without one are the last.
+NO_ID = M64 >> 1
+
+
+def _key() -> tuple[Column, Column]:
+    """id and version of a row; the version tells the texts of one id, or of none, apart."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.col("doc_id").isNull(), "text")
 
 
 def chunk_rows(texts: DataFrame) -> DataFrame:
-    """chunk (hash), id, version and place of every chunk of texts (id, version, text)."""
+    """chunk (hash), id, version, place, and whether the text had it before, of every chunk of texts (id, version, text)."""
 
     def run(batches):
         tidy()
@@ -139,95 +160,123 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
             values = b.column(2).to_pylist()
             for start, end in slices(values):
                 c = Chunks(values[start:end])
-                owner = pa.array(c.owner + start)
-                yield pa.RecordBatch.from_arrays([pa.array(c.hash.view(np.int64)), b.column(0).take(owner), b.column(1).take(owner), pa.array(c.place)], ["chunk", "id", "version", "place"])
+                again = np.ones(len(c.hash), bool)
+                order = np.lexsort((c.place, c.hash, c.owner))
+                owner, hashes = c.owner[order], c.hash[order]
+                again[order] = np.concatenate([np.zeros(1, bool)[: len(order)], (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])])
+                at = pa.array(c.owner + start)
+                columns = [pa.array(c.hash.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(c.place.astype(np.int32)), pa.array(again)]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", *KEY, "place", "again"])
 
-    return texts.mapInArrow(run, "chunk long, id long, version long, place long")
+    return texts.mapInArrow(run, "chunk long, id long, version long, place int, again boolean")
 
 
-def chunk_texts(texts: DataFrame) -> DataFrame:
-    """chunk, id, version, place, stays and bytes of the listed chunks of texts (id, version, text, places, stays)."""
+def chunk_texts(listed: DataFrame) -> DataFrame:
+    """chunk and bytes of the listed chunks of rows (text, places), each pair once for some texts."""
 
     def run(batches):
         tidy()
         for b in batches:
-            values = b.column(2).to_pylist()
+            values = b.column(0).to_pylist()
             for start, end in slices(values):
-                part = b.slice(start, end - start)
                 c = Chunks(values[start:end])
-                found, at = c.listed(part.column(3))
-                owner = pa.array(c.owner[found])
-                whole = ["\n".join(c.lines[f:e]) for f, e in zip(c.first[found].tolist(), c.end[found].tolist())]
-                columns = [pa.array(c.hash[found].view(np.int64)), part.column(0).take(owner), part.column(1).take(owner), pa.array(c.place[found]), part.column(4).flatten().take(pa.array(at)), pa.array(whole, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "id", "version", "place", "stays", "bytes"])
-
-    return texts.mapInArrow(run, "chunk long, id long, version long, place long, stays boolean, bytes string")
+                found, _ = c.listed(b.column(1).slice(start, end - start))
+                pairs = zip(c.hash[found].view(np.int64).tolist(), c.first[found].tolist(), c.end[found].tolist())
+                once = {(h, "\n".join(c.lines[f:e])) for h, f, e in pairs}
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in once], pa.int64()), pa.array([t for _, t in once], pa.string())], ["chunk", "bytes"])
 
+    return listed.mapInArrow(run, "chunk long, bytes string")
 
-def _broadcast_lists(listed: DataFrame) -> DataFrame:
-    """listed (id, places, ...) with a broadcast hint, if all its lists together are short enough."""
-    n = listed.agg(F.sum(F.size("places") + 1)).first()[0] or 0
-    return F.broadcast(listed) if n <= BROADCAST_PLACES else listed
 
+def collided(listed: DataFrame) -> DataFrame:
+    """The comparison of bytes: chunk hashes behind which different bytes stand.
 
-def _version() -> Column:
-    """Tells the texts of rows with one id apart."""
-    return F.xxhash64("text")
+    Equal pairs of hash and bytes fall together before and in the shuffle, so a
+    chunk that many texts have costs no task more than a row from each task.
+    """
+    return chunk_texts(listed).distinct().groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select("chunk")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """id, version and places (of the chunks to remove) of each document that has any."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), _version().alias("version"), "text").where("id is not null and text is not null")
+def occurrences(texts: DataFrame) -> DataFrame:
+    """id, version, chunk, place and whether it is the first, of the chunks that occur more than once."""
     rows = checkpoint(chunk_rows(texts))
     # written, so that the join below has two plain sides and Spark can split a chunk that many documents have
-    repeated = checkpoint(rows.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")).where("n > 1").select("chunk", "first"))
-    one = ["id", "version"]
-    hits = rows.join(broadcast_if_small(repeated, BROADCAST_CHUNKS), "chunk").select(*one, "place", ((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place"))).alias("stays"))
-    listed = checkpoint(hits.groupBy(*one).agg(F.collect_list(F.struct("place", "stays")).alias("l")).select(*one, F.col("l.place").alias("places"), F.col("l.stays").alias("stays")))
-    found = checkpoint(chunk_texts(texts.join(_broadcast_lists(listed), one).select(*one, "text", "places", "stays")))
-    kept = found.where("stays").select("chunk", "bytes")  # one each, or a few where ids repeat; not aggregated, so a hot chunk can be split
-    equal = found.where("not stays").join(kept, ["chunk", "bytes"], "left_semi")  # the comparison of bytes
-    return checkpoint(equal.groupBy(*one).agg(F.collect_set("place").alias("places")))
-
-
-def cut(text: str, places: list[int]) -> str:
-    """The text without the lines of these chunks."""
-    c = Chunks([text])
-    return c.without(c.listed(pa.array([places], pa.list_(pa.int64())))[0])[0]
+    repeated = checkpoint(rows.groupBy("chunk").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("chunk", "first"))
+    first = (F.col("id") == F.col("first")) & ~F.col("again")
+    return rows.join(repeated.hint("merge"), "chunk").select(*KEY, "chunk", "place", first.alias("stays"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks cut from text, and n_chars (if there is such a column) set anew."""
+def _lists(found: DataFrame) -> DataFrame:
+    """id, version, places and stays of the chunks that a text shares; bounded by the text's own lines."""
+    one = found.groupBy(*KEY).agg(F.collect_set(F.struct("place", "stays")).alias("l"))
+    return checkpoint(one.select(*KEY, F.col("l.place").alias("places"), F.col("l.stays").alias("stays")))
+
+
+def _marked(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two further columns, whose names come too: the places of its
+    repeated chunks, and which of them are first occurrences.  A merge join at
+    every size: the lists grow with the documents, and this is the one shuffle of
+    the texts."""
+    of, version, places, stays = unused(docs, "of", "version", "places", "stays")
+    key = dict(zip((of, version), _key()))
+    found = occurrences(docs.where("text is not null").select(*(c.alias(k) for k, c in zip(KEY, _key())), "text"))
+
+    def joined(found: DataFrame) -> DataFrame:
+        lists = _lists(found).withColumnsRenamed({"id": of, "version": version, "places": places, "stays": stays})
+        return checkpoint(docs.withColumns(key).join(lists.hint("merge"), [of, version], "left").drop(of, version))
+
+    out = joined(found)
+    bad = checkpoint(collided(out.where(F.col(places).isNotNull()).select("text", places)))
+    if not bad.isEmpty():  # hashes that do not tell chunks apart remove nothing
+        out = joined(found.join(broadcast_if_small(bad), "chunk", "left_anti"))
+    return out, [places, stays]
+
+
+def _cut(docs: DataFrame, emptied: bool) -> DataFrame:
     bound_batches(docs.sparkSession)
-    places = removals(docs)
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__version": _version()})
-    joined = marked.join(_broadcast_lists(places).withColumnsRenamed({"id": "__id", "version": "__version", "places": "__places"}), ["__id", "__version"], "left").drop("__id", "__version")
-    at = joined.columns.index("text")
-    n_at = joined.columns.index("n_chars") if "n_chars" in joined.columns else -1
+    marked, last = _marked(docs)
+    names = docs.columns
+    at = docs.columns.index("text")
+    n_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches):
         tidy()
         for b in batches:
-            names, columns = b.schema.names, list(b.columns)
+            columns, keep = list(b.columns), np.ones(b.num_rows, bool)
             changed = np.flatnonzero(columns[-1].is_valid().to_numpy(zero_copy_only=False)).tolist()
             if changed:
-                texts = columns[at].to_pylist()
-                lists = columns[-1].take(pa.array(changed))
+                texts, rows = columns[at].to_pylist(), pa.array(changed)
+                lists, stays = columns[-2].take(rows), columns[-1].take(rows)
                 some = [texts[k] for k in changed]
                 for start, end in slices(some):
                     c = Chunks(some[start:end])
-                    some[start:end] = c.without(c.listed(lists.slice(start, end - start))[0])
+                    found, where = c.listed(lists.slice(start, end - start))
+                    first = stays.slice(start, end - start).flatten().to_numpy(zero_copy_only=False)[where].astype(bool)
+                    some[start:end] = c.without(found[~first], found[first])
+                n = columns[n_at].to_pylist() if n_at >= 0 else None
                 for k, text in zip(changed, some):
+                    if text != texts[k]:
+                        keep[k] = emptied or bool(text.strip())
+                        if n is not None:
+                            n[k] = len(text)
                     texts[k] = text
                 columns[at] = pa.array(texts, columns[at].type)
-                if n_at >= 0:
-                    n = columns[n_at].to_pylist()
-                    for k in changed:
-                        n[k] = len(texts[k])
+                if n is not None:
                     columns[n_at] = pa.array(n, columns[n_at].type)
-            yield pa.RecordBatch.from_arrays(columns[:-1], names[:-1])
+            out = pa.RecordBatch.from_arrays(columns[:-2], names)
+            yield out if keep.all() else out.filter(pa.array(keep))
+
+    return numbered(marked.select(*(F.col(f"`{c}`") for c in docs.columns), *last)).mapInArrow(run, docs.schema)
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """docs with repeated chunks cut from text, and n_chars (if there is such a column) set anew."""
+    return _cut(docs, True)
+
 
-    return joined.mapInArrow(run, docs.schema)
+def drop_emptied(docs: DataFrame) -> DataFrame:
+    """As `dedup`, without the rows of which nothing is left: other rows hold all that they held."""
+    return _cut(docs, False)
 
 
 def report(docs: DataFrame) -> DataFrame:
