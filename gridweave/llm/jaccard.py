@@ -6,7 +6,7 @@ m from its own pivot is replicated to the region of every other pivot at m + 2 r
 or nearer; what is 1 - 2 r or farther from all pivots is in one more region, the
 outside.  By the triangle inequality two documents that link then meet in a
 region.  Regions are joined recursively, with pivots of their own, until a
-region is small, does not shrink or is one component.
+region is small, does not come apart or is one component.
 
 In the space of shingle sets almost all distances are 1, and pivots for a whole
 corpus would put nearly everything outside, level after level.  So an aid cuts
@@ -22,7 +22,9 @@ link share one of the first n - ceil(t * n) + 1 shingles of each.
    a document make one family.
 3. Families are joined by Voronoi regions: a large one in rounds of the whole
    cluster, each dealing it over many tasks, and what is small in one task by
-   recursion.  A large region that does not shrink is cut into blocks by hash:
+   recursion.  Where replication would leave more than SHRINK of a region's
+   pairs to its own regions (near copies of one text are all near all pivots), a
+   task compares pivot by pivot, and a large region is cut into blocks by hash:
    its largest component needs no comparison within itself, so its blocks meet
    only those of the other components' documents, which also meet each other.
 
@@ -58,8 +60,8 @@ OFTEN, UNCOUNTED = 3, 20
 LOCAL_SHINGLES = 1_000_000
 #: Documents of a region that one task joins, and of one that is compared pair by pair there.
 REGION, LEAF = 1500, 24
-#: Pivots of a region, about; rounds of the cluster; and the share of its size to which a region must shrink.
-PIVOTS, ROUNDS, SHRINK = 16, 6, 0.75
+#: Pivots of a region, about; rounds of the cluster; and the share of a region's pairs that its own regions may have together.
+PIVOTS, ROUNDS, SHRINK = 16, 6, 0.5
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 500_000
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)
@@ -271,9 +273,15 @@ class Region:
     def settled(self, members: np.ndarray) -> bool:
         return bool((self.comp[members] == self.comp[members[0]]).all())
 
-    def distances(self, members, flat, starts, at: int) -> np.ndarray:
-        """Distances of the members to the one at place `at`; those that link with it are joined."""
-        sizes, pivot = self.sizes[members], int(members[at])
+    def distances(self, members, flat, starts, at: int, window: np.ndarray | None = None) -> np.ndarray:
+        """Distances of the members (of those in the window; NaN for others) to
+        the one at place `at`; those that link with it are joined."""
+        pivot, some = int(members[at]), None
+        if window is not None and 2 * np.count_nonzero(window) < len(members):
+            some = np.flatnonzero(window)
+            some = np.concatenate([[at], some[some != at]])
+            members, (flat, starts), at = members[some], self.taken(flat, starts, members, some), 0
+        sizes = self.sizes[members]
         shared = counted(flat, starts, sizes, at)
         self.compared += len(members)
         hit = links(shared, sizes, sizes[at], self.percent) & (self.comp[members] != self.comp[pivot])
@@ -283,23 +291,29 @@ class Region:
             if self.comp[k] != self.comp[pivot] and self.check(pivot, k):
                 self.found.append((pivot, k))
                 self.comp[self.comp == self.comp[k]] = self.comp[pivot]
-        return 1 - shared / (sizes + sizes[at] - shared)
+        d = 1 - shared / (sizes + sizes[at] - shared)
+        if some is None:
+            return d
+        out = np.full(len(window), np.nan)
+        out[some] = d
+        return out
+
+    def taken(self, flat, starts, members, some) -> tuple[np.ndarray, np.ndarray]:
+        """flat and starts of some of the members alone."""
+        lengths = self.sizes[members[some]]
+        ends = np.cumsum(lengths)
+        return flat[np.repeat(starts[some] - ends + lengths, lengths) + np.arange(ends[-1])], ends - lengths
 
     def join(self, members: np.ndarray, flat: np.ndarray, starts: np.ndarray, known: tuple) -> None:
         """known: distances of the members to earlier pivots."""
         if len(members) < 2 or self.settled(members):
             return
-        if len(flat) > self.sizes[members].sum():  # take along no more than the members' own
-            lengths = self.sizes[members]
-            ends = np.cumsum(lengths)
-            flat = flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
-            flat, starts = np.unique(flat, return_inverse=True)[1], ends - lengths
         if len(members) <= LEAF:
             self.pairs(members, flat, starts, known)
             return
         table, chosen, at = [], [], 0
         nearest = np.full(len(members), 2.0)
-        for _ in range(min(PIVOTS, len(members) // 2)):
+        for _ in range(PIVOTS):
             d = self.distances(members, flat, starts, at)
             table.append(d)
             chosen.append(at)
@@ -312,24 +326,18 @@ class Region:
         least = d.min(axis=0)
         cells = [np.flatnonzero((row <= least + 2 * self.reach) & (row < 1)) for row in d]
         cells.append(np.flatnonzero(least >= 1 - 2 * self.reach))
+        cells = [c for c in cells if len(c) > 1 and not self.settled(members[c])]
+        known = (known + tuple(table))[-PIVOTS:]
+        if sum(len(c) ** 2 for c in cells) > SHRINK * len(members) ** 2:
+            self.pairs(members, flat, starts, known)
+            return
         for cell in cells:
-            if len(cell) < 2:
-                continue
-            own = (known + tuple(table))[-8:]
-            if len(cell) > SHRINK * len(members):
-                self.pairs(members[cell], flat, starts, tuple(x[cell] for x in own), cell)
-            else:
-                lengths = self.sizes[members[cell]]
-                ends = np.cumsum(lengths)
-                part = flat[np.repeat(starts[cell] - ends + lengths, lengths) + np.arange(ends[-1])]
-                self.join(members[cell], part, ends - lengths, tuple(x[cell] for x in own))
-
-    def pairs(self, members, flat, starts, known: tuple, cell=None) -> None:
-        """One pivot after the other, its distances narrowing the windows of those after it."""
-        if cell is not None:
-            lengths = self.sizes[members]
-            ends = np.cumsum(lengths)
-            flat, starts = flat[np.repeat(starts[cell] - ends + lengths, lengths) + np.arange(ends[-1])], ends - lengths
+            own, first = self.taken(flat, starts, members, cell)
+            own = np.unique(own, return_inverse=True)[1]
+            self.join(members[cell], own, first, tuple(x[cell] for x in known))
+
+    def pairs(self, members, flat, starts, known: tuple) -> None:
+        """One pivot after the other; the distances to earlier ones narrow its window."""
         open_, known = np.ones(len(members), bool), list(known)
         while open_.any():
             # a pivot from the smallest component: what stays to the end is then one component, which needs no comparison
@@ -341,10 +349,10 @@ class Region:
             window = open_ & (self.comp[members] != self.comp[members[at]])
             if self.part is not None:
                 window &= self.part[members] != self.part[members[at]]
-            for d in known[-8:]:
-                window &= np.abs(d - d[at]) <= self.reach
+            for d in known[-PIVOTS:]:
+                window &= ~(np.abs(d - d[at]) > self.reach)  # unknown distances are NaN and exclude nothing
             if window.any():
-                known.append(self.distances(members, flat, starts, at))
+                known.append(self.distances(members, flat, starts, at, window))
 
 
 def join_region(sets: list[np.ndarray], percent: int, part: np.ndarray | None = None, label: list | None = None, check=None) -> list[tuple[int, int]]:
@@ -505,12 +513,16 @@ def join_families(members: DataFrame, found: DataFrame, texts: DataFrame, width:
         cells = near.select("region", "id", F.explode("cells").alias("cell")).join(broadcast_if_small(known), "id", "left")
         cells = cells.select(F.xxhash64("region", "cell").alias("region"), "id", F.coalesce("component", "id").alias("component"), F.col("region").alias("of"))
         cells = checkpoint(cells)
-        parents = checkpoint(large.groupBy("region").agg(F.max("size").alias("before")).withColumnRenamed("region", "of"))
-        before = checkpoint(cells.select("region", "of").distinct().join(broadcast_if_small(parents), "of").select("region", "before"))
-        members = checkpoint(_sized(cells.drop("of")).join(broadcast_if_small(before), "region"))
-        stuck = (F.col("size") > REGION) & (F.col("size") > SHRINK * F.col("before"))
-        ready = ready.union(members.where(stuck).drop("before"))
-        members = members.where(~stuck).drop("before")
+        parents = checkpoint(cells.select("region", "of").distinct())
+        members = checkpoint(_sized(cells.drop("of")))
+        pairs = members.groupBy("region").agg(F.max("size").alias("size")).join(parents, "region").groupBy("of").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+        before = large.groupBy("region").agg(F.max("size").alias("before")).withColumnRenamed("region", "of")
+        stuck = checkpoint(before.join(pairs, "of").where(F.col("pairs") > SHRINK * F.col("before") * F.col("before")).select("of"))
+        if not stuck.isEmpty():  # these are cut as they were, with the components known now
+            again = large.join(broadcast_if_small(stuck.withColumnRenamed("of", "region")), "region").drop("component").join(broadcast_if_small(known), "id", "left")
+            ready = ready.union(_sized(again.select("region", "id", F.coalesce("component", "id").alias("component"))))
+            gone = checkpoint(parents.join(broadcast_if_small(stuck), "of").select("region"))
+            members = checkpoint(members.join(broadcast_if_small(gone), "region", "left_anti"))
     else:
         ready = ready.union(members)
     last = checkpoint(join_regions(checkpoint(_cut(checkpoint(ready))), texts, width, percent))
@@ -601,4 +613,4 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     if not again.isEmpty():
         once = F.coalesce(F.col(of).isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
         left = left.where(~once).unionByName(left.where(once).dropDuplicates([of, same]))
-    return left.select(*docs.columns)
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
