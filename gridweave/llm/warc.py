@@ -17,7 +17,10 @@ Defined results, by `status`:
   no_validator  one side has none that the other has too;
   missing       there is no earlier full response, or the URL or time is null.
 Records of one moment are ordered by record_id.  Equal records are resolved
-each by itself.  Null headers count as none.  Further columns are ignored.
+each by itself.  Null headers count as none.  Header names do not depend on
+case; of fields with one name the first in the map counts.  A response without
+URL or time is the answer to nothing.  An empty table gives no rows.  Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import read
+from gridweave.llm.secrets import let
 
-#: Seconds of a span.
-SPAN = 3600
+#: Seconds of a span: what one URL has in it is ordered in one task.
+SPAN = 300
 # Header fields that a 304 answer carries (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 # Query parameters that only track visitors.
@@ -51,6 +55,13 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
+def _headers() -> Column:
+    """The headers with names in lower case, each once: the first of a name."""
+    entries = F.transform(F.map_entries(F.coalesce("headers", F.expr("map()").cast("map<string,string>"))), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    first = lambda all_: F.filter(all_, lambda e, i: F.array_position(F.transform(all_, lambda x: x["key"]), e["key"]) == i + 1)
+    return F.map_from_entries(let(entries, first))
+
+
 def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     """A row for each revisit among records.
 
@@ -59,22 +70,21 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     of 200.  Gives record_id, canonical_url, status, refers_to, age (seconds
     since the response) and headers (map; null unless resolved).
     """
-    headers = F.transform_keys(F.coalesce("headers", F.expr("map()").cast("map<string,string>")), lambda k, _: F.lower(k))
     full = (F.col("kind") == "response") & (F.col("http_status") == 200)
-    rows = (
-        records.where(full | (F.col("kind") == "revisit"))
-        .withColumn("headers", F.expr("map_from_entries(array_distinct(map_entries(headers)))"))
-        .select("record_id", "ts", canonical_url(F.col("url")).alias("canonical_url"), F.coalesce(full, F.lit(False)).alias("full"), headers.alias("headers"))
-        .withColumn("span", F.floor(F.col("ts") / span))
-        .withColumn("own", F.when(F.col("full") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "headers")))
-    )
+    wanted = records.where(full | (F.col("kind") == "revisit")).select("record_id", "ts", canonical_url(F.col("url")).alias("canonical_url"), F.coalesce(full, F.lit(False)).alias("full"), _headers().alias("headers"))
+    # records without URL or time resolve nothing; they would all be one group
+    placed = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
+    rows = wanted.where(placed).withColumn("span", F.floor(F.col("ts") / span)).withColumn("own", F.when(F.col("full"), F.struct("ts", "record_id", "headers")))
     order = [F.col("ts"), F.col("record_id")]
     within = Window.partitionBy("canonical_url", "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("near", F.last("own", ignorenulls=True).over(within))
     spans = rows.groupBy("canonical_url", "span").agg(F.max_by("own", F.struct("own.ts", "own.record_id")).alias("last"))
     over = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = spans.select("canonical_url", "span", F.last("last", ignorenulls=True).over(over).alias("carried")).where("carried is not null")
-    found = rows.where("not full").drop("own").join(carried, ["canonical_url", "span"], "left").withColumn("response", F.when(F.col("canonical_url").isNotNull() & F.col("ts").isNotNull(), F.coalesce("near", "carried")))
+    joined = rows.where("not full").join(carried, ["canonical_url", "span"], "left")
+    columns = ["record_id", "ts", "canonical_url", "headers", F.coalesce("near", "carried").alias("response")]
+    none = F.lit(None).cast(rows.schema["own"].dataType)
+    found = joined.select(*columns).union(wanted.where(~placed & ~F.col("full")).select(*columns[:-1], none))
 
     new, old = F.col("headers"), F.col("response.headers")
     agree = F.when(new["etag"].isNotNull() & old["etag"].isNotNull(), _weak(new["etag"]) == _weak(old["etag"])).when(
