@@ -9,12 +9,15 @@ segmentations, which a forward algorithm computes.
 Defined results: null text, or text without any letter: `und`, score 0.
 No labelled rows at all: every text is `und`.  Rows are scored one by one, so
 repeated rows and repeated ids get equal results and extra columns of the
-input are ignored.  Very long texts are scored whole; words of more than
-MAX_WORD letters are scored in runs of that many letters.
+input are ignored.  Very long texts and words are scored whole: words of more
+than LONG letters by logarithms, which cannot underflow.  Languages are all that
+the labelled rows have; the table of probabilities takes 8 bytes for each piece
+and language.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -23,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import PerWorker, bound_batches, slices, tokenizer_path
+from gridweave.llm.common import PerWorker, bound_batches, numbered, slices, tokenizer_path
 
 #: Labelled rows learned from, for each language, at most about so many.
 SAMPLE_ROWS = 400
-#: Languages are those of the labelled sample; rarer ones beyond so many are not learned.
-MAX_LANGS = 256
-MAX_WORD, ROUNDS = 40, 3
+#: Letters beyond which a word is worked by logarithms, and rounds of expectation maximisation.
+LONG, ROUNDS = 40, 3
 #: Words whose scores a worker remembers before it starts afresh.
 CACHE_WORDS = 400_000
 #: Probability of a letter that no piece has, and what is added to each expected count.
@@ -52,8 +54,6 @@ def words_of(text: str) -> list[str]:
     found = WORDS.findall(text.lower())
     if not all(map(str.isalpha, found)):  # numerals such as fractions
         found = [w for w in ("".join(filter(str.isalpha, w)) for w in found) if w]
-    if any(len(w) > MAX_WORD for w in found):
-        found = [w[i : i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
     return found
 
 
@@ -72,6 +72,45 @@ def _longest(index: dict[str, int]) -> int:
     return max(map(len, index), default=0)
 
 
+def _spans(word: str, index: dict[str, int], longest: int) -> np.ndarray:
+    """Number of the piece that ends at each place (row) and is so many letters long (column, from 1); -1 is none."""
+    return np.array([[index.get(word[j - k : j], -1) if k <= j else -1 for k in range(1, longest + 1)] for j in range(1, len(word) + 1)], np.int64)
+
+
+def _log_sums(steps: np.ndarray, unknown: float) -> np.ndarray:
+    """Log of the summed probability of all segmentations up to each place.
+
+    steps: places x lengths x languages, log probability of the piece that ends
+    at the place and has the length.
+    """
+    n, longest, langs = steps.shape
+    out = np.full((n + longest, langs), -np.inf)  # `longest` rows before the first place
+    out[longest - 1] = 0
+    for j in range(n):
+        terms = out[j : j + longest][::-1] + steps[j]
+        terms = np.concatenate([terms, out[j + longest - 1 : j + longest] + unknown])
+        top = terms.max(axis=0)
+        out[j + longest] = top + np.log(np.exp(terms - top).sum(axis=0))
+    return out[longest - 1 :]
+
+
+def _log_long(word: str, index: dict[str, int], probs: np.ndarray, longest: int) -> np.ndarray:
+    """log_forward of one word of any length, in blocks of places."""
+    spans = _spans(word, index, longest)
+    with np.errstate(divide="ignore"):
+        return _log_sums(np.log(probs)[spans] if len(spans) * probs.shape[1] < 4_000_000 else _Lazy(spans, np.log(probs)), math.log(UNKNOWN))[-1]
+
+
+class _Lazy:
+    """Steps that are looked up place by place."""
+
+    def __init__(self, spans: np.ndarray, logs: np.ndarray):
+        self.spans, self.logs, self.shape = spans, logs, (*spans.shape, logs.shape[1])
+
+    def __getitem__(self, j: int) -> np.ndarray:
+        return self.logs[self.spans[j]]
+
+
 def log_forward(words: list[str], index: dict[str, int], probs: np.ndarray) -> np.ndarray:
     """words x languages: log of the summed probability of all segmentations.
 
@@ -80,6 +119,10 @@ def log_forward(words: list[str], index: dict[str, int], probs: np.ndarray) -> n
     out, longest = np.empty((len(words), probs.shape[1])), _longest(index)
     marked = [START + w for w in words]
     for n, members in _by_length(marked).items():
+        if n > LONG:
+            for k in members:
+                out[k] = _log_long(marked[k], index, probs, longest)
+            continue
         group = [marked[k] for k in members]
         alpha = [np.ones((len(group), probs.shape[1]))]
         for j in range(1, n + 1):
@@ -96,6 +139,11 @@ def expected_counts(words: list[str], weights: np.ndarray, index: dict[str, int]
     counts, longest = np.zeros(len(prob)), _longest(index)
     marked = [START + w for w in words]
     for n, members in _by_length(marked).items():
+        if n > LONG:
+            for k in members:
+                ids, used = _expected_long(marked[k], index, prob, longest)
+                np.add.at(counts, ids, weights[k] * used)
+            continue
         group, weight = [marked[k] for k in members], weights[members]
         spans = {(i, j): _ids(group, i, j, index) for j in range(1, n + 1) for i in range(max(0, j - longest), j)}
         alpha, beta = np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group)))
@@ -111,6 +159,24 @@ def expected_counts(words: list[str], weights: np.ndarray, index: dict[str, int]
     return counts
 
 
+def _expected_long(word: str, index: dict[str, int], prob: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces and their expected uses in one word of any length."""
+    n = len(word)
+    spans = _spans(word, index, longest)
+    with np.errstate(divide="ignore"):
+        steps = np.log(prob)[spans]  # by the place where a piece ends
+        # the same by the place where it begins, counted from the word's end
+        turned = np.full_like(steps, -np.inf)
+        for k in range(min(longest, n)):
+            turned[k:, k] = steps[k:, k][::-1]
+        unknown = math.log(UNKNOWN)
+        forward, back = _log_sums(steps[:, :, None], unknown)[:, 0], _log_sums(turned[:, :, None], unknown)[::-1, 0]
+    used = np.zeros_like(steps)
+    for k in range(min(longest, n)):
+        used[k:, k] = np.exp(forward[: n - k] + steps[k:, k] + back[k + 1 :] - forward[n])
+    return spans.ravel(), used.ravel()
+
+
 def may_learn(doc_id: Column) -> Column:
     """Rows that a model may learn from: crc32 of the id, modulo 4, is not 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
@@ -124,7 +190,7 @@ def learn(docs: DataFrame, pieces: list[str], sample_rows: int = SAMPLE_ROWS) ->
     """
     bound_batches(docs.sparkSession)
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & may_learn(F.col("doc_id")))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
         return [], np.zeros((len(pieces) + 1, 0))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_rows / r["count"]))])
@@ -169,8 +235,8 @@ def _next(words: DataFrame, langs: list[str], index: dict[str, int], probs: np.n
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
     counts = np.zeros_like(probs)
-    for r in words.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect():
-        counts[r["piece"], r["lang"]] = r["n"]
+    rows = words.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+    counts[rows["piece"].to_numpy(), rows["lang"].to_numpy()] = rows["n"].to_numpy()
     counts[:-1] += ADDED
     out = counts / counts.sum(axis=0)
     out[-1] = 0
@@ -236,11 +302,12 @@ def keep_identified(docs: DataFrame, path: str | None = None, least: float = 0.5
     if not langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     shared = PerWorker(docs.sparkSession, Scorer, pieces, probs)
+    names, at = docs.columns, docs.columns.index("text")
 
     def keep(batches):
         scorer = shared.get()
         for b in batches:
-            best, share = scorer(b.column("text").to_pylist())
-            yield b.filter(pa.array((best >= 0) & (share >= least)))
+            best, share = scorer(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays(b.columns, names).filter(pa.array((best >= 0) & (share >= least)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return numbered(docs).mapInArrow(keep, docs.schema)
