@@ -3,7 +3,10 @@
 Three patterns (assignments, access keys, long hexadecimal strings) give the
 base spans.  Further spans come from a likelihood ratio: the transitions of a
 long token's characters under a first-order Markov model of random strings,
-against one of ordinary identifiers, both trained from labelled samples.
+against one of ordinary identifiers, both trained from labelled samples.  Random
+strings are digests in several alphabets; ordinary identifiers are put together
+from a list of programmers' words and from short, plain words of documents, in
+the ways programs join words (camel case, snake case, paths, qualified names).
 
 Everything runs as Spark expressions: no Python on the executors.
 
@@ -11,7 +14,8 @@ Defined results: null text counts as empty; no match gives empty `spans`, whose
 hash is that of the empty string.  Positions are code points, ends exclusive.
 Texts of any length are searched whole; running sums over matches are made in
 blocks, so that many matches in one text do not cost the square of their
-number.  Rows are independent; further columns are ignored.
+number.  Rows are independent; further columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -28,15 +32,26 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 #: Tokens that the models judge.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_.=-]{16,}"
 #: Characters of the models; the first stands for a token's start.
-ALPHABET = "^abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+ALPHABET = "^abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 #: Log-likelihood ratio, for each character and in all, from which a token is random.
 MEAN_RATIO, TOTAL_RATIO = 0.35, 10.0
 #: Different characters that a random token has at least.
 DISTINCT = 8
-#: Random strings of each alphabet, and documents whose words make identifiers.
-RANDOM_SAMPLE, DOCUMENT_SAMPLE = 1500, 500
+#: Random strings of each alphabet, identifiers of listed words, and documents whose words make identifiers.
+RANDOM_SAMPLE, IDENTIFIER_SAMPLE, DOCUMENT_SAMPLE = 1500, 4000, 500
+# Words of which programs make identifiers.
+VOCABULARY = """abstract access account action adapter address admin algorithm api application array async attribute authentication background base batch bean binary boolean buffer
+    builder button cache callback category channel character client collection column command common component config configuration connection constant container content context
+    controller convert counter create current customer data database date default definition delete description device dictionary directory document element email enabled encoding
+    engine entity environment error event exception execute export expression factory field file filter folder format function gateway generator global group handler hash header
+    helper identifier image implementation import index information input instance integer interface internal invoice item iterator key language layout length library list listener
+    loader local location logger manager mapper message metadata method model module monitor name network node notification number object observer operation option order output
+    package page parameter parser password path pattern payment permission platform plugin pointer policy pool position process processor product profile property protocol provider
+    proxy query queue reader record reference register registry remote repository request resource response result role route runtime schedule schema scope search security select
+    sender server service session setting shared single source stack state status storage store stream string strategy structure subject system table target task template test text
+    thread time timeout token transaction transfer transform type update upload user utility validator value variable vector version view virtual window worker wrapper writer"""
 BLOCK = 64
 
 
@@ -95,26 +110,41 @@ def spans_of(text: Column, pattern: str, kind: str, rank: int, present: Column,
     return F.when(present, spans).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
+def _draw(seed: int) -> Column:
+    """A word of the list by a hash of the row."""
+    listed = F.split(F.lit(" ".join(VOCABULARY.split())), " ")
+    return F.get(listed, F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(len(VOCABULARY.split()))).cast("int"))
+
+
 def samples(docs: DataFrame) -> DataFrame:
-    """Labelled strings: label (`random` or `ordinary`) and token.
+    """Labelled strings: label (`random` or `ordinary`), token and the number of its row.
 
-    Random strings are digests written in several alphabets.  Ordinary
-    identifiers are words of about DOCUMENT_SAMPLE documents, alone and joined
-    as programs join them.
+    Words of documents are taken from about DOCUMENT_SAMPLE of them, and only
+    those of up to 20 letters in one case, first letter apart: what may be a
+    secret is no sample of ordinary identifiers.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
     plain = F.translate(F.base64(F.unhex(digest)), "+/=", "xyz")
     forms = F.array(digest, F.base64(F.unhex(digest)), plain, F.upper(F.substring(plain, 1, 24)), F.lower(F.substring(plain, 1, 24)), F.translate(F.base64(F.unhex(digest)), "+/=", "-_A"))
-    random = spark.range(RANDOM_SAMPLE).select(F.lit("random").alias("label"), F.explode(forms).alias("token"))
-    n = docs.count()
-    share = min(1.0, DOCUMENT_SAMPLE / max(1, n))
-    words = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w")).distinct()
-    other = F.concat(F.substring("w", 1, 3), F.lower(F.substring("w", -4, 4)))
-    number = F.pmod(F.xxhash64("w"), F.lit(1000)).cast("string")
-    joined = [F.concat(F.lower("w"), F.lit(mark), x) for mark, x in (("_", F.lower(other)), ("", F.initcap(other)), ("-", F.lower(other)), ("/", F.lower(other)), ("_", number))]
-    styles = F.array(F.lower("w"), F.initcap("w"), F.concat(F.upper("w"), F.lit("_"), F.upper(other)), *joined)
-    return random.unionByName(words.select(F.lit("ordinary").alias("label"), F.explode(styles).alias("token")))
+    random = spark.range(RANDOM_SAMPLE).select("id", F.lit("random").alias("label"), F.explode(forms).alias("token"))
+    words = [_draw(k) for k in range(6)]
+    some = F.slice(F.array(*words), 1, (2 + F.pmod(F.xxhash64(F.lit("n"), "id"), F.lit(5))).cast("int"))
+    camel = F.array_join(F.transform(some, lambda w: F.initcap(w)), "")
+    number = F.pmod(F.xxhash64(F.lit("number"), "id"), F.lit(1000)).cast("string")
+    styles = F.array(
+        camel, F.concat(words[0], camel), F.array_join(some, "_"), F.upper(F.array_join(some, "_")), F.array_join(some, "-"), F.concat(F.lit("/"), F.array_join(some, "/")), F.array_join(some, "."),
+        F.concat(F.array_join(some, "."), F.lit("."), camel), F.array_join(some, ""), F.concat(F.array_join(some, "_"), F.lit("_"), number), F.concat(F.array_join(some, "/"), F.lit("."), F.substring(words[5], 1, 3)),
+        F.concat(F.lit("2024-01-"), number, F.lit("/"), F.array_join(some, "-"), F.lit("-"), number),
+    )
+    listed = spark.range(IDENTIFIER_SAMPLE).select("id", F.lit("ordinary").alias("label"), F.explode(styles).alias("token"))
+    share = min(1.0, DOCUMENT_SAMPLE / max(1, docs.count()))
+    found = F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_.=-])[A-Za-z][a-z]{2,19}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    own = sampled.select(F.explode(found).alias("w")).distinct().withColumn("id", F.xxhash64("w"))
+    other = _draw(7)
+    joined = F.array(F.lower("w"), F.initcap("w"), F.upper("w"), *(F.concat(F.lower("w"), F.lit(mark), other) for mark in ("_", "-", "/", ".")), F.concat(F.lower("w"), F.initcap(other)))
+    return random.unionByName(listed).unionByName(own.select("id", F.lit("ordinary").alias("label"), F.explode(joined).alias("token")))
 
 
 def train(labelled: DataFrame) -> list[float]:
