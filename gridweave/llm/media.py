@@ -4,13 +4,16 @@ A payload becomes a RIFF/WAVE file with one channel of unsigned 8-bit samples.
 Features are computed from the samples that the stored file gives back:
 polyphase resampling by UP/DOWN, overlapped log-mel filterbanks, and segments
 found by frame energy with two thresholds (one to open, a lower one to close).
-The log-mel frames are stored as tensors of the fixed shape BLOCK x MELS with
-time spans; the last block of a file is padded with the floor value.
+The log-mel frames are stored as an Arrow stream of fixed-shape tensors
+(BLOCK x MELS) with time spans; the last block of a file is padded with the
+floor value.  `digests` reads both stored forms back.
 
 Defined results: null text counts as empty; its payload is 64 bytes 0.  A text
 gets the same values wherever it stands, since each is computed by itself.
-Very long payloads are worked on BLOCK_SAMPLES at a time.  Repeated rows and
-further columns of the input do no harm.
+Of very long payloads, signal and spectra are held BLOCK_FRAMES frames at a time;
+what is held whole is the payload, the stored forms (together about as long) and
+a number for each frame.  Repeated rows and further columns of the input do no
+harm; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ RATE, UP, DOWN = 16_000, 1, 2
 FRAME, HOP, MELS, FLOOR = 256, 160, 24, -10.0
 #: Frames of a tensor.
 BLOCK = 64
-#: Resampled samples that are framed at a time.
-BLOCK_SAMPLES = HOP * 4096
+#: Frames that are computed at a time, a multiple of BLOCK.
+BLOCK_FRAMES = 4096
 TAPS = 8
 #: Mean log energy over the file's median at which a segment opens and closes.
 OPEN, CLOSE = 0.02, -0.02
@@ -82,39 +85,43 @@ class AudioFeatures:
         rising, falling = (bins - edges[:-2]) / (edges[1:-1] - edges[:-2]), (edges[2:] - bins) / (edges[2:] - edges[1:-1])
         self.bank = np.maximum(0, np.minimum(rising, falling)).astype(np.float32)
 
-    def resample(self, samples: np.ndarray) -> np.ndarray:
-        """Polyphase: output m is a dot product of one phase of the filter with
-        the inputs around m * down / up; no product with a stuffed zero is made."""
-        n, half = len(samples), len(self.taps) // 2
-        count = -(-n * self.up // self.down)
-        reach = half // self.up + 1
-        padded = np.concatenate([np.zeros(reach, np.float32), samples, np.zeros(reach + self.down, np.float32)])
-        out = np.zeros(count, np.float32)
-        for phase in range(self.up):
-            which = np.arange(phase, count, self.up)
-            if not len(which):
-                continue
-            place = which[0] * self.down
-            first, shift = -(-(place - half) // self.up), self.down
-            for i in range(first, (place + half) // self.up + 1):
+    def length(self, n: int) -> int:
+        """Samples after resampling n."""
+        return -(-n * self.up // self.down)
+
+    def resample(self, samples: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Outputs start to stop.  Polyphase: output m is a dot product of one
+        phase of the filter with the inputs around m * down / up; no product with
+        a stuffed zero is made."""
+        half = len(self.taps) // 2
+        stop = self.length(len(samples)) if stop is None else stop
+        out = np.zeros(stop - start, np.float32)
+        low = (start * self.down - half) // self.up  # inputs from here on are held
+        high = (stop * self.down + half) // self.up + self.down + 1
+        padded = np.zeros(high - low, np.float32)
+        padded[max(0, -low) : max(0, min(high, len(samples)) - low)] = samples[max(0, low) : max(0, min(high, len(samples)))]
+        for phase in range(start, min(start + self.up, stop)):
+            which = len(range(phase, stop, self.up))
+            place = phase * self.down
+            for i in range(-(-(place - half) // self.up), (place + half) // self.up + 1):
                 tap = self.taps[place - i * self.up + half]
-                start = i + reach
-                out[phase :: self.up] += tap * padded[start : start + shift * len(which) : shift][: len(which)]
+                out[phase - start :: self.up] += tap * padded[i - low : i - low + self.down * which : self.down][:which]
         return out
 
-    def log_mel(self, signal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Frames x MELS of log filterbank energies, and the log energy of each frame."""
-        frames = max(1, -(-max(0, len(signal) - FRAME) // HOP) + 1)
-        signal = np.concatenate([signal, np.zeros((frames - 1) * HOP + FRAME - len(signal), np.float32)]) if (frames - 1) * HOP + FRAME > len(signal) else signal
-        view = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP][:frames]
-        mels, energy, step = [], [], BLOCK_SAMPLES // HOP
-        for at in range(0, frames, step):
-            part = view[at : at + step] * self.window
-            spectrum = np.fft.rfft(part, axis=1)
-            power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-            mels.append(np.log10(power @ self.bank / FRAME + 10**FLOOR))
-            energy.append(np.log10((part * part).sum(axis=1) / FRAME + 10**FLOOR))
-        return np.concatenate(mels), np.concatenate(energy)
+    def frames(self, n: int) -> int:
+        return max(1, -(-max(0, self.length(n) - FRAME) // HOP) + 1)
+
+    def log_mel(self, samples: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log filterbank energies (frames x MELS) and log energy of frames start to stop."""
+        first, last = start * HOP, (stop - 1) * HOP + FRAME
+        signal = np.zeros(last - first, np.float32)
+        some = self.resample(samples, first, min(last, self.length(len(samples))))
+        signal[: len(some)] = some
+        part = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP] * self.window
+        spectrum = np.fft.rfft(part, axis=1)
+        power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
+        mels = np.log10(power @ self.bank / FRAME + 10**FLOOR)
+        return np.round(mels, 3).astype(np.float32), np.log10((part * part).sum(axis=1) / FRAME + 10**FLOOR)
 
     @staticmethod
     def segments(energy: np.ndarray) -> list[tuple[int, int]]:
@@ -126,84 +133,107 @@ class AudioFeatures:
         change = np.flatnonzero(on[1:] != on[:-1])
         return list(zip(change[::2].tolist(), change[1::2].tolist()))
 
-    def __call__(self, samples: bytes):
-        signal = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-        mels, energy = self.log_mel(self.resample(signal))
-        return np.round(mels, 3), self.segments(energy)
-
-    def blocks(self, mels: np.ndarray) -> np.ndarray:
-        """Tensors of the fixed shape BLOCK x MELS."""
-        count = -(-len(mels) // BLOCK)
-        full = np.full((count * BLOCK, MELS), FLOOR, np.float32)
-        full[: len(mels)] = mels
-        return full.reshape(count, BLOCK, MELS)
+    def stored(self, samples: bytes) -> bytes:
+        """An Arrow stream: for each block of frames its time span in seconds,
+        the number of its frames that are real, whether a segment meets it, and
+        its tensor; the segments, as frame numbers, are in the schema's metadata."""
+        raw = np.frombuffer(samples, np.uint8)
+        n = self.frames(len(raw))
+        energy, blocks = [], []
+        for start in range(0, n, BLOCK_FRAMES):
+            mels, e = self.log_mel(_Signal(raw), start, min(start + BLOCK_FRAMES, n))
+            energy.append(e)
+            full = np.full((-(-len(mels) // BLOCK) * BLOCK, MELS), FLOOR, np.float32)
+            full[: len(mels)] = mels
+            blocks.append(full)
+        found = self.segments(np.concatenate(energy))
+        values = np.concatenate(blocks).reshape(-1)
+        count = len(values) // (BLOCK * MELS)
+        starts = np.arange(count) * BLOCK
+        ends = np.minimum(starts + BLOCK, n)
+        edges = np.zeros(n + 1, np.int64)
+        for a, z in found:
+            edges[a] += 1
+            edges[z] -= 1
+        active = np.concatenate([[0], np.cumsum(np.cumsum(edges)[:-1] > 0)])
+        tensors = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(values), BLOCK * MELS))
+        columns = [pa.array(starts * HOP / self.rate), pa.array(((ends - 1) * HOP + FRAME) / self.rate), pa.array((ends - starts).astype(np.int32)), pa.array(active[ends] > active[starts]), tensors]
+        schema = pa.schema([pa.field(name, c.type) for name, c in zip(TENSOR_NAMES, columns)], {b"segments": np.array(found, "<i4").tobytes()})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema) as writer:
+            writer.write_table(pa.Table.from_arrays(columns, schema=schema), max_chunksize=4096)
+        return sink.getvalue().to_pybytes()
+
+
+class _Signal:
+    """Samples as numbers from -1 to 1, of which only slices are made."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw = raw
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        return (self.raw[at].astype(np.float32) - 128) / 128
+
+
+TENSOR_NAMES = ["start_s", "end_s", "frames", "active", "tensor"]
 
 
 def tensor_type() -> pa.DataType:
     return pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS))
 
 
-def tensors(docs: DataFrame) -> DataFrame:
-    """A row for each block of each document: its time span in seconds, the
-    number of its frames that are real, whether a segment meets it, and the
-    values of its tensor, row by row (always BLOCK * MELS of them)."""
+def read_tensors(stored: bytes) -> tuple[pa.Table, list[tuple[int, int]]]:
+    """The stored blocks, with tensors of Arrow's fixed-shape type, and the segments."""
+    table = pa.ipc.open_stream(stored).read_all()
+    found = np.frombuffer(table.schema.metadata[b"segments"], "<i4").reshape(-1, 2)
+    return table, [(a, z) for a, z in found.tolist()]
+
+
+def media(docs: DataFrame) -> DataFrame:
+    """doc_id, wav (the stored payload) and tensors (the stored features) of each row."""
     shared = PerWorker(docs.sparkSession, AudioFeatures)
 
     def run(batches):
         made = shared.get()
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1).to_pylist()):
-                mels, found = made(from_wav(to_wav(payload_of(text)[1]))[1])
-                full = made.blocks(mels)
-                starts = np.arange(len(full)) * BLOCK
-                ends = np.minimum(starts + BLOCK, len(mels))
-                voiced = np.array([any(a < e and s < z for a, z in found) for s, e in zip(starts, ends)]) if found else np.zeros(len(full), bool)
-                for at in range(0, len(full), 1024):
-                    part = slice(at, at + 1024)
-                    n = len(full[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([doc_id.as_py()] * n, b.schema.field(0).type),
-                            pa.array(np.arange(at, at + n), pa.int32()),
-                            pa.array(starts[part] * HOP / made.rate),
-                            pa.array(((ends[part] - 1) * HOP + FRAME) / made.rate),
-                            pa.array(ends[part] - starts[part], pa.int32()),
-                            pa.array(voiced[part]),
-                            pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BLOCK * MELS, BLOCK * MELS), pa.int32()), pa.array(full[part].ravel())),
-                        ],
-                        ["doc_id", "block", "start_s", "end_s", "frames", "active", "tensor"],
-                    )
+            for k, text in enumerate(b.column(1).to_pylist()):  # one row at a time: stored forms may be long
+                wav = to_wav(payload_of(text)[1])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([wav], pa.binary()), pa.array([made.stored(from_wav(wav)[1])], pa.binary())], ["doc_id", "wav", "tensors"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, block int, start_s double, end_s double, frames int, active boolean, tensor array<float>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, wav binary, tensors binary")
 
 
-def to_tensor_table(rows: pa.Table) -> pa.Table:
-    """An Arrow table of `tensors` with its tensors as Arrow's fixed-shape tensor type."""
-    values = rows["tensor"].combine_chunks()
-    storage = pa.FixedSizeListArray.from_arrays(values.flatten(), BLOCK * MELS)
-    at = rows.schema.get_field_index("tensor")
-    return rows.set_column(at, "tensor", pa.ExtensionArray.from_storage(tensor_type(), storage))
+def digest(n: int, wav: bytes, tensors: bytes) -> tuple:
+    """What `digests` says of a row, from its stored forms."""
+    back = from_wav(wav)[1]
+    table, found = read_tensors(tensors)
+    values = table["tensor"].combine_chunks().storage.flatten().to_numpy()
+    hashed = hashlib.sha256(np.rint(values * 1000).astype("<i4").tobytes())
+    hashed.update(np.array(found, "<i4").tobytes())
+    for name in ("start_s", "end_s"):
+        hashed.update(np.rint(table[name].to_numpy() * 1e6).astype("<i8").tobytes())
+    frames = sum(table["frames"].to_pylist())
+    feature = f"frames={frames};blocks={table.num_rows};segments={len(found)};sha256={hashed.hexdigest()}"
+    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), feature
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """A row for each document: payload, stored form and features as digests.
 
     feature: frames, blocks, segments and the SHA-256 of the tensors (in
-    thousandths, as little-endian 32-bit integers) and of the segments.
+    thousandths, as little-endian 32-bit integers), of the segments and of the
+    blocks' time spans (microseconds), all read back from the stored forms.
     """
     shared = PerWorker(docs.sparkSession, AudioFeatures)
 
     def one(text: str | None, made: AudioFeatures):
         n, payload = payload_of(text)
-        stored = to_wav(payload)
-        back = from_wav(stored)[1]
-        mels, found = made(back)
-        full = made.blocks(mels)
-        digest = hashlib.sha256(np.rint(full * 1000).astype("<i4").tobytes())
-        digest.update(np.array(found, "<i4").tobytes())
-        feature = f"frames={len(mels)};blocks={len(full)};segments={len(found)};sha256={digest.hexdigest()}"
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+        wav = to_wav(payload)
+        return digest(n, wav, made.stored(from_wav(wav)[1]))
 
     def run(batches):
         made = shared.get()
