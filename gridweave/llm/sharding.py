@@ -5,10 +5,12 @@ partial partition with its bytes in one shard and nothing in the others.  The
 two partial partitions with the largest spread are combined again and again,
 oppositely ordered: the heaviest shard of one joins the lightest of the other.
 
-The groups are dealt out to tasks by their hash; each task differences its own
-groups down to one partial partition, and what the tasks leave is differenced
-in the same way, a task's result being one partial partition.  So a group of
-any number of copies is one item with a weight.
+The groups are dealt out to parts by their hash; a task differences a part's
+groups down to one partial partition.  What the parts leave is differenced in
+the same way, level by level, FAN partial partitions to one, until one is left:
+all on the executors, so that neither a task nor the driver holds more than a
+part's groups or FAN partial partitions.  A group of any number of copies is
+one item with a weight.
 
 Defined results: null text has no bytes and counts as equal to other null
 texts only; every row's size is its bytes plus 1.  A group that alone is
@@ -24,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import checkpoint
+from gridweave.llm.common import broadcast_if_small, checkpoint
 
 SHARDS = 8
 #: Groups of equal texts are dealt into at least so many parts, and more where a
-#: part would have more than PART_ROWS rows; the driver gets one partial
-#: partition (a number for each shard) of each.
-TASKS, PART_ROWS = 256, 200_000
+#: part would have more than PART_ROWS rows; so many parts become one in a level.
+TASKS, PART_ROWS, FAN = 256, 200_000, 256
 #: Parts into which a shard's rows are dealt to number them.
 PARTS = 512
 
@@ -88,42 +89,56 @@ def shard(docs: DataFrame, shards: int = SHARDS, tasks: int | None = None) -> Da
     )
     groups = rows.groupBy("same").agg(F.sum("size").alias("weight")).withColumn("task", F.pmod(F.xxhash64("same"), F.lit(tasks)).cast("int"))
 
-    def local(batches):
-        """Differences the groups of each task number; rows come sorted by it."""
-        yield from _each_task(batches, shards)
+    dealt = _level(groups.select("task", F.col("same").alias("label"), F.lit(0).alias("part"), "weight"), shards, "string").withColumnsRenamed({"label": "same", "to": "part"})
+    dealt = checkpoint(dealt.drop("from"))
+    where = None  # (task, part) of the first level -> task and part of the last
+    count = tasks
+    while count > 1:
+        count = -(-count // FAN)
+        now = dealt if where is None else dealt.join(broadcast_if_small(where), ["task", "part"]).select(F.col("up").alias("task"), F.col("up_part").alias("part"), "weight")
+        nodes = now.groupBy("task", "part").agg(F.sum("weight").alias("weight"))
+        up = _level(nodes.select(F.pmod("task", F.lit(count)).cast("int").alias("task"), F.col("task").alias("label"), "part", "weight"), shards, "int")
+        up = checkpoint(up.select(F.col("label").alias("low"), F.col("from").alias("low_part"), F.col("task").alias("up"), F.col("to").alias("up_part")))
+        if where is None:
+            where = up.withColumnsRenamed({"low": "task", "low_part": "part"})
+        else:
+            where = where.withColumnsRenamed({"up": "low", "up_part": "low_part"}).join(broadcast_if_small(up), ["low", "low_part"]).select("task", "part", "up", "up_part")
+        where = checkpoint(where)
+    placed = dealt.select("task", "part", "same") if where is None else dealt.join(broadcast_if_small(where), ["task", "part"]).select(F.col("up_part").alias("part"), "same")
+    return _number(rows.join(checkpoint(placed.select("same", F.col("part").alias("shard"))), "same"), shards)
+
+
+def _level(nodes: DataFrame, shards: int, kind: str) -> DataFrame:
+    """Differences each task's partial partitions; nodes: task, label (of the
+    partial partition), part (of that) and weight.  Gives task, label, from (its
+    part), to (the part of the task's result) and weight."""
+
+    def run(batches):
+        yield from _each_task(batches, shards, kind)
 
-    kind = "task int, same string, part int, weight long"
-    dealt = checkpoint(groups.repartition("task").sortWithinPartitions("task", F.desc("weight"), "same").mapInArrow(local, kind))
-    sums: dict[int, list[int]] = {}
-    for r in dealt.groupBy("task", "part").agg(F.sum("weight").alias("weight")).orderBy("task", "part").collect():
-        sums.setdefault(r["task"], [0] * shards)[r["part"]] = r["weight"]
-    _, inside = difference([(v, k) for k, v in sorted(sums.items())])
-    where = [(task, part, number) for number, leaves in enumerate(inside) for task, part in leaves]
-    spark = docs.sparkSession
-    placed = dealt.join(F.broadcast(spark.createDataFrame(where, "task int, part int, shard int")), ["task", "part"]).select("same", "shard")
-    return _number(rows.join(placed, "same"), shards)
+    ordered = nodes.repartition("task").sortWithinPartitions("task", "label", "part")
+    return ordered.mapInArrow(run, f"task int, label {kind}, from int, to int, weight long")
 
 
-def _each_task(batches, shards: int):
-    held: list[tuple[str, int]] = []
+def _each_task(batches, shards: int, kind: str):
+    held: dict[object, list[int]] = {}
     now = None
 
     def done():
         if not held:
             return
-        _, inside = difference([([weight] + [0] * (shards - 1), k) for k, (_, weight) in enumerate(held)])
-        rows = [(held[k][0], part, held[k][1]) for part, leaves in enumerate(inside) for k, _ in leaves]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([now] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())],
-            ["task", "same", "part", "weight"],
-        )
+        order = sorted(held, key=lambda k: (-max(held[k]), k))
+        _, inside = difference([(held[label], k) for k, label in enumerate(order)])
+        rows = [(order[k], part, to, held[order[k]][part]) for to, leaves in enumerate(inside) for k, part in leaves]
+        kinds = [pa.string() if kind == "string" else pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([now] * len(rows), pa.int32()), *(pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds))], ["task", "label", "from", "to", "weight"])
 
     for b in batches:
-        for same, weight, task in zip(*(b.column(k).to_pylist() for k in range(3))):
+        for task, label, part, weight in zip(*(b.column(k).to_pylist() for k in range(4))):
             if task != now:
                 yield from done()
-                held, now = [], task
-            held.append((same, weight))
+                held, now = {}, task
+            held.setdefault(label, [0] * shards)[part] = weight
     yield from done()
 
 
