@@ -1,5 +1,6 @@
 """Corpus operators against brute force, on small tables with awkward rows."""
 
+import collections
 import hashlib
 import html
 import itertools
@@ -69,6 +70,46 @@ def test_forward_sums_all_segmentations():
         assert np.exp(language_id.log_forward([word], index, probs)[0, 0]) == pytest.approx(total, rel=1e-5)
 
 
+def test_long_words_are_worked_whole(monkeypatch):
+    """By logarithms and not: the same sums and expected counts; and no underflow in a word of any length."""
+    pieces = ["▁", "▁a", "a", "ab", "b", "▁ab", "bab", "abba"]
+    index = {p: i for i, p in enumerate(pieces)}
+    probs = np.vstack([np.random.default_rng(1).random((len(pieces), 3)) / 8, np.zeros((1, 3))])
+    words = ["abababbab", "b", "abzab", "aaaabbabbabaabba"]
+    plain, used = language_id.log_forward(words, index, probs), language_id.expected_counts(words, np.arange(1.0, 5.0), index, probs[:, 1])
+    monkeypatch.setattr(language_id, "LONG", 0)
+    assert np.allclose(language_id.log_forward(words, index, probs), plain)
+    assert np.allclose(language_id.expected_counts(words, np.arange(1.0, 5.0), index, probs[:, 1]), used)
+    whole = language_id.log_forward(["ab" * 20_000], index, probs)
+    assert np.isfinite(whole).all() and (whole < -5000).all() and len(set(whole[0])) == 3
+
+
+def test_language_of_a_naive_scorer(spark, docs):
+    """The query's predictions are those of the learned table, summed word by word over every segmentation."""
+    import public_tokenizers
+
+    pieces = language_id.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    some = docs.where("doc_id % 10 = 3")
+    langs, probs = language_id.learn(docs, pieces)
+    table = {p: probs[i] for i, p in enumerate(pieces)}
+
+    def naive(text):
+        total = np.zeros(len(langs))
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            w = "▁" + w
+            sums = [np.ones(len(langs))]
+            for j in range(1, len(w) + 1):
+                sums.append(sums[j - 1] * language_id.UNKNOWN + sum(sums[i] * table[w[i:j]] for i in range(j) if w[i:j] in table))
+            total += np.log(sums[-1])
+        return total
+
+    got = {r["doc_id"]: r for r in language_id.predict(some, pieces, langs, probs).collect()}
+    for r in some.collect():
+        total = naive(r["text"])
+        assert got[r["doc_id"]]["lang_pred"] == langs[total.argmax()]
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-6)
+
+
 def test_forward_takes_the_longest_pieces():
     import public_tokenizers
 
@@ -89,6 +130,28 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs_of(spark, texts), bench).collect()) == [2, 3, 4]
 
 
+def test_decontamination_finds_items_of_every_length(spark):
+    long = "a girl Anna met Bert and later also Carl at the station near the old town hall while it was raining very hard on that long and grey day"
+    items = [(0, "Compute 12 + 7"), (1, "Who Is The King Of Spain"), (2, "12 + 30 = 42"), (3, "word"), (4, "Paul"), (5, long), (6, None), (7, "  "), (0, "Compute 12 + 7")]
+    texts = {
+        0: "so now Compute 12 + 7 please", 1: "so now Compute 15 + 9 please", 2: "so now Compute 12 - 7 please", 3: "and Who Is The King Of Spain now", 4: "and Who Is The Queen Of Spain now",
+        5: "see 12 + 30 = 42 here", 6: "see 12 + 31 = 43 here", 7: "a word", 8: "Paul", 9: "then " + long, 10: "then " + long.replace("Anna", "Nora").replace("Bert", "Ole").replace("Carl", "Per"),
+        11: "then " + long.replace("Bert", "Anna").replace("Carl", "Anna"), 12: "then " + long.replace("near the", "near to the"), 13: None, 14: "",
+        15: long.replace("Anna", "Nora").replace("near the", "near to the"), 16: long.replace("Carl", "Per") + " and " + long.replace("Carl", "Ole"), None: "so now Compute 12 + 7 please",
+    }
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, hash string")
+    rows = docs_of(spark, list(texts.values()), list(texts))
+    got = {}
+    for r in decontaminate.pairs(rows, bench).collect():
+        got.setdefault(r["doc_id"], set()).add((r["item_id"], r["reparameterised"]))
+    same = {0: 0, 3: 1, 5: 2, 7: 3, 8: 4, 9: 5, 12: 5, None: 0}
+    assert got == {k: {(v, False)} for k, v in same.items()} | {1: {(0, True)}, 10: {(5, True)}, 15: {(5, True)}, 16: {(5, True)}}
+    kept = {r["doc_id"] for r in decontaminate.keep_clean(rows, bench).collect()}
+    assert kept == set(texts) - set(got)
+    empty = bench.where("false")
+    assert decontaminate.pairs(rows, empty).count() == 0 and decontaminate.keep_clean(rows, empty).count() == len(texts)
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_sql(spark, name):
     import oracle_check
@@ -126,6 +189,62 @@ def test_html():
     assert html_extract.main_text(None, table) == html_extract.main_text("<p></p><b", table) == ""
 
 
+ARTICLE = "<article><h1>A title</h1><p>One two three four five six seven eight.</p><p>More words of it follow right here now.</p></article>"
+WANT = "A title\nOne two three four five six seven eight.\nMore words of it follow right here now."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<body><div class="content-sidebar-wrap">{ARTICLE}</div><div class="sidebar">Other things to read</div></body>', WANT),
+        (f'<body class="site has-header no-sidebar"><div class="site-header">Our site</div><div class="has-header no-sidebar">{ARTICLE}</div></body>', WANT),
+        (f'<body><form id="main-form"><div class="widget">Search</div>{ARTICLE}</form></body>', WANT),
+        (ARTICLE.replace("<p>", "<p title=it's>"), WANT),
+        (ARTICLE.replace("<p>", "<p title='it is > all' data-x=\"a'b\">"), WANT),
+        (ARTICLE.replace("four", "if a <b and c"), WANT.replace("four", "if a <b and c")),
+        (ARTICLE.replace("four", "x < 4 and y<5"), WANT.replace("four", "x < 4 and y<5")),
+        (ARTICLE.replace("<h1>A title</h1>", "<header><h1>A title</h1></header>"), WANT),
+        (ARTICLE.replace("</h1>", '</h1><div class="ad">Buy</div><section id="comment-list"><p>I agree</p></section>'), WANT),
+        (f"<body><header><h1>Our site</h1></header>{ARTICLE}<footer>All rights</footer></body>", WANT),
+        (f"<body><div hidden>no</div><div style='display: none'>no</div><aside>no</aside>{ARTICLE}<div role=navigation>no</div></body>", WANT),
+    ],
+)
+def test_pages_of_many_kinds(page, want):
+    table = html_extract.weights(html_extract.counts(f"<body><nav><a href=x>menu one two</a></nav>{ARTICLE}<footer>rights</footer></body>"))
+    assert html_extract.main_text(page, table) == want
+
+
+def test_class_names_are_learned():
+    odd = "<body><div class='zork'>" + "buy this thing " * 20 + "</div><article><h1>Head</h1><div class='comment'><p>" + "words of the text " * 20 + "</p><p>more of it</p></div></article></body>"
+    total = collections.Counter(html_extract.counts(odd))
+    for _ in range(30):
+        total.update(html_extract.counts(f"<body><nav><a href=x>menu one two</a></nav>{ARTICLE}<footer>rights</footer></body>"))
+    table = html_extract.weights(total)
+    assert html_extract.is_marked(["zork"], table) and not html_extract.is_marked(["comment"], table) and html_extract.is_marked(["comment"], {})
+    page = ARTICLE.replace("</h1>", "</h1><div class='zork'>Buy</div>")
+    assert html_extract.main_text(page, table) == WANT
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        began = time.process_time()
+        html_extract.main_text("<b>x<p>" * n + "<ul>" + "<li><i>y" * n, {})
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * 3 * took[0] + 1
+
+
+def test_pages_with_awkward_rows(spark):
+    rows = [(None, None, None, 1), (1, "u", "", 1), (1, "u", "", 1), (2, None, "<p>" + "word " * 50_000, 1), (3, "v", "<" * 5000 + "<p>x</p>", 1)]
+    schema = "page_id long, url string, html string, text int"
+    got = html_extract.extract(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r["n_chars"] for r in got)[:3] == [0, 0, 0] and len(got) == 5
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and {r["n_chars"] for r in got if r["page_id"] == 2} == {249_999}
+    assert html_extract.extract(spark.createDataFrame([], schema)).columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_pages(spark):
     def article(p):
         body = re.search(r"<article>(.*?)(</article>|$)", p, re.S)[1]
@@ -152,6 +271,26 @@ def test_secrets(spark, docs):
     assert got[1002]["spans"].startswith("markov:7:") and got[1003]["spans"] == ""
 
 
+def test_character_models_on_held_out_strings(spark, docs):
+    """Trained without every fifth sample, and judged on those that a scan would look at."""
+    labelled = secrets.samples(docs).persist()
+    table = secrets.train(labelled.where("pmod(id, 5) != 0"))
+    held = labelled.where("pmod(id, 5) = 0").where(F.col("token").rlike(f"^{secrets.TOKEN}$"))
+    judged = held.select("label", "token", secrets.ratio(F.col("token"), table).alias("ratio")).toPandas()
+    random_ = (judged.ratio >= secrets.TOTAL_RATIO) & (judged.ratio >= judged.token.str.len() * secrets.MEAN_RATIO) & (judged.token.map(lambda t: len(set(t))) >= secrets.DISTINCT)
+    is_random = judged.label == "random"
+    assert (is_random & random_).sum() / is_random.sum() > 0.97, "recall"
+    assert (is_random & random_).sum() / random_.sum() > 0.97, "precision"
+    texts = ["AbstractSingletonProxyFactoryBeanImplementation x", "see org.apache.commons.collections.iterators.FilterIterator", "at /usr/local/share/documents/templates/default_configuration.json", "MAX_CONNECTION_TIMEOUT_MILLISECONDS", "wJalrXUtnFEMIK7MDENGbPxRfiCY"]
+    got = [r["spans"] for r in secrets.find(docs_of(spark, texts), table).orderBy("doc_id").collect()]
+    assert got == ["", "", "", "", f"markov:0:{len(texts[-1])}"]
+    # a plain sum of logarithms
+    size = len(secrets.ALPHABET)
+    for r in judged.sample(50, random_state=1).itertuples():
+        places = [secrets.ALPHABET.index(c) for c in "^" + r.token]
+        assert r.ratio == pytest.approx(sum(table[a * size + b] for a, b in zip(places, places[1:])), abs=1e-3)
+
+
 def test_running_sums(spark):
     df = spark.range(0, 300, 37).select(F.transform(F.when(F.col("id") > 0, F.sequence(F.lit(1), F.col("id"))).otherwise(F.array().cast("array<bigint>")), lambda x: x % 7).alias("a"))
     for r in df.select("a", secrets.running_sums(F.col("a")).alias("s")).collect():
@@ -166,7 +305,7 @@ def test_bpe_is_tiktokens(spark, docs):
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     own = bpe.Tokenizer(ranks, public_tokenizers.PATTERN)
     rng = random.Random(5)
-    texts = ["".join(rng.choice(" \t\n\x1c\x85\xa0　'sdtéß漢ñ𝒳½²01aA!eingthr") for _ in range(rng.randint(0, 60))) for _ in range(4000)] + ["ab" * 200, "a" * 1000, ""]
+    texts = ["".join(rng.choice(" \t\n\x1c\x85\xa0　'sdtéß漢ñ𝒳½²01aA!eingthr") for _ in range(rng.randint(0, 60))) for _ in range(4000)] + ["ab" * 200, "a" * 1000, "", "a" * 20_000, "abcab" * 3000, "".join(rng.choice("abe") for _ in range(9000))]
     assert own.encode(texts) == [np.array(reference.encode_ordinary(t), "<u4").tobytes() for t in texts]
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in bpe.round_trip(docs).collect():
@@ -183,9 +322,50 @@ def test_media(spark):
         payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[2][1:] == got[4][1:] and got[0][1:] == got[1][1:]
-    rows = media.tensors(docs_of(spark, ["some text " * 3000])).toArrow()
-    table = media.to_tensor_table(rows)
-    assert table["tensor"].type == media.tensor_type() and table.num_rows == -(-max(rows["frames"].to_pylist()) // media.BLOCK) * len(rows)
+    texts = ["some text " * 3000, None, "x"]
+    want = {r["doc_id"]: tuple(r)[1:] for r in media.digests(docs_of(spark, texts)).collect()}
+    for r in media.media(docs_of(spark, texts)).collect():
+        n, payload = media.payload_of(texts[r["doc_id"]])
+        assert media.from_wav(r["wav"])[1] == payload and media.digest(n, r["wav"], r["tensors"]) == want[r["doc_id"]]
+        table, found = media.read_tensors(r["tensors"])
+        assert table["tensor"].type == media.tensor_type() and table.num_rows == -(-sum(table["frames"].to_pylist()) // media.BLOCK)
+
+
+def test_features_are_those_of_plain_loops(monkeypatch):
+    """Filtering, framing, filterbank, energies and segments written out, over a payload in one block and in several."""
+    made = media.AudioFeatures()
+    for text in ("x", "plain text with nothing " * 900, "".join(chr(33 + k * k % 90) for k in range(30_000)) + " " * 9000):
+        payload = media.payload_of(text)[1]
+        x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+        low = np.convolve(x, made.taps)[len(made.taps) // 2 :][: len(x)][:: media.DOWN]
+        frames = []
+        at = 0
+        while not frames or at - media.HOP + media.FRAME < len(low):
+            frames.append(np.pad(low[at : at + media.FRAME], (0, media.FRAME - len(low[at : at + media.FRAME]))) * made.window)
+            at += media.HOP
+        mels = [[np.log10(sum(p * w for p, w in zip(np.abs(np.fft.rfft(f)) ** 2, made.bank[:, m])) / media.FRAME + 1e-10) for m in range(media.MELS)] for f in frames]
+        energy = [np.log10((f * f).sum() / media.FRAME + 1e-10) for f in frames]
+        is_open, segments, middle = False, [], np.median(energy)
+        for k, e in enumerate(energy):
+            if not is_open and e - middle >= media.OPEN + 1e-3:
+                is_open, begun = True, k
+            elif is_open and e - middle < media.CLOSE - 1e-3:
+                is_open = False
+                segments.append((begun, k))
+        stored = made.stored(payload)
+        table, found = media.read_tensors(stored)
+        values = np.concatenate([t.as_py() if isinstance(t.as_py(), list) else np.ravel(t.as_py()) for t in table["tensor"].combine_chunks().storage]).reshape(-1, media.MELS)
+        assert np.allclose(values[: len(frames)], mels, atol=2e-3) and (values[len(frames) :] == media.FLOOR).all()
+        assert sum(table["frames"].to_pylist()) == len(frames) and table["end_s"][-1].as_py() == pytest.approx(((len(frames) - 1) * media.HOP + media.FRAME) / 8000)
+        assert abs(len(found) - len(segments)) <= 1 + len(segments) // 3
+        monkeypatch.setattr(media, "BLOCK_FRAMES", media.BLOCK)
+        assert made.stored(payload) == stored
+        monkeypatch.undo()
+
+
+def test_segments_open_and_close_at_two_thresholds():
+    e = np.array([0.0, 0.0, 0.03, 0.0, 0.01, -0.03, 0.01, 0.05, 0.0, 0.0, 0.0, 0.0])
+    assert media.AudioFeatures.segments(e) == [(2, 5), (7, 12)]
 
 
 def test_polyphase_equals_filtering_of_stuffed_zeros():
@@ -198,33 +378,109 @@ def test_polyphase_equals_filtering_of_stuffed_zeros():
         assert np.allclose(made.resample(x), want, atol=1e-5)
 
 
+def naive_chunks(text):
+    """Lines of a text, and (lines, first, end) of its chunks, written out plainly."""
+    import xxhash
+
+    lines, start, m64 = [], 0, (1 << 64) - 1
+    for m in re.finditer(r"\n\s*|[.!?]\s+", text):
+        lines.append(text[start : m.end()])
+        start = m.end()
+    if start < len(text) or not lines:
+        lines.append(text[start:])
+    bare = [x.strip() for x in lines]
+    hashes = [xxhash.xxh3_64_intdigest(x.encode()) for x in bare]
+
+    def rolled(i):
+        h = sum(x * pow(line_dedup.ROLL, k, 1 << 64) for k, x in enumerate(hashes[i : i + line_dedup.ROLLED])) & m64
+        return (h ^ h >> 32) * line_dedup.MIX & m64
+
+    roll = [rolled(i) for i in range(len(lines))]
+    edge = [i in (0, len(lines) - 1) or roll[i] <= roll[i - 1] or roll[i] <= roll[i + 1] for i in range(len(lines))] + [True]
+    out = []
+    for i in range(len(lines)):
+        if edge[i]:
+            for j in range(i + line_dedup.MIN_LINES, len(lines) + 1):
+                if edge[j] and sum(x.count(" ") + 1 for x in bare[i:j] if x) >= line_dedup.MIN_WORDS:
+                    out.append((tuple(bare[i:j]), i, j))
+                    break
+    return lines, out
+
+
+def naive_dedup(rows):
+    """Texts by id as line dedup should leave them."""
+    where, cut = {}, {}
+    for i, text in sorted(rows.items()):
+        for lines, first, end in naive_chunks(text)[1]:
+            where.setdefault(lines, []).append((i, first, end))
+    for i, text in rows.items():
+        lines, chunks = naive_chunks(text)
+        gone, kept = set(), set()
+        for chunk, first, end in chunks:
+            if len(where[chunk]) > 1:
+                (kept if where[chunk][0] == (i, first, end) else gone).update(range(first, end))
+        left = "".join(x for k, x in enumerate(lines) if k not in gone - kept)
+        cut[i] = left.rstrip() if gone - kept else text
+    return cut
+
+
 def test_line_dedup(spark, docs):
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    found = {i: line_dedup.chunks_of(t)[1] for i, t in text.items()}
-    where = {}
-    for i, chunks in sorted(found.items()):
-        for h, choice, first, _ in chunks:
-            where.setdefault(h, []).append((i, first * 2 + choice))
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
-    for i, chunks in found.items():
-        gone = [p for h, c, f, _ in chunks if (i, p := f * 2 + c) != min(where[h])]
-        assert got[i] == line_dedup.cut(text[i], gone)
+    assert got == naive_dedup(text) and got != text
     passage = " ".join(f"Sentence number {k} of the passage has these words." for k in range(12))
     pair = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, ["Own start here. " + passage, "Another begin. " + passage + " Own end.", "All of this is alone."])).collect()}
     assert passage in pair[0] and len(pair[1]) < len(passage) / 2 and pair[2] == "All of this is alone."
-
-
-def test_line_dedup_loses_no_line(spark, docs):
-    """Whatever is cut stays somewhere: no line leaves the corpus, and unique texts are as they were."""
-    lines = lambda t: {t[a:b].strip() for a, b in zip([0, *line_dedup.lines_of(t)], line_dedup.lines_of(t))} if t else set()
-    rows = docs.select("doc_id", "text").toPandas()
-    after = line_dedup.dedup(docs).toPandas()
-    assert set().union(*map(lines, rows.text)) - {""} == set().union(*map(lines, after.text)) - {""}
+    left = line_dedup.drop_emptied(docs)
+    assert left.schema == docs.schema
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in left.collect()} == {i: (t, len(t)) for i, t in got.items() if t.strip() or not text[i].strip()}
+
+
+def test_line_dedup_keeps_what_it_removes(spark, docs):
+    """Whatever is cut stands whole in a text that stays: not only line by line, but as a run of lines."""
+    bare = lambda t: [x.strip() for x in naive_chunks(t)[0]] if t else []
+    before = {r["doc_id"]: bare(r["text"]) for r in docs.collect()}
+    after = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
+    runs = set()
+    for text in after.values():
+        lines = bare(text)
+        runs.update(tuple(lines[i:j]) for i in range(len(lines)) for j in range(i + 1, min(i + 14, len(lines)) + 1))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    often = collections.Counter(c for t in text.values() for c, _, _ in naive_chunks(t)[1])
+    changed = [i for i in text if after[i] != text[i]]
+    assert changed and all(c in runs for c, n in often.items() if n > 1 and len(c) <= 14)
+    for i in changed:  # and nothing else goes
+        within = {k for c, a, z in naive_chunks(text[i])[1] if often[c] > 1 for k in range(a, z)}
+        stays = [x for k, x in enumerate(before[i]) if k not in within]
+        kept = iter(bare(after[i]))
+        assert all(x in kept for x in stays)
     alone = ["The quick brown fox jumps over the lazy dog today.\nAnother line with quite some words follows right here.", "One two three four five six. Seven eight nine ten eleven.", "a b c d e f g h i j k.\n" * 2]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, alone)).collect()}
     assert got == dict(enumerate(alone))
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_line_dedup_on_random_lines(spark, monkeypatch, collide):
+    """Against plain loops where chunks overlap, repeat within a text, and stand in chains of texts; and
+    where the comparison of bytes says of some hashes that they do not tell chunks apart."""
+    rng = random.Random(5)
+    pool = [f"line {k} has some five words{rng.choice('.!?')}" for k in range(40)]
+    texts = {}
+    for i in range(60):
+        lines = []
+        while len(lines) < rng.randint(3, 25):
+            at = rng.randrange(len(pool))
+            lines += pool[at : at + rng.randint(2, 9)] if rng.random() < 0.6 else [f"own {rng.random()} words of text {i}."]
+        texts[i] = rng.choice([" ", "\n"]).join(lines)
+    if not collide:
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, list(texts.values()))).collect()}
+        assert got == naive_dedup(texts)
+    else:
+        monkeypatch.setattr(line_dedup, "collided", lambda listed: line_dedup.chunk_texts(listed).select("chunk").distinct())
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, list(texts.values()))).collect()}
+        assert got == texts
+
+
 def test_line_dedup_finds_shared_passages_in_unique_documents(spark):
     """A passage of 50 to 125 words in otherwise unique documents goes, all but the parts of lines at its edges."""
     rng = random.Random(11)
@@ -233,21 +489,30 @@ def test_line_dedup_finds_shared_passages_in_unique_documents(spark):
     own = lambda: "".join(sentence(rng.randint(1, 16)) for _ in range(rng.randint(2, 20)))
     texts, inner = [], []
     for _ in range(150):
-        while True:
-            words = "".join(sentence(rng.choice([2, 4, 9, 13])) for _ in range(40)).split(" ")[3:][: rng.randint(50, 125)]
-            passage = " ".join(words).rstrip(".!")
-            ends = line_dedup.lines_of(passage)
-            if len(ends) >= 4:  # two whole lines or more between the parts of lines at the edges
-                break
-        whole = passage[ends[0] : ends[-2]].strip()
-        inner.append(whole if len(whole.split(" ")) >= line_dedup.MIN_WORDS else None)
+        passage = " ".join("".join(sentence(rng.choice([4, 9, 13])) for _ in range(40)).split(" ")[3:][: rng.randint(50, 125)])
+        inner.append(passage)
         texts += [own() + "x " + passage + " " + own(), own() + "y " + passage + " " + own()]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, texts)).collect()}
-    for k, whole in enumerate(inner):
-        assert got[2 * k] == texts[2 * k]
-        if whole:
-            before, after = texts[2 * k + 1].split(whole)
-            assert got[2 * k + 1] == (before + after.lstrip()).rstrip()
+    assert all(got[2 * k] == texts[2 * k] for k in range(150))
+    shares = []
+    for k, passage in enumerate(inner):
+        there = set(got[2 * k + 1].split())
+        shares.append(np.mean([w not in there for w in passage.split()]))
+    print("passages of which something goes", np.mean(np.array(shares) > 0), "words gone", np.mean(shares))
+    assert np.mean(np.array(shares) > 0) > 0.9 and np.mean(shares) > 0.5
+
+
+def test_line_dedup_of_rows_without_ids_and_clashing_columns(spark):
+    passage = " ".join(f"Sentence number {k} of the passage has these words." for k in range(6))
+    schema = "doc_id int, text string, `of` int, version int, places array<int>, stays string, n_chars int, `a.b` int"
+    rows = [(None, passage, 1, 1, [1], "s", 5, 1), (None, "x " + passage, 1, 1, None, "s", 5, 1), (0, passage + " y", 1, 1, None, None, 5, 1), (0, passage + " y", 1, 1, None, None, 5, 1), (7, None, 1, 1, None, None, None, 1)]
+    df = spark.createDataFrame(rows, schema)
+    out = line_dedup.dedup(df)
+    got = out.collect()
+    assert out.schema == df.schema and len(got) == 5
+    by = {(r["doc_id"], len(r["text"] or "")) for r in got}
+    assert sum(r["text"] == passage + " y" for r in got) == 2 and (7, 0) in by and all(r["n_chars"] in (5, len(r["text"])) for r in got if r["text"] is not None)
+    assert max(len(r["text"]) for r in got if r["doc_id"] is None) < len(passage)
 
 
 def test_line_dedup_keeps_texts_of_one_id_apart(spark):
@@ -386,5 +651,23 @@ def test_sharding(spark, docs):
     assert (shards == 1).all() and sums.max() - sums.min() <= 0.02 * sums.sum() / 8
 
 
+def test_sharding_in_levels(spark, docs, monkeypatch):
+    """Parts differenced over several levels, against differencing all groups at once; and the least possible spread."""
+    monkeypatch.setattr(sharding, "FAN", 2)
+    got = sharding.shard(docs, tasks=5).toPandas()
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    weight = collections.Counter()
+    for t in text.values():
+        weight[t] += len(t.encode()) + 1
+    sums = got.groupby("shard")["size"].sum()
+    whole, _ = sharding.difference([([w] + [0] * 7, k) for k, w in enumerate(weight.values())])
+    assert len(got) == len(text) and sums.sum() == sum(whole) and len(sums) == 8
+    assert (got.groupby(got.doc_id.map(text)).shard.nunique() == 1).all()
+    assert max(whole) - min(whole) <= sums.max() - sums.min() <= 0.12 * sums.sum() / 8  # parts of 40 texts; far less where they have thousands
+    assert sharding.shard(docs_of(spark, [])).count() == 0
+    hot = sharding.shard(docs_of(spark, ["a" * 9] * 50 + ["b" * 9, None, None, ""])).toPandas()
+    assert hot.groupby("shard")["size"].sum().max() == 500 and hot.groupby("shard").slot.agg(lambda x: sorted(x) == list(range(len(x)))).all()
+
+
 def test_differencing():
     assert sharding.difference([([x, 0], k) for k, x in enumerate([8, 7, 6, 5, 4])])[0] == [16, 14]
