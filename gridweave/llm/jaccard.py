@@ -46,10 +46,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import PerWorker, broadcast_if_small, checkpoint, slices, unused
+from gridweave.llm.common import SLICE_CHARS, PerWorker, broadcast_if_small, checkpoint, unused
 from gridweave.llm.components import components
 
 #: Frequent shingles whose counts go out with the order, at most.
@@ -94,15 +95,73 @@ class Shingler:
 
     def __call__(self, text: str | None) -> np.ndarray:
         h = self.words(text)
-        if not len(h):
-            return np.zeros(0, np.uint64)
-        width = min(self.width, len(h))
+        return distinct(self.mixed(h, min(self.width, len(h)))) if len(h) else h
+
+    @staticmethod
+    def mixed(h: np.ndarray, width: int) -> np.ndarray:
         n = len(h) - width + 1
         out = np.full(n, width, np.uint64)
         for k in range(width):
             out = (out ^ h[k : k + n]) * np.uint64(MIX[k % len(MIX)])
             out ^= out >> np.uint64(29)
-        return np.unique(out)
+        return out
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The sets of an Arrow column of texts: its words are told apart and
+        numbered all at once, and each different one is hashed once."""
+        ends, h = split_words(texts, self.digest)
+        whole = self.mixed(h, self.width) if len(h) >= self.width else np.zeros(0, np.uint64)
+        out = []
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            if b - a >= self.width:
+                out.append(distinct(whole[a : b - self.width + 1]))
+            else:
+                out.append(self.mixed(h[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+        return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """As np.unique, which is slower on short arrays."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(1, bool), x[1:] != x[:-1]])] if len(x) else x
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[32, *range(9, 14)]] = True
+
+
+def split_words(texts: pa.Array, digest) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of an Arrow column where its words end among all words, and the hashes of all words."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+    word = ~IS_SPACE[raw]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    edges = offsets[1:-1] - offsets[0]
+    edges = edges[edges < len(raw)]
+    begins[edges] = word[edges]  # a text's first character does not go on with the text before
+    last = word.copy()
+    last[:-1] &= begins[1:] | ~word[1:]
+    starts = np.flatnonzero(begins)
+    cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.flatnonzero(last) - starts + 1)])
+    bytes_ = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(raw[word])])
+    numbered = bytes_.dictionary_encode()
+    each = np.fromiter(map(digest, numbered.dictionary.to_pylist()), np.uint64, len(numbered.dictionary))
+    return np.searchsorted(starts, offsets[1:] - offsets[0]), each[numbered.indices.to_numpy()] if len(starts) else np.zeros(0, np.uint64)
+
+
+def parts_of(texts: pa.Array, limit: int = SLICE_CHARS):
+    """(start, end) ranges of at most `limit` bytes of text, or of one text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        done = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, done + limit, "right")))
+        yield start, end
+        start = end
 
 
 def really_link(a: str | None, b: str | None, width: int, percent: int) -> bool:
@@ -146,10 +205,11 @@ def frequent_shingles(texts: DataFrame, width: int, percent: int) -> tuple[np.nd
             return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                members = shingler(text)
-                held.append(members[: np.searchsorted(members, limit)].copy())
-                size += len(held[-1])
+            texts = b.column(0)
+            for start, end in parts_of(texts):
+                for members in shingler.many(texts.slice(start, end - start)):
+                    held.append(members[: np.searchsorted(members, limit)].copy())
+                    size += len(held[-1])
                 if size > LOCAL_SHINGLES:
                     yield report()
                     held, size = [], 0
@@ -187,9 +247,9 @@ def leading_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches):
         order = make.get()
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for start, end in slices(texts):
-                sets = [order.shingler(t) for t in texts[start:end]]
+            texts = b.column(2)
+            for start, end in parts_of(texts):
+                sets = order.shingler.many(texts.slice(start, end - start))
                 keys = [order.leading(s) if len(s) else s for s in sets]
                 ends = np.cumsum([0, *map(len, keys)])
                 yield pa.RecordBatch.from_arrays(
@@ -362,18 +422,19 @@ def join_region(sets: list[np.ndarray], percent: int, part: np.ndarray | None =
 REGION_KEY = ["region", "low", "high"]
 
 
-def _cut(members: DataFrame) -> DataFrame:
+def _cut(members: DataFrame, region: int | None = None) -> DataFrame:
     """members (region, id, component, size of the region) dealt to tasks: a
     region as a whole, or a large one as pairs of its blocks.  Blocks of its
     largest component meet only blocks of the others."""
-    half = REGION // 2
+    region = region or REGION
+    half = max(1, region // 2)
     parts = members.groupBy("region", "component").agg(F.count("*").alias("n"))
     main = parts.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"))
     main = checkpoint(main)
     at = members.join(broadcast_if_small(main), "region")
     others = F.ceil((F.col("size") - F.col("n_main")) / half).cast("int")
     mains = F.ceil(F.col("n_main") / half).cast("int")
-    single, is_main = F.col("size") <= REGION, F.col("component") == F.col("main")
+    single, is_main = F.col("size") <= region, F.col("component") == F.col("main")
     own = F.when(single, 0).when(is_main, others + F.pmod(F.xxhash64("id"), mains).cast("int")).otherwise(F.pmod(F.xxhash64("id"), F.greatest(others, F.lit(1))).cast("int"))
     last = F.when(is_main, others - 1).otherwise(others + mains - 1)
     other = F.when(single, F.array(F.lit(0))).when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
@@ -577,7 +638,7 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     regions = open_.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     members = checkpoint(labelled.join(regions, "key").select(F.col("key").alias("region"), "id", "component", "size"))
     if not members.isEmpty():
-        kept = families(checkpoint(hopeful(checkpoint(_cut(members)), sets, percent)))
+        kept = families(checkpoint(hopeful(checkpoint(_cut(members, REGION // 3)), sets, percent)))
         known = checkpoint(components(join_families(kept, found, texts, width, percent)))
 
     n = sets.groupBy("same").agg(F.min("id").alias("first"), F.max("n").alias("n_shingles"))
