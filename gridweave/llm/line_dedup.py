@@ -18,7 +18,7 @@ keeps it.  Chunks are found by hashes; then their bytes are compared, line by
 line without the white space at the lines' ends.
 
 Defined results: null and empty texts stay as they are.  A text of which
-nothing is left becomes empty; `dedup` keeps its row and `drop_emptied` does
+nothing is left becomes empty; `dedup` keeps its row and `drop_copies` does
 not.  Rows without an id are documents too, after all that have one, equal
 texts among them being one.  Rows with one id are one document if their texts
 are equal: of equal rows all stay.  Ids must be whole numbers.  Very long texts
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import bound_batches, broadcast_if_small, checkpoint, numbered, slices, tidy, unused
 
 MIN_LINES, MIN_WORDS = 2, 10
+#: Percent of its words that a copy loses.
+COPY = 80
 #: Lines that the rolling hash covers.
 ROLLED = 2
 BREAK = re.compile(r"\n\s*|[.!?]\s+")
@@ -85,7 +87,7 @@ class Chunks:
         self.lines = [p.strip() for p in self.pieces]
         self.bounds, n = np.array(bounds), len(self.lines)
         hashes = np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in self.lines), np.uint64, n)
-        words = np.fromiter((x.count(" ") + 1 if x else 0 for x in self.lines), np.int64, n)
+        words = self.words = np.fromiter((x.count(" ") + 1 if x else 0 for x in self.lines), np.int64, n)
 
         of_line = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
         start, stop, line = self.bounds[of_line], self.bounds[of_line + 1], np.arange(n)
@@ -124,15 +126,19 @@ class Chunks:
         np.add.at(edge, self.end[chunks], -1)
         return np.cumsum(edge)[:-1] > 0
 
-    def without(self, chunks: np.ndarray, kept: np.ndarray) -> list[str]:
-        """The texts without the lines of these chunks, but for those of the kept chunks."""
+    def without(self, chunks: np.ndarray, kept: np.ndarray) -> tuple[list[str], list[int]]:
+        """The texts without the lines of these chunks, but for those of the kept
+        chunks; and how many percent of a text's words go."""
         gone = self._covered(chunks) & ~self._covered(kept)
-        out = []
+        sums = np.concatenate([[0], np.cumsum(np.where(gone, self.words, 0))])
+        whole = np.concatenate([[0], np.cumsum(self.words)])
+        out, percent = [], []
         for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
             some = gone[a:b]
             left = "".join(p for p, g in zip(self.pieces[a:b], some.tolist()) if not g)
             out.append(left.rstrip() if some.any() else left)
-        return out
+            percent.append(int(100 * (sums[b] - sums[a]) // max(1, whole[b] - whole[a])))
+        return out, percent
 
 
 def chunks_of(text: str) -> list[tuple[int, int, int]]:
@@ -232,12 +238,13 @@ def _marked(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return out, [places, stays]
 
 
-def _cut(docs: DataFrame, emptied: bool) -> DataFrame:
+def _cut(docs: DataFrame, percent: int) -> DataFrame:
+    """docs with repeated chunks cut; rows without a first occurrence that lose `percent` of their words go."""
     bound_batches(docs.sparkSession)
     marked, last = _marked(docs)
     names = docs.columns
-    at = docs.columns.index("text")
-    n_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    at = names.index("text")
+    n_at = names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches):
         tidy()
@@ -247,16 +254,16 @@ def _cut(docs: DataFrame, emptied: bool) -> DataFrame:
             if changed:
                 texts, rows = columns[at].to_pylist(), pa.array(changed)
                 lists, stays = columns[-2].take(rows), columns[-1].take(rows)
-                some = [texts[k] for k in changed]
+                some, lost = [texts[k] for k in changed], [0] * len(changed)
                 for start, end in slices(some):
                     c = Chunks(some[start:end])
                     found, where = c.listed(lists.slice(start, end - start))
                     first = stays.slice(start, end - start).flatten().to_numpy(zero_copy_only=False)[where].astype(bool)
-                    some[start:end] = c.without(found[~first], found[first])
+                    some[start:end], lost[start:end] = c.without(found[~first], found[first])
                 n = columns[n_at].to_pylist() if n_at >= 0 else None
-                for k, text in zip(changed, some):
+                for k, text, share, first in zip(changed, some, lost, stays.to_pylist()):
                     if text != texts[k]:
-                        keep[k] = emptied or bool(text.strip())
+                        keep[k] = share < percent or any(first)
                         if n is not None:
                             n[k] = len(text)
                     texts[k] = text
@@ -266,17 +273,19 @@ def _cut(docs: DataFrame, emptied: bool) -> DataFrame:
             out = pa.RecordBatch.from_arrays(columns[:-2], names)
             yield out if keep.all() else out.filter(pa.array(keep))
 
-    return numbered(marked.select(*(F.col(f"`{c}`") for c in docs.columns), *last)).mapInArrow(run, docs.schema)
+    return numbered(marked.select(*(F.col(f"`{c}`") for c in names), *last)).mapInArrow(run, docs.schema)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks cut from text, and n_chars (if there is such a column) set anew."""
-    return _cut(docs, True)
+    return _cut(docs, 101)
 
 
-def drop_emptied(docs: DataFrame) -> DataFrame:
-    """As `dedup`, without the rows of which nothing is left: other rows hold all that they held."""
-    return _cut(docs, False)
+def drop_copies(docs: DataFrame, percent: int = COPY) -> DataFrame:
+    """As `dedup`, without the rows that are copies: those that lose `percent` or
+    more of their words, unless they hold the first occurrence of a chunk.  What
+    is removed from other rows so still stands whole in a row that stays."""
+    return _cut(docs, percent)
 
 
 def report(docs: DataFrame) -> DataFrame:

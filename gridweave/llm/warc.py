@@ -142,36 +142,39 @@ def revisits_of_pages(spark, sf_dir: str) -> DataFrame:
     return out.withColumn("headers", lines)
 
 
+#: The archive of `records_of_pages`, and then resolution of any such archive: headers are lists of (k, v).
 ORACLE = """
-WITH pages_ AS (
-  SELECT page_id, coalesce(html, '') AS html,
-         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
-  FROM pages),
+WITH made AS (
+  SELECT page_id, url, page_id * 10 AS at, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || CAST(page_id // 100 AS VARCHAR) AS day, CAST(length(coalesce(html, '')) AS VARCHAR) AS n FROM pages),
+records AS (
+  SELECT page_id * 2 AS record_id, url, at AS ts, 'response' AS kind, 200 AS http_status,
+         [{k: 'ETag', v: tag}, {k: 'Last-Modified', v: day}, {k: 'Content-Length', v: n}, {k: 'Date', v: CAST(at AS VARCHAR)}, {k: 'Cache-Control', v: 'max-age=60'}] AS headers FROM made
+  UNION ALL
+  SELECT page_id * 2 + 1, url, at + 1800, 'revisit', 304,
+         list_concat([{k: 'Date', v: CAST(at + 1800 AS VARCHAR)}, {k: 'Cache-Control', v: 'max-age=600'}, {k: 'Content-Length', v: '0'}],
+           CASE WHEN page_id % 13 = 0 THEN [] WHEN page_id % 11 = 0 THEN [{k: 'Last-Modified', v: day}] WHEN page_id % 7 = 0 THEN [{k: 'ETag', v: '"other"'}] ELSE [{k: 'ETag', v: 'W/' || tag}] END) FROM made),
+bare AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM records),
 cut AS (
-  SELECT page_id, html,
-         regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www[0-9]*\\.', ''), ':(80|443)$', '') AS host,
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www[0-9]*\\.', ''), ':(80|443)$', '') AS host,
          regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/index\\.(html?|php)$', '/'), '/+$', '') AS path,
          array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'),
-           lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=&]*|ref|fbclid|gclid|msclkid|mc_cid|mc_eid|igshid|sessionid|phpsessid|jsessionid)(=|$)'))), '&') AS query
-  FROM pages_),
-base AS (
-  SELECT page_id, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url,
-         '"' || md5(html) || '"' AS etag, 'day ' || CAST(page_id // 100 AS VARCHAR) AS modified, length(html) AS n
-  FROM cut),
-paired AS (
-  SELECT b.page_id, b.canonical_url, b.etag AS new_etag, b.modified AS new_modified, r.page_id AS r_id, r.etag, r.modified, r.n
-  FROM base b LEFT JOIN base r ON b.canonical_url = r.canonical_url AND r.page_id * 10 <= b.page_id * 10 + 1800
-  QUALIFY row_number() OVER (PARTITION BY b.page_id ORDER BY r.page_id DESC NULLS LAST) = 1),
+           lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=&]*|ref|fbclid|gclid|msclkid|mc_cid|mc_eid|igshid|sessionid|phpsessid|jsessionid)(=|$)'))), '&') AS query FROM bare),
+lowered AS (
+  SELECT record_id, ts, kind, http_status, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url, list_transform(coalesce(headers, []), lambda h: {k: lower(trim(h.k)), v: h.v}) AS l FROM cut),
+own AS (SELECT * EXCLUDE (l), list_filter(l, lambda h, i: list_position(list_transform(l, lambda x: x.k), h.k) = i) AS h FROM lowered),
+valid AS (SELECT *, list_filter(h, lambda x: x.k = 'etag')[1].v AS etag, list_filter(h, lambda x: x.k = 'last-modified')[1].v AS modified FROM own),
+joined AS (
+  SELECT r.record_id, r.canonical_url, r.ts, r.h, r.etag, r.modified, f.record_id AS refers_to, f.ts AS f_ts, f.h AS f_h, f.etag AS f_etag, f.modified AS f_modified
+  FROM valid r LEFT JOIN valid f ON f.kind = 'response' AND f.http_status = 200 AND f.canonical_url = r.canonical_url AND (f.ts < r.ts OR f.ts = r.ts AND f.record_id < r.record_id)
+  WHERE r.kind = 'revisit' QUALIFY row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) = 1),
 judged AS (
-  SELECT *, CASE WHEN r_id IS NULL THEN 'missing'
-                 WHEN page_id % 13 = 0 THEN 'no_validator'
-                 WHEN page_id % 11 = 0 THEN CASE WHEN modified = new_modified THEN 'resolved' ELSE 'mismatch' END
-                 WHEN page_id % 7 = 0 THEN 'mismatch'
-                 WHEN etag = new_etag THEN 'resolved' ELSE 'mismatch' END AS status
-  FROM paired)
-SELECT page_id * 2 + 1 AS record_id, canonical_url, status, r_id * 2 AS refers_to, page_id * 10 + 1800 - r_id * 10 AS age,
-       CASE WHEN status = 'resolved' THEN
-         'cache-control: max-age=600' || chr(10) || 'content-length: ' || CAST(n AS VARCHAR) || chr(10) || 'date: ' || CAST(page_id * 10 + 1800 AS VARCHAR) || chr(10)
-         || 'etag: ' || CASE WHEN page_id % 11 = 0 THEN etag ELSE 'W/' || new_etag END || chr(10) || 'last-modified: ' || modified END AS headers
+  SELECT *, list_filter(h, lambda x: x.k IN ('cache-control', 'content-location', 'date', 'etag', 'expires', 'vary')) AS changes,
+         CASE WHEN refers_to IS NULL THEN 'missing'
+              WHEN etag IS NOT NULL AND f_etag IS NOT NULL THEN CASE WHEN regexp_replace(trim(etag), '^W/', '') = regexp_replace(trim(f_etag), '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+              WHEN modified IS NOT NULL AND f_modified IS NOT NULL THEN CASE WHEN trim(modified) = trim(f_modified) THEN 'resolved' ELSE 'mismatch' END
+              ELSE 'no_validator' END AS status FROM joined)
+SELECT record_id, canonical_url, status, refers_to, ts - f_ts AS age,
+       CASE WHEN status = 'resolved' THEN array_to_string(list_sort(list_transform(
+         list_concat(list_filter(f_h, lambda x: NOT list_contains(list_transform(changes, lambda c: c.k), x.k)), changes), lambda x: x.k || ': ' || x.v)), chr(10)) END AS headers
 FROM judged
 """

@@ -179,6 +179,28 @@ def test_warc_statuses(spark):
     assert got[2]["headers"] == {"etag": 'W/"1"', "content-length": "5", "date": "d2"} and got[4]["refers_to"] == 1
 
 
+def test_warc_headers_ties_and_empty_tables(spark):
+    """Names that differ by case, records of one moment, equal records, clashing columns, no rows."""
+    schema = "record_id long, url string, ts long, kind string, http_status int, headers map<string,string>, span long, own string"
+    rows = [
+        (1, "http://a.org/x", 10, "response", 200, {"ETag": '"1"', "etag": '"9"', "Vary": "a"}, 1, "x"),
+        (2, "http://a.org/x", 10, "revisit", 304, {"ETAG ": '"1"', "Etag": '"7"'}, 1, "x"),
+        (3, "http://a.org/x", 10, "response", 200, {"ETag": '"3"'}, 1, "x"),
+        (4, "http://a.org/x", 10, "revisit", 304, {"ETag": '"3"'}, 1, "x"),
+        (4, "http://a.org/x", 10, "revisit", 304, {"ETag": '"3"'}, 1, "x"),
+        (5, "http://a.org/x", 10**6, "revisit", 304, {"Last-Modified": "d"}, 1, None),
+        (6, "http://a.org/x", 10, None, None, None, None, None),
+        (7, None, None, "revisit", None, None, None, None),
+        (8, None, 5, "response", 200, {"ETag": '"3"'}, 1, "x"),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted((r["record_id"], r["status"], r["refers_to"]) for r in warc.resolve(df).collect())
+    assert got == [(2, "resolved", 1), (4, "resolved", 3), (4, "resolved", 3), (5, "no_validator", 3), (7, "missing", None)]
+    for span in (1, 7, 10**9):  # whatever the spans are
+        assert sorted((r["record_id"], r["status"], r["refers_to"]) for r in warc.resolve(df, span).collect()) == got
+    assert warc.resolve(df.where("false")).count() == 0
+
+
 def test_html():
     page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href=x>menu one</a></nav><div class="ad">Buy this now please</div>
     <article><h1>Title &amp; more</h1><p>One  two<br>three &eacute; four five six seven<p>Next <b>para</b> with some words in it</p><div class="comments">I agree with all of it</div></article>
@@ -431,9 +453,21 @@ def test_line_dedup(spark, docs):
     passage = " ".join(f"Sentence number {k} of the passage has these words." for k in range(12))
     pair = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, ["Own start here. " + passage, "Another begin. " + passage + " Own end.", "All of this is alone."])).collect()}
     assert passage in pair[0] and len(pair[1]) < len(passage) / 2 and pair[2] == "All of this is alone."
-    left = line_dedup.drop_emptied(docs)
+    left = line_dedup.drop_copies(docs)
     assert left.schema == docs.schema
-    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in left.collect()} == {i: (t, len(t)) for i, t in got.items() if t.strip() or not text[i].strip()}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in left.collect()} == {i: (t, len(t)) for i, t in got.items() if not is_copy(text, i, t)}
+
+
+def is_copy(text, i, left):
+    """Whether a text goes with what is left of it, by counting."""
+    if left == text[i]:
+        return False
+    where = {}
+    for k, t in sorted(text.items()):
+        for chunk, first, _ in naive_chunks(t)[1]:
+            where.setdefault(chunk, []).append((k, first))
+    count = lambda t: sum(x.strip().count(" ") + 1 for x in naive_chunks(t)[0] if x.strip())
+    return count(text[i]) - count(left) >= 0.8 * count(text[i]) and not any(len(w) > 1 and w[0][0] == i for w in where.values())
 
 
 def test_line_dedup_keeps_what_it_removes(spark, docs):
@@ -591,6 +625,19 @@ def test_jaccard_of_a_large_family(spark, monkeypatch, bound):
     assert got == {i: (sizes[i], root[i]) for i in range(len(texts))} and rounds
 
 
+def test_sets_of_a_column_are_those_of_its_texts():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aAbB é\t\n\x0b\x1f\x85") for _ in range(rng.randint(0, 40))) for _ in range(500)] + [None, "", " ", "a", "x y", "tail"]
+    for width in (1, 3, 5):
+        shingler = jaccard.Shingler(width)
+        column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+        assert all(np.array_equal(a, shingler(t)) for a, t in zip(shingler.many(column), texts, strict=True))
+        assert [b.tolist() for s, e in jaccard.parts_of(column, 50) for b in shingler.many(column.slice(s, e - s))] == [shingler(t).tolist() for t in texts]
+    assert jaccard.Shingler(3).many(pa.array([], pa.string())) == [] and list(jaccard.parts_of(pa.array([], pa.string()))) == []
+
+
 def test_jaccard_does_not_mix_up_words(spark):
     """Words on which polynomial hashes modulo a power of two collide."""
     one = "a"
@@ -671,3 +718,56 @@ def test_sharding_in_levels(spark, docs, monkeypatch):
 
 def test_differencing():
     assert sharding.difference([([x, 0], k) for k, x in enumerate([8, 7, 6, 5, 4])])[0] == [16, 14]
+
+
+def test_pipeline_and_its_stages(spark, tmp_path):
+    """Every stage of a run against plain loops over the rows that the stage before kept."""
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(21)
+    source = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60 and lang is not null").orderBy("doc_id").collect()
+    items = ["A traveller goes from the old harbour to the new bridge and pays 12 coins for 3 days so what does each day cost him in the end", "Name the river that flows past the seven hills of the town where the great market stands each spring and autumn"]
+    texts = [(r["text"], r["lang"]) for r in source]
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    near = words(120)
+    texts += [(f"The beginning of it and the end. {items[0].replace('12', '40').replace('3 days', '8 days')}. And more of the text.", "en"), (f"It was so. {items[1]}", "en")]
+    texts += [(source[0]["text"], "en"), (source[0]["text"] + " And the end of it all.", "en"), (near + " the end of the text", "en"), (near + " the end of a text", "en"), (None, None), ("", "en"), ("12 34 !", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, (t, lang) in enumerate(texts)], schema)
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    state, docs = dict(enumerate(t for t, _ in texts)), rows
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        path = str(tmp_path / name)
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        if name != "byte_bpe":
+            assert docs.columns == rows.columns
+            got = {r["doc_id"]: r["text"] for r in docs.collect()}
+            assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
+        if name == "language_id":
+            assert set(state) - set(got) == {i for i, t in state.items() if not t or not any(map(str.isalpha, t))}
+            want = {i: state[i] for i in got}
+        elif name == "line_dedup":
+            want = {i: t for i, t in naive_dedup(state).items() if not is_copy(state, i, t)}
+            assert len(want) < len(state)
+        elif name == "jaccard_join":
+            order = sorted(state)
+            root = brute_components([state[i] for i in order], 5, 80)[1]
+            want = {i: state[i] for k, i in enumerate(order) if root[k] == k}
+            assert len(want) < len(state)
+        elif name == "decontamination":
+            want = {i: t for i, t in state.items() if "goes from the old harbour" not in t and "the seven hills" not in t}
+            assert len(want) == len(state) - 2
+        else:
+            encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+            want = {i: (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for i, ids in ((i, encoding.encode_ordinary(t)) for i, t in state.items())}
+            got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in docs.collect()}
+        assert got == want
+        state = got
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in pipeline.run(spark, str(tmp_path)).collect()} == state
