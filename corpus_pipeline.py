@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 and read again before the next.  All but the last return the columns of
 `documents`.
+
+Line dedup comes before the Jaccard join, so of a near copy it leaves the few
+lines that differ; these would not be found near to anything any more.  Texts
+that lose 80 percent of their words to it therefore go with what is left, unless
+they hold the first occurrence of something (`line_dedup.drop_copies`).
+
+Null texts and texts without a letter have no language and go in the first
+stage; empty tables pass all stages.
 """
 
 from __future__ import annotations
@@ -21,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks are cut from the texts; no document goes."""
-    return line_dedup.dedup(docs)
+    """Repeated multi-line chunks are cut from the texts; what is nearly all cut goes."""
+    return line_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
