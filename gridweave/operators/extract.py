@@ -57,13 +57,33 @@ def write_year(year: DataFrame, path: str) -> bool:
     return True
 
 
+def coords_path(out: str, zone: str) -> str:
+    return f"{out}/zone={zone}/coords"
+
+
+def year_path(out: str, zone: str, year: int) -> str:
+    return f"{out}/zone={zone}/year={year}"
+
+
+def write_coords(pixels: DataFrame, out: str, zone: str) -> str:
+    """Coordinates and grid places of a zone's pixels, without its name (the path has it)."""
+    path = coords_path(out, zone)
+    one = pixels.where(F.col("zone") == zone).drop("zone")
+    one.repartitionByRange("pixel_id").sortWithinPartitions("pixel_id").write.mode("overwrite").parquet(path)
+    return path
+
+
 def extract(pixels: DataFrame, tiles_by_year: dict[int, tuple[DataFrame, Sequence[str]]], out: str, indices: Sequence[str]) -> dict:
-    """Coordinates and a table for each year under `out`; years that are there already are skipped."""
+    """Coordinates and a table for each zone and year under `out`; years that are
+    there already are skipped.  Zones are named by the pixels (a few names)."""
     from gridweave.functions.bands import year_columns
 
-    pixels.select("zone", "pixel_id", "lon", "lat").write.mode("overwrite").parquet(f"{out}/coords")
-    files = {}
+    zones = sorted(r["zone"] for r in pixels.select("zone").distinct().collect())
+    coords = {z: write_coords(pixels, out, z) for z in zones}
+    files = []
     for year, (tile_pixels, names) in sorted(tiles_by_year.items()):
-        files[year] = f"{out}/year={year}"
-        write_year(sample_year(pixels, tile_pixels, year_columns(names, year, indices)), files[year])
-    return {"n_pixels": pixels.count(), "checkpoint_dir": out, "coords_path": f"{out}/coords", "year_files": list(files.values())}
+        for zone in zones:
+            of = lambda df: df.where(F.col("zone") == zone)  # noqa: E731, B023
+            files.append(year_path(out, zone, year))
+            write_year(sample_year(of(pixels), of(tile_pixels), year_columns(names, year, indices)).drop("zone"), files[-1])
+    return {"n_pixels": pixels.count(), "checkpoint_dir": out, "coords_paths": coords, "year_files": files}

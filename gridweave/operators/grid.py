@@ -110,6 +110,19 @@ def resample_nearest(cells: DataFrame, coarse: DataFrame, factor: int) -> DataFr
     return at.join(source, ["zone", "src_row", "src_col"], "left").withColumn("mask_value", F.coalesce("mask_value", F.lit(0))).drop("src_row", "src_col")
 
 
+def resample_affine(cells: DataFrame, target: Affine, source_cells: DataFrame, source: Affine, value: str = "value") -> DataFrame:
+    """The source's value under each cell's centre, between any two affine grids
+    of one coordinate system (rotated ones too): nearest cell; 0 outside and where
+    the source has none."""
+    x, y = lon(target, F.col("grid_row"), F.col("grid_col")), lat(target, F.col("grid_row"), F.col("grid_col"))
+    whole = source.a * source.e - source.b * source.d
+    col = F.floor((source.e * (x - source.c) - source.b * (y - source.f)) / whole).cast("int")
+    row = F.floor((source.a * (y - source.f) - source.d * (x - source.c)) / whole).cast("int")
+    under = source_cells.select("zone", F.col("grid_row").alias("src_row"), F.col("grid_col").alias("src_col"), F.col(value).alias("mask_value"))
+    at = cells.withColumns({"src_row": row, "src_col": col})
+    return at.join(under, ["zone", "src_row", "src_col"], "left").withColumn("mask_value", F.coalesce("mask_value", F.lit(0))).drop("src_row", "src_col")
+
+
 def coverage(cells: DataFrame, above: int = 0) -> DataFrame:
     n = F.count_if(F.col("value") > above)
     return cells.groupBy("zone").agg(n.alias("n_masked"), F.count("*").alias("n_total"), F.round(n / F.count("*"), 6).alias("ratio"))

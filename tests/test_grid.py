@@ -81,14 +81,14 @@ def test_extract_resumes_and_merges(spark, tmp_path):
     names = ["NDVI_2018_01", "QA60", "EVI_2018_01"]
     made = extract.extract(pixels, {2018: (tile_pixels(spark, (1, 2)), names), 2019: (tile_pixels(spark, (2, 1)), names)}, str(tmp_path), bands.INDICES)
     assert made["n_pixels"] == 5
-    assert not extract.write_year(ids(spark), made["year_files"][0])
+    assert not extract.write_year(ids(spark).drop("zone"), made["year_files"][0])
     done = merge.merge(spark, str(tmp_path), "z", 2018, 2019, str(tmp_path / "wide"))
     assert (done["n_pixels"], done["n_cols"]) == (5, 4)
     with pytest.raises(FileNotFoundError):
         merge.merge(spark, str(tmp_path), "z", 2018, 2020, str(tmp_path / "other"))
-    coords = spark.read.parquet(made["coords_path"])
+    coords = spark.read.parquet(made["coords_paths"]["z"])
     with pytest.raises(ValueError):
-        merge.wide_merge(coords, [coords.where("pixel_id < 4").select("zone", "pixel_id")])
+        merge.wide_merge(coords, [coords.where("pixel_id < 4").select("pixel_id")], ["pixel_id"])
 
 
 def test_pivot_and_back(spark):
