@@ -39,17 +39,29 @@ def lookback_windows(long: DataFrame, back: int = 36, ahead: int = 12, keys: Seq
 def within_km(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
     """Pairs (id_a, id_b) of points (id, lon, lat) within a distance.
 
-    Points meet in cells of one degree of latitude bands; away from the poles a
-    point's reach is listed under each cell that it may touch.
+    Points meet in cells of bands of latitude; a point's reach is listed under
+    each cell that it may touch, beyond 180 degrees on the other side too, and
+    all around where it reaches a pole.  Points without a place pair with none.
     """
     size = km / 111.0 * 1.01
-    lon_size = F.lit(size) / F.greatest(F.cos(F.radians(F.abs("lat") + size)), F.lit(0.01))
-    cell = lambda c, s: F.floor(c / s)
-    left = a.select(F.col("id").alias("id_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"), "lat", "lon").withColumn("y", F.explode(F.sequence(cell(F.col("lat") - size, size), cell(F.col("lat") + size, size))))
-    left = left.withColumn("x", F.explode(F.sequence(cell(F.col("lon") - lon_size, size), cell(F.col("lon") + lon_size, size)))).drop("lat", "lon")
-    right = b.select(F.col("id").alias("id_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"), cell(F.col("lat"), size).alias("y"), cell(F.col("lon"), size).alias("x"))
+    cell = lambda c: F.floor(c / size)
+    span = lambda low, high: F.sequence(cell(low), cell(high))
+    left = a.where("lon is not null and lat is not null").select(F.col("id").alias("id_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
+    polar = F.abs("lat_a") + size >= 89.9
+    wide = F.when(polar, 180.0).otherwise(F.least(F.lit(180.0), size / F.cos(F.radians(F.least(F.abs("lat_a") + size, F.lit(89.9))))))
+    west, east = F.col("lon_a") - F.col("wide"), F.col("lon_a") + F.col("wide")
+    none = F.array().cast("array<bigint>")
+    around = F.concat(
+        span(F.greatest(west, F.lit(-180.0)), F.least(east, F.lit(180.0))),
+        F.when(west < -180, span(west + 360, F.lit(180.0))).otherwise(none),
+        F.when(east > 180, span(F.lit(-180.0), east - 360)).otherwise(none),
+    )
+    left = left.withColumn("wide", wide).withColumn("y", F.explode(span(F.col("lat_a") - size, F.col("lat_a") + size)))
+    left = left.withColumn("x", F.explode(F.array_distinct(around))).drop("wide")
+    right = b.select(F.col("id").alias("id_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"), cell(F.col("lat")).alias("y"), cell(F.col("lon")).alias("x"))
     h = F.pow(F.sin(F.radians(F.col("lat_b") - F.col("lat_a")) / 2), 2) + F.cos(F.radians("lat_a")) * F.cos(F.radians("lat_b")) * F.pow(F.sin(F.radians(F.col("lon_b") - F.col("lon_a")) / 2), 2)
-    return left.join(right, ["y", "x"]).where(2 * EARTH_KM * F.asin(F.sqrt(h)) <= km).select("id_a", "id_b")
+    near = 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0)))) <= km
+    return left.join(right, ["y", "x"]).where(near).select("id_a", "id_b")
 
 
 def marks(log: DataFrame, by: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
