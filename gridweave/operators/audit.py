@@ -1,14 +1,21 @@
-"""Quality of a pixel table: sampling, missing values, distribution."""
+"""Quality of a pixel table: sampling, missing values, distribution.
+
+Medians are exact and made by ranks: values are counted, counts are summed in
+RANGES equal ranges of value, and only the values of the ranges that hold the
+middle ranks are put in order, so no task holds the values of a whole zone.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOW, BINS, CHUNK = 0.3, 100, 500_000
+#: Ranges of value in which a median is looked for.
+RANGES = 4096
 EDGES = [float(x) for x in np.linspace(-1, 1, BINS + 1)]
 
 
@@ -31,27 +38,59 @@ def missing_fraction(long: DataFrame, keys: Sequence[str] = ("zone", "pixel_id")
     return long.groupBy(*keys).agg(F.avg(F.col(value).isNull().cast("int")).alias("missing"))
 
 
+def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """The median of the values that are not null, for each group; half of the sum of the two middle ones."""
+    by = list(by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ends = counts.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
+    place = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * RANGES), F.lit(RANGES - 1))).otherwise(0)
+    ranged = counts.join(ends, by).withColumn("range", place)
+    sums = ranged.groupBy(*by, "range").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    before = F.sum("m").over(Window.partitionBy(*by).orderBy("range")) - F.col("m")
+    first, second = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = sums.withColumn("before", before).where((F.col("before") <= second) & (F.col("before") + F.col("m") > first)).select(*by, "range", "before")
+    few = ranged.join(middle, [*by, "range"])
+    up_to = F.col("before") + F.sum("n").over(Window.partitionBy(*by, "range").orderBy("v"))
+    at = lambda rank: F.max(F.when((F.col("up_to") > rank) & (F.col("up_to") - F.col("n") <= rank), F.col("v")))
+    return few.withColumn("up_to", up_to).groupBy(*by).agg(((at(first) + at(second)) / 2).alias(name))
+
+
 def missingness(fractions: DataFrame, by: Sequence[str] = ("zone",)) -> DataFrame:
-    return fractions.groupBy(*by).agg(*(F.round(f("missing"), 6).alias(f"nan_fraction_{n}") for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop))))
+    others = fractions.groupBy(*by).agg(*(F.round(f("missing"), 6).alias(f"nan_fraction_{n}") for n, f in (("mean", F.avg), ("std", F.stddev_pop))))
+    median = exact_median(fractions, by, "missing", "m")
+    return others.join(median, list(by)).select(*by, "nan_fraction_mean", F.round("m", 6).alias("nan_fraction_median"), "nan_fraction_std")
 
 
 def distribution(long: DataFrame, by: Sequence[str] = ("zone",), value: str = "value") -> DataFrame:
-    v = F.col(value).cast("double")
-    return long.where(F.col(value).isNotNull()).groupBy(*by).agg(
+    others = long.where(F.col(value).isNotNull()).groupBy(*by).agg(*_moments(F.col(value).cast("double")))
+    return _with_median(others, long, by, value)
+
+
+def _moments(v: Column) -> list[Column]:
+    return [
         F.count(v).alias("valid_value_count"),
         F.min(v).alias("valid_value_min"),
         F.max(v).alias("valid_value_max"),
         F.round(F.avg(v), 6).alias("valid_value_mean"),
-        F.round(F.median(v), 6).alias("valid_value_median"),
         F.round(F.stddev_pop(v), 6).alias("valid_value_std"),
-    )
+    ]
+
+
+def _with_median(others: DataFrame, long: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    median = exact_median(long, by, value, "m")
+    rest = [c for c in others.columns if c not in by and c != "valid_value_std"]
+    at = rest.index("valid_value_mean") + 1
+    return others.join(median, list(by), "left").select(*by, *rest[:at], F.round("m", 6).alias("valid_value_median"), "valid_value_std", *rest[at:])
 
 
 def thresholds(long: DataFrame, by: Sequence[str] = ("zone",), low: float = LOW, value: str = "value") -> DataFrame:
     """Shares of the valid values below 0 and below `low`, compared as doubles."""
-    v = F.col(value).cast("double")
+    return long.where(F.col(value).isNotNull()).groupBy(*by).agg(*_shares(F.col(value).cast("double"), low))
+
+
+def _shares(v: Column, low: float) -> list[Column]:
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return long.where(F.col(value).isNotNull()).groupBy(*by).agg(share(v < 0).alias("pct_negative"), share(v < low).alias("pct_below_low_threshold"))
+    return [share(v < 0).alias("pct_negative"), share(v < low).alias("pct_below_low_threshold")]
 
 
 def extent(df: DataFrame, by: Sequence[str] = ("zone",)) -> DataFrame:
@@ -76,9 +115,12 @@ def histogram(long: DataFrame, value: str = "value") -> DataFrame:
 
 def summary(long: DataFrame, low: float = LOW, by: Sequence[str] = ("zone",)) -> DataFrame:
     """One row for each zone: missing values, distribution and thresholds.
-    A zone without valid values has nulls."""
+    A zone without valid values has nulls.  Counts, moments and shares are one
+    aggregation, a row for each pixel another, and the medians are made by ranks."""
     keys = [*by, "pixel_id"]
-    return missingness(missing_fraction(long, keys), by).join(distribution(long, by), list(by), "left").join(thresholds(long, by, low), list(by), "left").withColumn("ndvi_low_threshold_used", F.lit(low))
+    v = F.col("value").cast("double")
+    others = long.where(F.col("value").isNotNull()).groupBy(*by).agg(*_moments(v), *_shares(v, low))
+    return missingness(missing_fraction(long, keys), by).join(_with_median(others, long, by, "value"), list(by), "left").withColumn("ndvi_low_threshold_used", F.lit(low))
 
 
 def comparison(summaries: DataFrame, totals: DataFrame, low: float = LOW) -> DataFrame:
@@ -96,15 +138,72 @@ def comparison(summaries: DataFrame, totals: DataFrame, low: float = LOW) -> Dat
     )
 
 
+def sampled(wide: DataFrame, zone: str, total: int, chunk: int = CHUNK, n_chunks: int = 5, prefix: str = "NDVI_") -> tuple[DataFrame, list[str], list[int]]:
+    """Rows of evenly spread chunks of a wide table (with the zone's name), the index's columns, and the chunks' numbers."""
+    from gridweave.functions.bands import columns_of
+
+    names = columns_of(wide, prefix)
+    numbers = spread(-(-total // chunk), n_chunks)
+    return sample_chunks(wide.select("pixel_id", "lon", "lat", *names), numbers, chunk).withColumn("zone", F.lit(zone)), names, numbers
+
+
 def audit(wide: DataFrame, zone: str, chunk: int = CHUNK, n_chunks: int = 5, low: float = LOW, prefix: str = "NDVI_") -> DataFrame:
     """Audit of a wide table (pixel_id, lon, lat, bands) from evenly spread chunks."""
-    from gridweave.functions.bands import columns_of
     from gridweave.operators.merge import unpivot_long
 
     total = wide.count()
-    names = columns_of(wide, prefix)
-    numbers = spread(-(-total // chunk), n_chunks)
-    sample = sample_chunks(wide.select("pixel_id", "lon", "lat", *names), numbers, chunk).withColumn("zone", F.lit(zone))
+    sample, names, numbers = sampled(wide, zone, total, chunk, n_chunks, prefix)
     facts = {"total_rows_full_dataset": F.lit(total), "total_cols_full_dataset": F.lit(len(wide.columns)), "n_ndvi_columns": F.lit(len(names)), "sample_row_groups": F.array(*map(F.lit, numbers))}
     sized = sample.groupBy("zone").agg(F.count("*").alias("sample_size_rows"))
     return summary(unpivot_long(sample, ["zone", "pixel_id"], names), low).join(extent(sample), "zone").join(sized, "zone").withColumns(facts)
+
+
+EXTENT = ["lon_min", "lon_max", "lat_min", "lat_max"]
+
+
+def audit_zone(spark, zone: str, path: str, out: str, low: float = LOW, n_chunks: int = 5, chunk: int = CHUNK, prefix: str = "NDVI_") -> dict:
+    """The audit of a zone's table as a dict, written as JSON with the time of the
+    audit; a histogram is drawn beside it if a drawing library is there."""
+    from datetime import UTC, datetime
+    from pathlib import Path
+
+    from gridweave.operators import render
+    from gridweave.operators.merge import unpivot_long
+
+    wide = spark.read.parquet(path)
+    row = audit(wide, zone, chunk, n_chunks, low, prefix).first().asDict()
+    row["sample_geo_extent"] = {k: row.pop(k) for k in EXTENT}
+    found = {"zone": zone, "parquet_path": path, "audit_timestamp_utc": datetime.now(UTC).isoformat(), **{k: v for k, v in row.items() if k != "zone"}}
+    Path(out).mkdir(parents=True, exist_ok=True)
+    found = render.write_json(found, f"{out}/{zone}_quality_summary.json")
+    sample, names, _ = sampled(wide, zone, row["total_rows_full_dataset"], chunk, n_chunks, prefix)
+    bars = [r.asDict() for r in histogram(unpivot_long(sample, ["zone", "pixel_id"], names)).orderBy("bin").collect()]
+    return {**found, "figure_path": render.draw_if_possible({zone: bars}, f"{out}/{zone}_distribution.png"), "histogram": bars}
+
+
+def compare_zones(summaries: Sequence[dict], out: str, title: str = "Data quality by zone") -> tuple[str | None, str]:
+    """A figure (if it can be drawn) and a Markdown table of what `audit_zone` gave; their paths."""
+    from datetime import UTC, datetime
+    from pathlib import Path
+
+    from gridweave.operators import render
+
+    share = lambda x: "n/a" if x is None else f"{x:.2%}"
+    number = lambda x: "n/a" if x is None else f"{x:.3f}"
+    rows = [
+        {
+            "Zone": s["zone"],
+            "Total pixels": f"{s['total_rows_full_dataset']:,}",
+            "NaN frac (mean)": share(s["nan_fraction_mean"]),
+            "NaN frac (median)": share(s["nan_fraction_median"]),
+            "Valid range": f"[{number(s['valid_value_min'])}, {number(s['valid_value_max'])}]",
+            "Valid mean": number(s["valid_value_mean"]),
+            "% negative": share(s["pct_negative"]),
+            f"% below {s['ndvi_low_threshold_used']}": share(s["pct_below_low_threshold"]),
+        }
+        for s in summaries
+    ]
+    Path(out).mkdir(parents=True, exist_ok=True)
+    table = Path(out) / "cross_zone_quality_table.md"
+    table.write_text(render.markdown(rows, title, datetime.now(UTC).isoformat()))
+    return render.draw_if_possible({s["zone"]: s["histogram"] for s in summaries}, f"{out}/cross_zone_comparison.png"), str(table)

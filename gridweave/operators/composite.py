@@ -60,6 +60,12 @@ def fill_calendar(composite: DataFrame, pixels: DataFrame, first_year: int, last
     return grid.join(composite, [*keys, "year", "month"], "left")
 
 
+def with_scene_metadata(composite: DataFrame) -> DataFrame:
+    """Year and month of a composite with the month's first instant (UTC) in milliseconds."""
+    start = F.make_timestamp("year", "month", F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))
+    return composite.withColumn("time_start", F.unix_millis(start))
+
+
 def lookup(composite: DataFrame, year: int, month: int, order: Sequence[str]) -> DataFrame:
     """The first row of that month."""
     return composite.where((F.col("year") == year) & (F.col("month") == month)).orderBy(*order).limit(1)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 
 def as_json(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    """A JSON object for each row; doubles with six decimals, so that no number is written with an exponent."""
+    columns = [F.col(f.name).cast("decimal(28,6)").alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema]
+    return df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_json(summary: dict, path: str) -> dict:
@@ -29,6 +31,13 @@ def markdown(rows: Sequence[dict], title: str, generated: str) -> str:
     return f"# {title}\n\nGenerated: {generated}\n\n" + "\n".join(lines) + "\n"
 
 
+def draw_if_possible(histograms: dict[str, Sequence[dict]], path: str) -> str | None:
+    """The figure's path, or none if there is no drawing library."""
+    from importlib.util import find_spec
+
+    return draw_histograms(histograms, path) if histograms and find_spec("matplotlib") else None
+
+
 def draw_histograms(histograms: dict[str, Sequence[dict]], path: str, dpi: int = 600) -> str:
     """One panel for each named histogram (rows of low, high and n)."""
     import matplotlib

@@ -145,6 +145,17 @@ def float32_widen(spark, d):
 # --- filters
 
 
+_SCENES_SQL = "scenes AS (SELECT s_suppkey AS scene, -46.0 + s_suppkey % 40 AS min_x, -46.0 + s_suppkey % 40 + 1.5 AS max_x, -30.0 + s_suppkey % 29 AS min_y, -30.0 + s_suppkey % 29 + 1.5 AS max_y FROM supplier)"
+
+
+@query(f"WITH {_SCENES_SQL} SELECT scene, min_x, min_y, max_x, max_y FROM scenes WHERE max_x >= -40 AND min_x <= -30 AND max_y >= -12 AND min_y <= -2")
+def scene_bounds_filter(spark, d):
+    """Scenes whose box meets a rectangle."""
+    x, y = -46.0 + F.col("s_suppkey") % 40, -30.0 + F.col("s_suppkey") % 29
+    scenes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("scene"), x.alias("min_x"), y.alias("min_y"), (x + 1.5).alias("max_x"), (y + 1.5).alias("max_y"))
+    return composite.meets_box(scenes, -40, -12, -30, -2)
+
+
 @query(f"SELECT * FROM (SELECT pixel, {COORDS_SQL} FROM pix) WHERE lon BETWEEN -40 AND -30 AND lat BETWEEN -12 AND -2")
 def bbox_filter(spark, d):
     return composite.in_box(grid.with_coords(pixels(spark, d), AFFINE), -40, -12, -30, -2).select("pixel", "lon", "lat")
@@ -276,11 +287,24 @@ def mask_coverage(spark, d):
     return grid.coverage(pixels(spark, d), ABOVE)
 
 
-@query("""WITH coarse AS (SELECT zone, grid_row, grid_col, value FROM pix WHERE grid_row < 7 AND grid_col < 12)
-  SELECT p.pixel, coalesce(c.value, 0) AS mask_value FROM pix p LEFT JOIN coarse c ON c.zone = p.zone AND c.grid_row = p.grid_row // 3 AND c.grid_col = p.grid_col // 3""")
+@query("""SELECT p.pixel, coalesce(c.value, 0) AS mask_value FROM pix p
+  LEFT JOIN pix c ON c.zone = p.zone AND c.grid_row = p.grid_row // 3 AND c.grid_col = p.grid_col // 3""")
 def mask_resample(spark, d):
     p = pixels(spark, d)
-    return grid.resample_nearest(p, p.where("grid_row < 7 and grid_col < 12"), 3).select("pixel", "mask_value")
+    return grid.resample_nearest(p, p, 3).select("pixel", "mask_value")
+
+
+#: A coarser grid with another origin, which the cells' grid reaches beyond.
+COARSE = grid.Affine(1.7, 0.0, -47.3, 0.0, -1.3, 0.9)
+
+
+@query(f"""WITH a AS (SELECT zone, pixel, {COORDS_SQL} FROM pix)
+  SELECT a.pixel, coalesce(c.value, 0) AS mask_value FROM a
+  LEFT JOIN pix c ON c.zone = a.zone AND c.grid_col = floor((a.lon + 47.3) / 1.7) AND c.grid_row = floor((a.lat - 0.9) / -1.3)""")
+def mask_reproject(spark, d):
+    """Nearest cells between two affine grids; 0 outside the coarse one."""
+    p = pixels(spark, d)
+    return grid.resample_affine(p, AFFINE, p, COARSE).select("pixel", "mask_value")
 
 
 @query("WITH " + MEDIAN_SQL + " SELECT p.pixel, m.value FROM pix p LEFT JOIN (SELECT pixel, value FROM med WHERE year = 1998 AND month = 6) m USING (pixel)")
@@ -307,6 +331,12 @@ def composite_calendar_fill(spark, d):
     return composite.fill_calendar(_composite(spark, d), _ids(spark, d).select("pixel"), FIRST, LAST)
 
 
+@query("WITH " + MEDIAN_SQL + " SELECT pixel, year, month, epoch_ms(make_timestamp(year, month, 1, 0, 0, 0)) AS time_start FROM med")
+def scene_metadata(spark, d):
+    """Composites with the metadata that a scene carries: year, month and the month's start."""
+    return composite.with_scene_metadata(_composite(spark, d)).select("pixel", "year", "month", "time_start")
+
+
 @query("WITH " + MEDIAN_SQL + " SELECT pixel, year, month, value FROM med WHERE year = 1997 AND month = 7 ORDER BY pixel LIMIT 1")
 def composite_lookup(spark, d):
     return composite.lookup(_composite(spark, d), 1997, 7, ["pixel"])
@@ -346,11 +376,15 @@ def unpivot_long(spark, d):
     return merge.unpivot_long(_wide(spark, d), ["pixel"], _MONTHS)
 
 
-@query("WITH " + MEDIAN_SQL + f", a AS (SELECT pixel, {COORDS_SQL} FROM pix) SELECT a.pixel, lon, lat, " + ", ".join(f"max(CASE WHEN year = {y} AND month = {m} THEN value END) AS NDVI_{y}_{m:02d}" for y in (1997, 1998) for m in (1, 6, 12)) + " FROM a LEFT JOIN med USING (pixel) GROUP BY a.pixel, lon, lat")
+_EVERY_MONTH = ", ".join(f"max(CASE WHEN year = {y} AND month = {m} THEN value END) AS NDVI_{y}_{m:02d}" for y in range(FIRST, LAST + 1) for m in range(1, 13))
+
+
+@query(f"WITH {MEDIAN_SQL}, a AS (SELECT pixel, {COORDS_SQL} FROM pix) SELECT a.pixel, lon, lat, {_EVERY_MONTH} FROM a LEFT JOIN med USING (pixel) GROUP BY a.pixel, lon, lat")
 def wide_merge(spark, d):
+    """Coordinates with every month of every year, after a check that all tables have the same pixels."""
     coords = grid.with_coords(pixels(spark, d), AFFINE).select("pixel", "lon", "lat")
-    years = [extract.left_fill(coords.select("pixel"), _wide(spark, d, y, [f"NDVI_{y}_{m:02d}" for m in (1, 6, 12)]), ["pixel"]) for y in (1997, 1998)]
-    return merge.wide_merge(coords, years, ["pixel"], check=False)
+    years = [extract.left_fill(coords.select("pixel"), _wide(spark, d, y), ["pixel"]) for y in range(FIRST, LAST + 1)]
+    return merge.wide_merge(coords, years, ["pixel"])
 
 
 # --- sampling and audit
@@ -440,7 +474,17 @@ def audit_summary(spark, d):
     return flagship(spark, d)
 
 
-@query(None)
+_JSON_SQL = ", ".join(
+    f"""'"{name}":', coalesce({'CAST(' + name + ' AS VARCHAR)' if kind == 'n' else 'chr(34) || ' + name + ' || chr(34)' if kind == 's' else 'CAST(CAST(round(' + name + ', 6) AS DECIMAL(28,6)) AS VARCHAR)'}, 'null')"""
+    + (", ','" if name != "ndvi_low_threshold_used" else "")
+    for name, kind in (
+        ("zone", "s"), ("nan_fraction_mean", "d"), ("nan_fraction_median", "d"), ("nan_fraction_std", "d"), ("valid_value_count", "n"), ("valid_value_min", "d"), ("valid_value_max", "d"), ("valid_value_mean", "d"),
+        ("valid_value_median", "d"), ("valid_value_std", "d"), ("pct_negative", "d"), ("pct_below_low_threshold", "d"), ("ndvi_low_threshold_used", "d"),
+    )
+)
+
+
+@query(f"WITH {_SUMMARY_SQL}, su_ AS (SELECT *, CAST(0.3 AS DOUBLE) AS ndvi_low_threshold_used FROM su) SELECT concat('{{', {_JSON_SQL}, '}}') AS json FROM su_")
 def audit_summary_json(spark, d):
     return render.as_json(flagship(spark, d))
 
@@ -468,6 +512,13 @@ def queen_neighbors(spark, d):
     return trend.queen_neighbours(pixels(spark, d))
 
 
+@query("""SELECT a.pixel, round(avg(b.value), 6) AS lag FROM pix a JOIN pix b ON a.zone = b.zone AND b.grid_row BETWEEN a.grid_row - 1 AND a.grid_row + 1
+  AND b.grid_col BETWEEN a.grid_col - 1 AND a.grid_col + 1 AND a.pixel <> b.pixel GROUP BY a.pixel""")
+def spatial_lag(spark, d):
+    """Mean of each cell's neighbours."""
+    return trend.spatial_lag(pixels(spark, d), "value")
+
+
 @query(f"""WITH {LONG_SQL}, w AS (SELECT pixel, year, month, row_number() OVER o AS k, count(*) OVER (PARTITION BY pixel) AS n,
     sum(value) OVER (o ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS p, sum(value) OVER (o ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS f FROM (SELECT pixel, year, month, coalesce(value, 0) AS value FROM long)
     WINDOW o AS (PARTITION BY pixel ORDER BY year, month)) SELECT pixel, year, month, round(p, 6) + 0.0 AS past_sum, round(f, 6) + 0.0 AS future_sum FROM w WHERE k >= 36 AND k <= n - 12""")

@@ -17,7 +17,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["overlap_last_wins", "mosaic_first_wins", "pixel_id_assign", "tile_join", "mask_resample", "audit_summary", "zone_comparison", "ndvi_histogram", "sample_chunks", "tile_offset"])
+@pytest.mark.parametrize("name", ["overlap_last_wins", "mosaic_first_wins", "pixel_id_assign", "tile_join", "mask_resample", "audit_summary", "zone_comparison", "ndvi_histogram", "sample_chunks", "tile_offset", "mask_reproject", "wide_merge", "audit_summary_json", "audit_distribution", "audit_missingness", "spatial_lag", "scene_bounds_filter", "scene_metadata", "buffer_join"])
 def test_equal(spark, con, name):
     assert oracle_check.differs(catalogue.QUERIES[name](spark, FOLDER).toPandas(), con.sql(catalogue.ORACLES[name]).df()) == ""
 
