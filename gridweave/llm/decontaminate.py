@@ -55,7 +55,7 @@ BLANK = " \t\n\r\f"
 NUMBER = r"^[^\p{L}\p{N}]*[0-9]"
 NAME = r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}"
 SENTENCE_END = r"[.!?:][^\p{L}\p{N}]*$"
-EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+BARE = r"(?s)[\p{L}\p{N}](?:.*[\p{L}\p{N}])?|^[^\p{L}\p{N}]+$"
 SLOTS = ("<num>", "<unit>", "<name>")
 
 
@@ -64,8 +64,7 @@ def words(text: Column) -> Column:
 
 
 def bare(word: Column) -> Column:
-    cut = F.lower(F.regexp_replace(word, EDGES, ""))
-    return F.when(cut != "", cut).otherwise(F.lower(word))
+    return F.lower(F.regexp_extract(word, BARE, 0))
 
 
 def template_word(word: Column, before: Column) -> Column:
@@ -86,24 +85,41 @@ def _template(w: Column) -> Column:
     return F.transform(w, lambda x, i: template_word(x, F.get(w, i - 1)))
 
 
+def _coded(w: Column) -> Column:
+    """Hashes of each word: t of its template word, b of the bare word."""
+    numbers = lambda n: F.transform(w, lambda x, i: let(bare(x), lambda c: F.struct(_code(x, c, F.get(w, i - 1), F.get(n, i), F.get(n, i - 1)).alias("t"), F.xxhash64(c).alias("b"))))
+    return let(F.transform(w, lambda x: x.rlike(NUMBER)), numbers)
+
+
+def _code(word: Column, bared: Column, before: Column, number: Column, after_number: Column) -> Column:
+    """The hash of template_word, with what is known already."""
+    slots = [F.xxhash64(F.lit(s)) for s in SLOTS]
+    name = before.isNotNull() & word.rlike(NAME) & ~before.rlike(SENTENCE_END)
+    return F.when(number, slots[0]).when(after_number & bared.isin(*UNITS), slots[1]).when(name, slots[2]).otherwise(F.xxhash64(bared))
+
+
 def windows(text: Column, widths: list[int]) -> Column:
     """(at, hash) of the window at each place of a text's template, for each of the widths."""
-    of = lambda w, t: F.flatten(F.array(*[_windows(w, t, n) for n in widths]))
-    return let(words(text), lambda w: let(_template(w), lambda t: of(w, t)))
+
+    def of(c: Column) -> Column:
+        slots = F.transform(c, lambda x: x["t"].isin(*(F.xxhash64(F.lit(s)) for s in SLOTS)).cast("int"))
+        return let(slots, lambda s: F.flatten(F.array(*[_windows(c, s, n) for n in widths])))
+
+    return let(words(text), lambda w: let(_coded(w), of))
 
 
-def _windows(w: Column, t: Column, width: int) -> Column:
-    def hashed(i: Column, first: Column) -> Column:
-        own = [first, *(F.get(t, i + k) for k in range(1, width))]
-        plain = sum((F.when(x.isin(*SLOTS), 0).otherwise(1) for x in own), F.lit(0))
-        very = F.xxhash64(F.lit(-width), *(bare(F.get(w, i + k)) for k in range(width)))
-        return F.struct(i.alias("at"), F.when(2 * plain >= width, F.xxhash64(F.lit(width), *own)).otherwise(very).alias("hash"))
+def _windows(c: Column, slots: Column, width: int) -> Column:
+    def hashed(i: Column, first: Column, filled: Column) -> Column:
+        own = [first, *(F.get(c, i + k)["t"] for k in range(1, width))]
+        very = F.xxhash64(F.lit(-width), *(F.get(c, i + k)["b"] for k in range(width)))
+        return F.struct(i.alias("at"), F.when(2 * (width - filled) >= width, F.xxhash64(F.lit(width), *own)).otherwise(very).alias("hash"))
 
-    last = F.size(t) - width
+    last = F.size(c) - width
     places = F.sequence(F.lit(0), last)
+    count = lambda i: sum((F.get(slots, i + k) for k in range(1, width)), F.get(slots, i))
     # an item's first word is plain, but its capital makes it a name in the middle of a document's sentence
-    names = F.filter(places, lambda i: F.get(t, i) == SLOTS[2])
-    both = F.concat(F.transform(places, lambda i: hashed(i, F.get(t, i))), F.transform(names, lambda i: hashed(i, bare(F.get(w, i)))))
+    names = F.filter(places, lambda i: F.get(c, i)["t"] == F.xxhash64(F.lit(SLOTS[2])))
+    both = F.concat(F.transform(places, lambda i: hashed(i, F.get(c, i)["t"], count(i))), F.transform(names, lambda i: hashed(i, F.get(c, i)["b"], count(i) - 1)))
     return F.when(last >= 0, both).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
 
