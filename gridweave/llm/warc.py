@@ -18,7 +18,8 @@ Defined results, by `status`:
   missing       there is no earlier full response, or the URL or time is null.
 Records of one moment are ordered by record_id.  Equal records are resolved
 each by itself.  Null headers count as none.  Header names do not depend on
-case; of fields with one name the first in the map counts.  A response without
+case; of fields with one name that counts whose name as written comes first in
+the order of bytes (a map has no order of its own).  A response without
 URL or time is the answer to nothing.  An empty table gives no rows.  Further
 columns are ignored.
 """
@@ -56,10 +57,12 @@ def _weak(tag: Column) -> Column:
 
 
 def _headers() -> Column:
-    """The headers with names in lower case, each once: the first of a name."""
-    entries = F.transform(F.map_entries(F.coalesce("headers", F.expr("map()").cast("map<string,string>"))), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    """The headers with names in lower case, each once."""
+    given = F.map_entries(F.coalesce("headers", F.expr("map()").cast("map<string,string>")))
+    entries = F.array_sort(F.transform(given, lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["key"].alias("written"), e["value"].alias("value"))))
     first = lambda all_: F.filter(all_, lambda e, i: F.array_position(F.transform(all_, lambda x: x["key"]), e["key"]) == i + 1)
-    return F.map_from_entries(let(entries, first))
+    once = F.transform(let(entries, first), lambda e: F.struct(e["key"], e["value"]))
+    return F.map_from_entries(once)
 
 
 def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
@@ -145,13 +148,13 @@ def revisits_of_pages(spark, sf_dir: str) -> DataFrame:
 #: The archive of `records_of_pages`, and then resolution of any such archive: headers are lists of (k, v).
 ORACLE = """
 WITH made AS (
-  SELECT page_id, url, page_id * 10 AS at, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || CAST(page_id // 100 AS VARCHAR) AS day, CAST(length(coalesce(html, '')) AS VARCHAR) AS n FROM pages),
+  SELECT page_id, url, page_id * 10 AS t, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || CAST(page_id // 100 AS VARCHAR) AS day, CAST(length(coalesce(html, '')) AS VARCHAR) AS n FROM pages),
 records AS (
-  SELECT page_id * 2 AS record_id, url, at AS ts, 'response' AS kind, 200 AS http_status,
-         [{k: 'ETag', v: tag}, {k: 'Last-Modified', v: day}, {k: 'Content-Length', v: n}, {k: 'Date', v: CAST(at AS VARCHAR)}, {k: 'Cache-Control', v: 'max-age=60'}] AS headers FROM made
+  SELECT page_id * 2 AS record_id, url, t AS ts, 'response' AS kind, 200 AS http_status,
+         [{k: 'ETag', v: tag}, {k: 'Last-Modified', v: day}, {k: 'Content-Length', v: n}, {k: 'Date', v: CAST(t AS VARCHAR)}, {k: 'Cache-Control', v: 'max-age=60'}] AS headers FROM made
   UNION ALL
-  SELECT page_id * 2 + 1, url, at + 1800, 'revisit', 304,
-         list_concat([{k: 'Date', v: CAST(at + 1800 AS VARCHAR)}, {k: 'Cache-Control', v: 'max-age=600'}, {k: 'Content-Length', v: '0'}],
+  SELECT page_id * 2 + 1, url, t + 1800, 'revisit', 304,
+         list_concat([{k: 'Date', v: CAST(t + 1800 AS VARCHAR)}, {k: 'Cache-Control', v: 'max-age=600'}, {k: 'Content-Length', v: '0'}],
            CASE WHEN page_id % 13 = 0 THEN [] WHEN page_id % 11 = 0 THEN [{k: 'Last-Modified', v: day}] WHEN page_id % 7 = 0 THEN [{k: 'ETag', v: '"other"'}] ELSE [{k: 'ETag', v: 'W/' || tag}] END) FROM made),
 bare AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM records),
 cut AS (
