@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from gridweave.llm import bpe, components, decontaminate, html_extract, jaccard, language_id, line_dedup, media, queries, secrets, sharding, warc
 
 SMALL = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, id long, same string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, id long, same string, doc long, `of` string, version int, places array<int>, stays boolean, c0 int, hash long, item string, `a.b` int"
 
 
 def docs_of(spark, texts, ids=None):
     """Documents with further columns whose names operators use themselves."""
     ids = range(len(texts)) if ids is None else ids
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, 7, "x") for i, t in zip(ids, texts)], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, 7, "x", None, "y", 3, [4], True, 1, 5, "z", 6) for i, t in zip(ids, texts)], SCHEMA)
 
 
 AWKWARD = [None, "", " \n\t ", "word", "the same line here. And one more of it.", "the same line here. And one more of it.", "é " * 5000, "x" * 30000, "12 34 !!", "a\x00b 　c"]
@@ -35,14 +35,35 @@ def docs(spark):
 
 def test_every_operator_takes_awkward_rows_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six seven")], "item_id long, text string")
-    for rows in (docs_of(spark, AWKWARD, [None, 1, 2, 3, 4, 4, 6, 7, 8, 9]), docs_of(spark, [])):
+    ids = [None, 1, 2, 3, 4, 4, 6, 7, 8, 9]
+    for rows in (docs_of(spark, AWKWARD, ids), docs_of(spark, [])):
         n = rows.count()
-        for out in (language_id.identify(rows), secrets.find(rows), bpe.round_trip(rows), media.digests(rows), line_dedup.report(rows), jaccard.join(rows), sharding.shard(rows)):
+        made = [language_id.identify(rows), secrets.find(rows), bpe.round_trip(rows), media.digests(rows), line_dedup.report(rows), jaccard.join(rows), sharding.shard(rows)]
+        for out in made:
             assert out.count() == n
         assert decontaminate.pairs(rows, bench).count() == 0
-        assert decontaminate.keep_clean(rows, bench).columns == rows.columns
-        assert line_dedup.dedup(rows).schema == rows.schema
-        assert jaccard.keep_one(rows).columns == language_id.keep_identified(rows).columns == rows.columns
+        cleaned = [decontaminate.keep_clean(rows, bench), line_dedup.dedup(rows), line_dedup.drop_copies(rows), jaccard.keep_one(rows), language_id.keep_identified(rows)]
+        for out in cleaned:
+            assert out.columns == rows.columns and [f.dataType for f in out.schema] == [f.dataType for f in rows.schema]
+        kept = [sorted(map(str, (r["doc_id"] for r in out.collect()))) for out in cleaned]
+        if not n:
+            assert kept == [[]] * 5
+            continue
+        every = sorted(map(str, ids))
+        assert kept[0] == kept[1] == kept[2] == every  # equal rows of one id are one document, which stays
+        assert kept[3] == sorted(set(every)) and set(kept[4]) == {"3", "4", "6", "7", "9"}
+        by = lambda out: {r["doc_id"]: r.asDict() for r in out.collect()}
+        lang, secret, token, audio, line, near, shard = map(by, made)
+        for i, t in zip(ids, AWKWARD):
+            raw = (t or "").encode()
+            assert (lang[i]["lang_pred"] == "und") == (not any(map(str.isalpha, t or ""))) and 0 <= lang[i]["score"] <= 1
+            assert (secret[i]["n_assign"], secret[i]["n_hex"], secret[i]["spans"]) == (0, 0, "")
+            assert (token[i]["n_tokens"] == 0) == (not raw) and token[i]["decoded_sha256"] == hashlib.sha256(raw).hexdigest()
+            assert audio[i]["n_bytes"] == len(raw) and audio[i]["payload_bytes"] % 64 == 0 < audio[i]["payload_bytes"]
+            assert line[i]["text"] == t and not line[i]["removed"]
+            words = [w for w in re.split("[ \t\n\x0b\f\r]+", (t or "").lower()) if w]
+            assert near[i]["n_shingles"] == (len({tuple(words[k : k + 3]) for k in range(len(words) - 2)}) if len(words) > 2 else bool(words)) and near[i]["component_id"] == i
+            assert shard[i]["size"] == len(raw) + 1 and shard[i]["text_crc32"] == zlib.crc32(raw) and shard[i]["grown_shard"] is None
 
 
 def test_language_id(spark, docs):
@@ -236,6 +257,21 @@ def test_pages_of_many_kinds(page, want):
     assert html_extract.main_text(page, table) == want
 
 
+def test_the_scan_decides_where_no_name_helps():
+    """Menus and notes in plain boxes, on pages that mark nothing; weights from pages that mark their article."""
+    around = "<div><div><a href=a>Start</a> <a href=b>News of the day</a> <a href=c>All other things</a></div>{}<div>Copyright by us <a href=d>Terms</a> <a href=e>Privacy</a> and so on</div></div>"
+    labelled = f"<body>{around.format(ARTICLE)}</body>"
+    table = html_extract.weights(collections.Counter({k: 20 * v for k, v in html_extract.counts(labelled).items()}))
+    page = "<body>" + around.format(ARTICLE.replace("article>", "div>")) + "</body>"
+    found = html_extract.tokens(page, table)
+    assert html_extract.text_of(found) != WANT and html_extract.main_text(page, table) == WANT
+    # by all ranges: none scores higher
+    score = lambda t: table[""] * len(t[1].split()) if t[0] == "text" else 0 if t[0] in ("gap", "edge") else table.get(t[1], table.get("other", html_extract.DEFAULT_TAG))
+    scores = [score(t) for t in found]
+    a, z = html_extract.best_region(found, table)
+    assert sum(scores[a:z]) == pytest.approx(max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)))
+
+
 def test_class_names_are_learned():
     odd = "<body><div class='zork'>" + "buy this thing " * 20 + "</div><article><h1>Head</h1><div class='comment'><p>" + "words of the text " * 20 + "</p><p>more of it</p></div></article></body>"
     total = collections.Counter(html_extract.counts(odd))
