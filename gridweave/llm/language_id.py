@@ -94,15 +94,8 @@ def _log_sums(steps: np.ndarray, unknown: float) -> np.ndarray:
     return out[longest - 1 :]
 
 
-def _log_long(word: str, index: dict[str, int], probs: np.ndarray, longest: int) -> np.ndarray:
-    """log_forward of one word of any length, in blocks of places."""
-    spans = _spans(word, index, longest)
-    with np.errstate(divide="ignore"):
-        return _log_sums(np.log(probs)[spans] if len(spans) * probs.shape[1] < 4_000_000 else _Lazy(spans, np.log(probs)), math.log(UNKNOWN))[-1]
-
-
-class _Lazy:
-    """Steps that are looked up place by place."""
+class _Steps:
+    """Log probabilities of the pieces that end at each place, looked up place by place."""
 
     def __init__(self, spans: np.ndarray, logs: np.ndarray):
         self.spans, self.logs, self.shape = spans, logs, (*spans.shape, logs.shape[1])
@@ -118,10 +111,14 @@ def log_forward(words: list[str], index: dict[str, int], probs: np.ndarray) -> n
     """
     out, longest = np.empty((len(words), probs.shape[1])), _longest(index)
     marked = [START + w for w in words]
-    for n, members in _by_length(marked).items():
+    groups = _by_length(marked)
+    with np.errstate(divide="ignore"):
+        logs = np.log(probs) if max(groups, default=0) > LONG else None
+    for n, members in groups.items():
         if n > LONG:
             for k in members:
-                out[k] = _log_long(marked[k], index, probs, longest)
+                with np.errstate(divide="ignore"):
+                    out[k] = _log_sums(_Steps(_spans(marked[k], index, longest), logs), math.log(UNKNOWN))[-1]
             continue
         group = [marked[k] for k in members]
         alpha = [np.ones((len(group), probs.shape[1]))]
