@@ -252,10 +252,10 @@ def leading_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 sets = order.shingler.many(texts.slice(start, end - start))
                 keys = [order.leading(s) if len(s) else s for s in sets]
                 ends = np.cumsum([0, *map(len, keys)])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[start:end], b.column(1)[start:end], pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))],
-                    ["id", "same", "n", "keys"],
-                )
+                flat = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                columns = [b.column(0)[start:end], b.column(1)[start:end], pa.array([len(s) for s in sets], pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "same", "n", "keys"])
 
     return docs.mapInArrow(run, "id long, same string, n long, keys array<long>")
 
@@ -619,7 +619,8 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     pivots = checkpoint(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
     near = checkpoint(keys.join(pivots, "key"))
-    texts = checkpoint(rows.where("id is not null").select("id", "text", "same").join(broadcast_if_small(near.select("id").distinct()), "id", "left_semi").join(broadcast_if_small(later), ["id", "same"], "left_anti").drop("same"))
+    shared = rows.where("id is not null").select("id", "text", "same").join(broadcast_if_small(near.select("id").distinct()), "id", "left_semi")
+    texts = checkpoint(shared.join(broadcast_if_small(later), ["id", "same"], "left_anti").drop("same"))
 
     pairs = checkpoint(near.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("n")))
     nearest = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
@@ -633,7 +634,9 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     # what a shingle's other documents have in common is not compared yet
     labelled = near.where("id != pivot").join(broadcast_if_small(known), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("y")).where("low != high")
+    ends = [F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")]
+    signature = [F.expr("bit_xor(xxhash64(id))").alias("x"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("y")]
+    open_ = labelled.groupBy("key").agg(*ends, *signature).where("low != high")
     # shingles with the same documents are one region
     regions = open_.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     members = checkpoint(labelled.join(regions, "key").select(F.col("key").alias("region"), "id", "component", "size"))

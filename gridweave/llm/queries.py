@@ -48,5 +48,17 @@ def op10_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_language_id, op3_template_decontamination, op4_html_main_text, op5_secret_scan, op6_bpe_merge_replay, op7_audio_features, op8_line_chunk_dedup, op9_jaccard_join, op10_karmarkar_karp_shards)}
+EVERY = (
+    op1_warc_revisits,
+    op2_language_id,
+    op3_template_decontamination,
+    op4_html_main_text,
+    op5_secret_scan,
+    op6_bpe_merge_replay,
+    op7_audio_features,
+    op8_line_chunk_dedup,
+    op9_jaccard_join,
+    op10_karmarkar_karp_shards,
+)
+QUERIES = {f.__name__: f for f in EVERY}
 ORACLES: dict[str, str] = {"op1_warc_revisits": warc.ORACLE, "op3_template_decontamination": decontaminate.ORACLE}

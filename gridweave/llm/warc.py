@@ -118,13 +118,15 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     at = F.col("page_id") * 10
     etag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
     day = F.concat(F.lit("day "), F.floor(F.col("page_id") / 100).cast("string"))
+    length = F.length(F.coalesce("html", F.lit(""))).cast("string")
+    fields = {"ETag": etag, "Last-Modified": day, "Content-Length": length, "Date": at.cast("string"), "Cache-Control": F.lit("max-age=60")}
     first = F.struct(
         (F.col("page_id") * 2).alias("record_id"),
         "url",
         at.alias("ts"),
         F.lit("response").alias("kind"),
         F.lit(200).alias("http_status"),
-        F.create_map(F.lit("ETag"), etag, F.lit("Last-Modified"), day, F.lit("Content-Length"), F.length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("Date"), at.cast("string"), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
+        F.create_map(*(x for name, value in fields.items() for x in (F.lit(name), value))).alias("headers"),
     )
     again = at + 1800
     changes = F.create_map(F.lit("Date"), again.cast("string"), F.lit("Cache-Control"), F.lit("max-age=600"), F.lit("Content-Length"), F.lit("0"))
