@@ -57,7 +57,8 @@ def metadata(spark: SparkSession, paths: list[str], opener: Callable | None = No
     if not paths:
         raise FileNotFoundError("no tiles")
     open_ = opener or RasterTile
-    schema = pa.schema([("tile_idx", pa.int32()), ("path", pa.string()), *((n, pa.int32()) for n in ("height", "width", "count")), ("names", pa.list_(pa.string())), *((n, pa.float64()) for n in "abcdef"), ("crs", pa.string())])
+    sizes, numbers = [(n, pa.int32()) for n in ("height", "width", "count")], [(n, pa.float64()) for n in "abcdef"]
+    schema = pa.schema([("tile_idx", pa.int32()), ("path", pa.string()), *sizes, ("names", pa.list_(pa.string())), *numbers, ("crs", pa.string())])
 
     def run(batches):
         for b in batches:
