@@ -272,7 +272,8 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     left = side("a").join(broadcast_if_small(pairs), "a")
     right = side("b").join(broadcast_if_small(pairs.select("b").distinct()), "b", "left_semi")
-    return left.join(right, "b").where(sizes & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b").distinct()
+    # not made distinct here: then the join could not be split, and pairs come once already
+    return left.join(right, "b").where(sizes & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
