@@ -440,7 +440,7 @@ def _cut(members: DataFrame, region: int | None = None) -> DataFrame:
     last = F.when(is_main, others - 1).otherwise(others + mains - 1)
     other = F.when(single, F.array(F.lit(0))).when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     dealt = at.withColumn("own", own).withColumn("other", F.explode(other))
-    return dealt.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "component", "id").distinct()
+    return dealt.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "component", "id")
 
 
 def _each_region(rows: DataFrame, work, schema: str) -> DataFrame:
