@@ -7,8 +7,8 @@ hashes goes along the lines.  A boundary stands before each line whose rolling
 hash is no greater than that of a neighbour, so of two lines in a row one has a
 boundary, and where boundaries stand depends on the lines close by alone:
 inserted lines do not shift those further on.  From every boundary a chunk runs
-to the nearest boundary (or the text's end) that gives it MIN_LINES lines and
-MIN_WORDS words; chunks may overlap.
+until it has MIN_LINES lines and MIN_WORDS words; chunks may overlap, and leave
+no line between them out.
 
 Of a chunk that occurs more than once in all documents, the occurrence with
 the smallest id and place is the first and stays whole.  The lines of every
@@ -96,15 +96,13 @@ class Chunks:
         rolled = (sums[np.minimum(line + ROLLED, stop)] - sums[:-1]) * back
         rolled ^= rolled >> np.uint64(32)
         rolled *= np.uint64(MIX)
-        low = np.ones(n, bool)  # the first and last line of a text are boundaries
+        low = np.ones(n, bool)  # the first and last line of a text have boundaries
         inner = np.flatnonzero((line > start) & (line + 1 < stop))
         low[inner] = (rolled[inner] <= rolled[inner - 1]) | (rolled[inner] <= rolled[inner + 1])
-        edges = np.unique(np.concatenate([np.flatnonzero(low), self.bounds]))
         total = np.concatenate([[0], np.cumsum(words)])
         first = np.flatnonzero(low)
         least = np.maximum(np.searchsorted(total, total[first] + MIN_WORDS), first + MIN_LINES)
-        self.first = first[least <= stop[first]]
-        self.end = edges[np.searchsorted(edges, least[least <= stop[first]])]
+        self.first, self.end = first[least <= stop[first]], least[least <= stop[first]]
         self.place = self.first - start[self.first]
         self.owner = of_line[self.first]
         self.hash = (sums[self.end] - sums[self.first]) * back[self.first]

@@ -454,12 +454,12 @@ def naive_chunks(text):
         return (h ^ h >> 32) * line_dedup.MIX & m64
 
     roll = [rolled(i) for i in range(len(lines))]
-    edge = [i in (0, len(lines) - 1) or roll[i] <= roll[i - 1] or roll[i] <= roll[i + 1] for i in range(len(lines))] + [True]
+    edge = [i in (0, len(lines) - 1) or roll[i] <= roll[i - 1] or roll[i] <= roll[i + 1] for i in range(len(lines))]
     out = []
     for i in range(len(lines)):
         if edge[i]:
             for j in range(i + line_dedup.MIN_LINES, len(lines) + 1):
-                if edge[j] and sum(x.count(" ") + 1 for x in bare[i:j] if x) >= line_dedup.MIN_WORDS:
+                if sum(x.count(" ") + 1 for x in bare[i:j] if x) >= line_dedup.MIN_WORDS:
                     out.append((tuple(bare[i:j]), i, j))
                     break
     return lines, out
