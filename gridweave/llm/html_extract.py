@@ -11,8 +11,8 @@ region may reach over them without taking them in: scripts and the like, menus,
 sidebars, forms and footers by their names; and elements by the words of their
 class and id.  What such a word means is learned too (words of text under it,
 inside and outside); only where the labelled pages hold too few of them does a
-list of usual names decide, and only if all words of the class name are on it or
-say nothing.  An element that holds the page's article, main element or first
+list of usual names decide: a class name with a word on it counts, unless other
+words say that it wraps more (`content-sidebar-wrap`, `has-header`).  An element that holds the page's article, main element or first
 heading is never left out, except for a page header outside the article: a
 header inside an article stays if it holds a heading.
 
@@ -67,6 +67,8 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "adslot",
          "sidenav", "signup", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
 PLAIN = {"area", "bar", "block", "bottom", "box", "container", "form", "global", "group", "inner", "item", "items", "left", "list", "links", "page", "panel", "primary", "right", "secondary",
          "section", "site", "slot", "thread", "top", "unit", "user", "reader", "wrap", "wrapper", "main", "post", "article"}
+#: Words of class names of elements that hold more than a listed word says.
+WRAPS = {"wrap", "wrapper", "container", "layout", "has", "no", "with", "without", "is", "main", "body", "page", "inner", "outer", "grid", "row"}
 KEEPS = {"article", "main", "h1"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main", "body", "html"}
@@ -97,15 +99,17 @@ def features(attributes: str) -> tuple[bool, list[str]]:
     return hidden, names
 
 
-def is_marked(names: list[str], table: dict[str, float]) -> bool:
-    """Whether a class name says that an element is not main text: by what was learned, else by the list."""
+def is_marked(names: list[str], table: dict[str, float], within: bool = False) -> bool:
+    """Whether a class name says that an element is not main text: by what was
+    learned, else by the list.  Within an article a header is one of its parts."""
     for name in names:
         if (odds := table.get("." + name)) is not None:
             if odds <= CLASS_ODDS:
                 return True
             continue
         words = [w.lower() for w in PARTS.findall(name)]
-        if any(w in MARKS for w in words) and all(w in MARKS or w in PLAIN or len(w) == 1 for w in words):
+        marks = [w for w in words if w in MARKS and not (within and w == "header")]
+        if marks and (not WRAPS.intersection(words) or all(w in MARKS or w in PLAIN or len(w) == 1 for w in words)):
             return True
     return False
 
@@ -201,7 +205,7 @@ def left_out(e: Element, table: dict[str, float]) -> bool:
         return False
     if e.name == "header":
         return not (e.within and e.heading)
-    return not e.holds and (e.name in HIDDEN or e.hidden or is_marked(e.names, table))
+    return not e.holds and (e.name in HIDDEN or e.hidden or is_marked(e.names, table, e.within))
 
 
 def tokens(page: str, table: dict[str, float]) -> list[tuple[str, str]]:

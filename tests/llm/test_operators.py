@@ -246,6 +246,7 @@ WANT = "A title\nOne two three four five six seven eight.\nMore words of it foll
         (ARTICLE.replace("<p>", "<p title='it is > all' data-x=\"a'b\">"), WANT),
         (ARTICLE.replace("four", "if a <b and c"), WANT.replace("four", "if a <b and c")),
         (ARTICLE.replace("four", "x < 4 and y<5"), WANT.replace("four", "x < 4 and y<5")),
+        (ARTICLE.replace("</h1>", '</h1><div class="sponsored-content">Buy</div><ul class="related-posts"><li>Other</li></ul><div class="comments wrapper">No</div>'), WANT),
         (ARTICLE.replace("<h1>A title</h1>", "<header><h1>A title</h1></header>"), WANT),
         (ARTICLE.replace("</h1>", '</h1><div class="ad">Buy</div><section id="comment-list"><p>I agree</p></section>'), WANT),
         (f"<body><header><h1>Our site</h1></header>{ARTICLE}<footer>All rights</footer></body>", WANT),
@@ -279,6 +280,7 @@ def test_class_names_are_learned():
         total.update(html_extract.counts(f"<body><nav><a href=x>menu one two</a></nav>{ARTICLE}<footer>rights</footer></body>"))
     table = html_extract.weights(total)
     assert html_extract.is_marked(["zork"], table) and not html_extract.is_marked(["comment"], table) and html_extract.is_marked(["comment"], {})
+    assert html_extract.is_marked(["site-header"], {}) and not html_extract.is_marked(["section-header"], {}, True) and not html_extract.is_marked(["content-sidebar-wrap"], {})
     page = ARTICLE.replace("</h1>", "</h1><div class='zork'>Buy</div>")
     assert html_extract.main_text(page, table) == WANT
 
