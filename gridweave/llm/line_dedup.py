@@ -41,6 +41,8 @@ from gridweave.llm.common import bound_batches, broadcast_if_small, checkpoint,
 MIN_LINES, MIN_WORDS = 2, 10
 #: Percent of its words that a copy loses.
 COPY = 80
+#: Rows that go to a Python worker at once; texts, lines and lists are held together.
+BATCH = 200
 #: Lines that the rolling hash covers.
 ROLLED = 2
 BREAK = re.compile(r"\n\s*|[.!?]\s+")
@@ -238,7 +240,7 @@ def _marked(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def _cut(docs: DataFrame, percent: int) -> DataFrame:
     """docs with repeated chunks cut; rows without a first occurrence that lose `percent` of their words go."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, BATCH)
     marked, last = _marked(docs)
     names = docs.columns
     at = names.index("text")
