@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0088
@@ -17,10 +17,19 @@ def trend_slope(long: DataFrame, keys: Sequence[str] = ("pixel",), value: str =
 
 
 def queen_neighbours(cells: DataFrame, key: str = "pixel") -> DataFrame:
-    """Pairs of cells of a zone that touch at an edge or a corner, by equality on exploded places."""
+    """Pairs of cells of a zone that touch at an edge or a corner."""
+    return _touching(cells, key, F.col(key).alias("neighbour"))
+
+
+def _touching(cells: DataFrame, key: str, *of_neighbour: Column) -> DataFrame:
+    """zone, key and the neighbours' columns, by equality on exploded places.
+
+    Spark takes the exploded places for as few as the cells, and both for no
+    more than their files' bytes; the hint keeps it from broadcasting either."""
     step = F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c]))
     reach = cells.withColumn("s", step).select("zone", F.col(key), (F.col("grid_row") + F.col("s.dr")).alias("grid_row"), (F.col("grid_col") + F.col("s.dc")).alias("grid_col"))
-    return reach.join(cells.select("zone", "grid_row", "grid_col", F.col(key).alias("neighbour")), ["zone", "grid_row", "grid_col"]).select("zone", key, "neighbour")
+    joined = reach.hint("merge").join(cells.select("zone", "grid_row", "grid_col", *of_neighbour), ["zone", "grid_row", "grid_col"])
+    return joined.drop("grid_row", "grid_col")
 
 
 def spatial_lag(cells: DataFrame, value: str, key: str = "pixel") -> DataFrame:
