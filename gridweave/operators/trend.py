@@ -34,8 +34,7 @@ def _touching(cells: DataFrame, key: str, *of_neighbour: Column) -> DataFrame:
 
 def spatial_lag(cells: DataFrame, value: str, key: str = "pixel") -> DataFrame:
     """Mean of each cell's neighbours."""
-    pairs = queen_neighbours(cells, key)
-    return pairs.join(cells.select(F.col(key).alias("neighbour"), value), "neighbour").groupBy(key).agg(F.round(F.avg(value), 6).alias("lag"))
+    return _touching(cells, key, F.col(value).alias("of_neighbour")).groupBy(key).agg(F.round(F.avg("of_neighbour"), 6).alias("lag"))
 
 
 def lookback_windows(long: DataFrame, back: int = 36, ahead: int = 12, keys: Sequence[str] = ("pixel",), value: str = "value") -> DataFrame:

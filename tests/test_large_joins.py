@@ -19,3 +19,10 @@ def cells(spark, tmp_path):
 
 def test_neighbours_are_not_broadcast(cells):
     assert "BroadcastHashJoin" not in plan_of(trend.queen_neighbours(cells))
+
+
+def test_lag_is_not_broadcast(cells):
+    lag = trend.spatial_lag(cells, "value")
+    assert "BroadcastHashJoin" not in plan_of(lag)
+    got = {r["pixel"]: r["lag"] for r in lag.collect()}
+    assert len(got) == 900 and got[0] == pytest.approx((1 + 30 % 7 + 31 % 7) / 3, abs=1e-6)
