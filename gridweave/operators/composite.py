@@ -54,10 +54,12 @@ def fill_calendar(composite: DataFrame, pixels: DataFrame, first_year: int, last
     """A row for each pixel and month of the calendar, null where there is no composite.
 
     The calendar has twelve rows a year; each pixel's months are made by a
-    generator in its own row, not by a cross join."""
+    generator in its own row, not by a cross join.  Spark takes what a generator
+    makes for no more than its input; where only months with a value are asked
+    for, it would broadcast all of them, which the hint prevents."""
     months = F.explode(F.sequence(F.lit(first_year * 12), F.lit(last_year * 12 + 11)))
     grid = pixels.select(*keys, months.alias("m")).select(*keys, F.floor(F.col("m") / 12).cast("int").alias("year"), (F.col("m") % 12 + 1).cast("int").alias("month"))
-    return grid.join(composite, [*keys, "year", "month"], "left")
+    return grid.hint("merge").join(composite, [*keys, "year", "month"], "left")
 
 
 def with_scene_metadata(composite: DataFrame) -> DataFrame:

@@ -26,3 +26,13 @@ def test_lag_is_not_broadcast(cells):
     assert "BroadcastHashJoin" not in plan_of(lag)
     got = {r["pixel"]: r["lag"] for r in lag.collect()}
     assert len(got) == 900 and got[0] == pytest.approx((1 + 30 % 7 + 31 % 7) / 3, abs=1e-6)
+
+
+def test_calendar_is_not_broadcast(spark, cells, tmp_path):
+    cells.selectExpr("pixel", "2000 year", "1 month", "value / 7 value").write.parquet(str(tmp_path / "months"))
+    months = composite.fill_calendar(spark.read.parquet(str(tmp_path / "months")), cells.select("pixel", "zone"), 1995, 2001, ["pixel"])
+    long = months.join(cells.select("pixel", "zone").hint("merge"), "pixel")
+    valid = long.where("value is not null")
+    assert "BroadcastHashJoin" not in plan_of(valid) and valid.count() == 900
+    assert long.count() == 900 * 84
+    assert "BroadcastHashJoin" not in plan_of(audit.thresholds(long))
