@@ -44,32 +44,46 @@ def lookback_windows(long: DataFrame, back: int = 36, ahead: int = 12, keys: Seq
     return out.where((F.size("past") == back) & (F.size("future") == ahead))
 
 
-def within_km(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
-    """Pairs (id_a, id_b) of points (id, lon, lat) within a distance.
-
-    Points meet in cells of bands of latitude; a point's reach is listed under
-    each cell that it may touch, beyond 180 degrees on the other side too, and
-    all around where it reaches a pole.  Points without a place pair with none.
+def within_km(a: DataFrame, b: DataFrame, km: float, box: tuple[float, float] | None = None) -> DataFrame:
+    """Pairs (id_a, id_b) of points (id, lon, lat) within a distance; with a box,
+    of those that are nearer than so many degrees of latitude and of longitude too.
+
+    Points meet in cells of bands of latitude, which are as wide as a point
+    reaches in that band, so a point has a few cells at any latitude; its reach
+    is listed beyond 180 degrees on the other side too (without a box, which
+    compares degrees as they are), and all around where it reaches a pole.
+    Latitudes beyond a pole count on as angles.  Points without a place pair
+    with none.
     """
     size = km / 111.0 * 1.01
-    cell = lambda c: F.floor(c / size)
+    most = F.lit(360.0 if box is None else min(360.0, float(box[1])))
+    band = F.floor(F.col("lat") / size)
+    # degrees to the pole from the nearest place on a way between a point of the band and one that it reaches
+    polar = lambda c: F.abs(F.pmod(c, F.lit(180.0)) - 90.0)
+    left_over = polar((F.col("y") + 0.5) * size) - 2 * size
+    reach = F.when(left_over <= 0.1, most).otherwise(F.least(most, size / F.sin(F.radians(F.greatest(left_over, F.lit(0.1))))))
+    cell = lambda c: F.floor(c / F.col("wide"))
     span = lambda low, high: F.sequence(cell(low), cell(high))
-    left = a.where("lon is not null and lat is not null").select(F.col("id").alias("id_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
-    polar = F.abs("lat_a") + size >= 89.9
-    wide = F.when(polar, 180.0).otherwise(F.least(F.lit(180.0), size / F.cos(F.radians(F.least(F.abs("lat_a") + size, F.lit(89.9))))))
+    place = a.where("lon is not null and lat is not null").select(F.col("id").alias("id_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
+    left = place.withColumn("y", F.explode(F.sequence(F.floor((F.col("lat_a") - size) / size), F.floor((F.col("lat_a") + size) / size)))).withColumn("wide", reach)
     west, east = F.col("lon_a") - F.col("wide"), F.col("lon_a") + F.col("wide")
-    none = F.array().cast("array<bigint>")
-    around = F.concat(
-        span(F.greatest(west, F.lit(-180.0)), F.least(east, F.lit(180.0))),
-        F.when(west < -180, span(west + 360, F.lit(180.0))).otherwise(none),
-        F.when(east > 180, span(F.lit(-180.0), east - 360)).otherwise(none),
-    )
-    left = left.withColumn("wide", wide).withColumn("y", F.explode(span(F.col("lat_a") - size, F.col("lat_a") + size)))
+    if box is None:
+        none = F.array().cast("array<bigint>")
+        around = F.concat(
+            span(F.greatest(west, F.lit(-180.0)), F.least(east, F.lit(180.0))),
+            F.when(west < -180, span(F.greatest(west + 360, F.lit(-180.0)), F.lit(180.0))).otherwise(none),
+            F.when(east > 180, span(F.lit(-180.0), F.least(east - 360, F.lit(180.0)))).otherwise(none),
+        )
+    else:
+        around = span(west, east)
     left = left.withColumn("x", F.explode(F.array_distinct(around))).drop("wide")
-    right = b.select(F.col("id").alias("id_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"), cell(F.col("lat")).alias("y"), cell(F.col("lon")).alias("x"))
+    right = b.select(F.col("id").alias("id_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"), band.alias("y")).withColumn("wide", reach)
+    right = right.withColumn("x", cell(F.col("lon_b"))).drop("wide")
     h = F.pow(F.sin(F.radians(F.col("lat_b") - F.col("lat_a")) / 2), 2) + F.cos(F.radians("lat_a")) * F.cos(F.radians("lat_b")) * F.pow(F.sin(F.radians(F.col("lon_b") - F.col("lon_a")) / 2), 2)
     near = 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0)))) <= km
-    return left.join(right, ["y", "x"]).where(near).select("id_a", "id_b")
+    if box is not None:
+        near = near & (F.abs(F.col("lat_a") - F.col("lat_b")) < box[0]) & (F.abs(F.col("lon_a") - F.col("lon_b")) < box[1])
+    return left.hint("merge").join(right, ["y", "x"]).where(near).select("id_a", "id_b")
 
 
 def marks(log: DataFrame, by: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:

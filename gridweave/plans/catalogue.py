@@ -532,9 +532,9 @@ def lookback_windows(spark, d):
   SELECT a.pixel AS id_a, p.pixel AS id_b FROM a JOIN p ON abs(a.lat - p.lat) < 2 AND abs(a.lon - p.lon) < 4
   WHERE 2 * 6371.0088 * asin(sqrt(pow(sin(radians(p.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - a.lon) / 2), 2))) <= 100""")
 def buffer_join(spark, d):
-    """Cells within 100 km of a masked one."""
+    """Cells within 100 km of a masked one, by less than 2 degrees of latitude and 4 of longitude."""
     points = grid.with_coords(pixels(spark, d), AFFINE).select(F.col("pixel").alias("id"), "lon", "lat", "value")
-    return trend.within_km(grid.masked(points, ABOVE), points, 100)
+    return trend.within_km(grid.masked(points, ABOVE), points, 100, (2, 4))
 
 
 @query("""SELECT event_id, pixel, epoch_us(ts) - lag(epoch_us(ts)) OVER o AS since_last, epoch_us(ts) - first_value(epoch_us(ts)) OVER o AS since_start

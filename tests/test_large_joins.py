@@ -1,5 +1,7 @@
 """Joins of tables that Spark's estimates take for small ones."""
 
+from math import asin, cos, radians, sin, sqrt
+
 import pytest
 
 from gridweave.operators import audit, composite, trend
@@ -36,3 +38,18 @@ def test_calendar_is_not_broadcast(spark, cells, tmp_path):
     assert "BroadcastHashJoin" not in plan_of(valid) and valid.count() == 900
     assert long.count() == 900 * 84
     assert "BroadcastHashJoin" not in plan_of(audit.thresholds(long))
+
+
+def test_buffer_at_and_beyond_a_pole(spark):
+    """A box holds pairs at a pole too, and a point has few cells at any latitude."""
+    points = [(i, -46.0 + i % 7 * 1.9, -88.0 - i // 7 * 0.5) for i in range(7 * 24)]
+    df = spark.createDataFrame(points, "id long, lon double, lat double")
+
+    def near(a, b):
+        (la, pa), (lb, pb) = map(radians, a[1:]), map(radians, b[1:])
+        h = sin((pb - pa) / 2) ** 2 + cos(pa) * cos(pb) * sin((lb - la) / 2) ** 2
+        return abs(a[2] - b[2]) < 2 and abs(a[1] - b[1]) < 4 and 2 * trend.EARTH_KM * asin(sqrt(h)) <= 100
+
+    got = trend.within_km(df, df, 100, (2, 4))
+    assert sorted(map(tuple, got.collect())) == sorted((a[0], b[0]) for a in points for b in points if near(a, b))
+    assert "BroadcastHashJoin" not in plan_of(got)
