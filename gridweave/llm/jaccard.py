@@ -603,7 +603,10 @@ def join_regions(members: DataFrame, texts: DataFrame, width: int, percent: int)
         if hit:
             yield pa.RecordBatch.from_arrays([pa.array([held[i][2] for i, _ in hit], pa.int64()), pa.array([held[j][2] for _, j in hit], pa.int64())], ["a", "b"])
 
-    rows = texts.join(broadcast_if_small(members), "id").select(*REGION_KEY, "own", "component", "id", "text")
+    few = broadcast_if_small(members)
+    if few is members:  # dealt to several tasks; the documents themselves may be few
+        texts = texts.join(broadcast_if_small(members.select("id").distinct()), "id", "left_semi")
+    rows = texts.join(few, "id").select(*REGION_KEY, "own", "component", "id", "text")
     return _each_region(rows, work, "a long, b long")
 
 
@@ -614,14 +617,23 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # written, here and below, so that a join has two plain sides and Spark can split a hot key
     copies = checkpoint(ids.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1"))
     later = checkpoint(ids.join(copies, "same").where("id != first").select("id", "same"))  # not made distinct here: then the join could not be split
-    once = rows.join(broadcast_if_small(later), ["id", "same"], "left_anti")
-    sets = checkpoint(leading_shingles(once, width, percent))
+    # a join of texts that can't be a broadcast would shuffle the corpus: then narrow tables are joined in its place
+    few = broadcast_if_small(later)
+    if few is later:
+        sets = checkpoint(checkpoint(leading_shingles(rows, width, percent)).join(later, ["id", "same"], "left_anti"))
+    else:
+        sets = checkpoint(leading_shingles(rows.join(few, ["id", "same"], "left_anti"), width, percent))
     keys = sets.where("id is not null").select("id", F.explode("keys").alias("key"))
 
     pivots = checkpoint(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
     near = checkpoint(keys.join(pivots, "key"))
-    shared = rows.where("id is not null").select("id", "text", "same").join(broadcast_if_small(near.select("id").distinct()), "id", "left_semi")
-    texts = checkpoint(shared.join(broadcast_if_small(later), ["id", "same"], "left_anti").drop("same"))
+    named = rows.where("id is not null").select("id", "text", "same")
+    wanted = near.select("id").distinct()
+    if few is not later and broadcast_if_small(wanted) is wanted:
+        texts = named.join(few, ["id", "same"], "left_anti").drop("same")  # not written; what is compared is picked from it by broadcasts
+    else:
+        kept = checkpoint(sets.select("id", "same").distinct().join(broadcast_if_small(wanted), "id", "left_semi"))
+        texts = checkpoint(named.join(broadcast_if_small(kept), ["id", "same"], "left_semi").drop("same"))
 
     pairs = checkpoint(near.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("n")))
     nearest = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
