@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (ids and a few numbers) may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Setting by which a query's shuffle files are deleted when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Characters that a Python worker holds as word lists at one time.
 SLICE_CHARS = 2_000_000
 
@@ -38,11 +41,25 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """The shuffle files of queries made and run here are deleted when these
+    end, not with the driver's next collection of garbage."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder, which cuts its lineage and
-    outlives lost executors; compressed, and columns can be read by themselves."""
+    outlives lost executors; compressed, and columns can be read by themselves.
+    Its shuffle files are deleted when it is written."""
     path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -50,7 +50,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import SLICE_CHARS, PerWorker, broadcast_if_small, checkpoint, unused
+from gridweave.llm.common import SLICE_CHARS, PerWorker, broadcast_if_small, checkpoint, shuffles_dropped, unused
 from gridweave.llm.components import components
 
 #: Frequent shingles whose counts go out with the order, at most.
@@ -216,8 +216,9 @@ def frequent_shingles(texts: DataFrame, width: int, percent: int) -> tuple[np.nd
         if held:
             yield report()
 
-    counts = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    with shuffles_dropped(texts.sparkSession):
+        counts = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        rows = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     hashes, n = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], n[order]

@@ -1,6 +1,9 @@
 """The Jaccard join where narrow tables are too large for a broadcast."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from gridweave.llm import common, jaccard
 
@@ -27,3 +30,15 @@ def test_texts_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "checkpoint", lambda df: written.append(df.columns) or of(df))
     got = jaccard.join(docs).collect()
     assert {r["component_id"] for r in got} == {0} and ["id", "text"] not in written
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before = files()
+    common.checkpoint(spark.range(1000).groupBy(F.col("id") % 7).count())
+    until = time.time() + 10
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(common.CLEAN_UP) == "false"
