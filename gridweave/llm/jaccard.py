@@ -17,9 +17,12 @@ link share one of the first n - ceil(t * n) + 1 shingles of each.
 1. Aid.  The smallest id that has a leading shingle is that shingle's
    document.  Every document is compared with the one with which it shares the
    most, then with those that may still add to its component.
-2. Aid.  The documents of a shingle that are then in several components stay if
-   their sizes and leading shingles leave a link open.  Shingles that share such
-   a document make one family.
+2. Aid.  The documents of shingles that are then in several components are put
+   in order anew, by exact counts among themselves: an approximate order lets
+   shingles that all copies of a text have lead where their own edits should.
+   What has a leading shingle in common stays if sizes and the place of the
+   shingle in both sets, then all leading shingles, leave a link open to another
+   component.  Shingles that share such a document make one family.
 3. Families are joined by Voronoi regions: a large one in rounds of the whole
    cluster, each dealing it over many tasks, and what is small in one task by
    recursion.  Where replication would leave more than SHRINK of a region's
@@ -47,7 +50,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import SLICE_CHARS, PerWorker, broadcast_if_small, checkpoint, shuffles_dropped, unused
@@ -277,6 +280,54 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "b").where(sizes & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
 
+def by_exact_counts(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """region (a shingle), id, component, n (set size) and rest of the documents
+    of members (id, component), for each leading shingle that two of them have,
+    in the order of its count among them.  rest: the set's shared shingles from
+    there on, which is all that it can share with a document where this is the
+    first common one."""
+    make = PerWorker(members.sparkSession, Shingler, width)
+
+    def run(batches):
+        shingler = make.get()
+        for b in batches:
+            texts = b.column(3)
+            for start, end in parts_of(texts):
+                sets = shingler.many(texts.slice(start, end - start))
+                ends = np.cumsum([0, *map(len, sets)])
+                flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+                columns = [b.column(k)[start:end] for k in range(3)]
+                columns += [pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "component", "n", "keys"])
+
+    # an id may have several texts, each a set of its own
+    rows = texts.join(broadcast_if_small(members), "id").select(F.monotonically_increasing_id().alias("row"), "id", "component", "text")
+    rows = checkpoint(rows.mapInArrow(run, "row long, id long, component long, n long, keys array<long>"))
+    each = rows.select("row", F.explode("keys").alias("key"))
+    counts = checkpoint(each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"))
+    # shingles of one set alone come first in the order, and lead to nothing
+    shared = checkpoint(each.join(counts, "key").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared")))
+    lead = F.expr(f"slice(shared, 1, greatest(0, int(size(shared) - ({percent} * n + 99) div 100 + 1)))")
+    placed = rows.drop("keys").join(shared, "row").select("id", "component", "n", F.size("shared").alias("all"), F.posexplode(lead).alias("place", "first"))
+    return checkpoint(placed.select(F.col("first.key").alias("region"), "id", "component", "n", (F.col("all") - F.col("place")).alias("rest")))
+
+
+def able(placed: DataFrame, percent: int) -> DataFrame:
+    """Those of the placed documents (region, id, component, n, rest) that can
+    link with one of another component in the region, by n and rest.
+
+    No pairs are made.  Of the documents of one size the one with most rest can
+    link if any can, and that of another component where it is of one's own, so
+    a region's documents meet two for each size in it.
+    """
+    sizes = placed.groupBy("region", "n", "component").agg(F.max("rest").alias("rest"))
+    most = Window.partitionBy("region", "n").orderBy(F.desc("rest"), "component")
+    two = sizes.withColumn("place", F.row_number().over(most)).where("place <= 2")
+    best = checkpoint(two.groupBy("region").agg(F.collect_list(F.struct("n", "rest", "component")).alias("best")).where("size(best) > 1"))
+    open_ = F.expr(f"exists(best, b -> b.component != component and {percent} * (n + b.n) <= {100 + percent} * least(rest, b.rest))")
+    return checkpoint(placed.join(best, "region").where(open_).select("region", "id", "component").distinct())
+
+
 def compare(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link; texts has id and text."""
     make = PerWorker(pairs.sparkSession, Shingler, width)
@@ -648,12 +699,16 @@ def components_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     # what a shingle's other documents have in common is not compared yet
     labelled = near.where("id != pivot").join(broadcast_if_small(known), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    ends = [F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")]
-    signature = [F.expr("bit_xor(xxhash64(id))").alias("x"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("y")]
-    open_ = labelled.groupBy("key").agg(*ends, *signature).where("low != high")
-    # shingles with the same documents are one region
-    regions = open_.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
-    members = checkpoint(labelled.join(regions, "key").select(F.col("key").alias("region"), "id", "component", "size"))
+    labelled = checkpoint(labelled)
+    ends = [F.min("component").alias("low"), F.max("component").alias("high")]
+    open_ = labelled.groupBy("key").agg(*ends).where("low != high").select("key")
+    members = checkpoint(labelled.join(open_, "key").select("id", "component").distinct())
+    if not members.isEmpty():
+        members = able(by_exact_counts(members, texts, width, percent), percent)
+        signature = [F.count("*").alias("size"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("y")]
+        # shingles with the same documents are one region
+        regions = members.groupBy("region").agg(*signature, *ends).where("low != high").groupBy("size", "x", "y").agg(F.min("region").alias("region")).select("region", "size")
+        members = checkpoint(members.join(checkpoint(regions), "region").select("region", "id", "component", "size"))
     if not members.isEmpty():
         kept = families(checkpoint(hopeful(checkpoint(_cut(members, REGION // 3)), sets, percent)))
         known = checkpoint(components(join_families(kept, found, texts, width, percent)))
